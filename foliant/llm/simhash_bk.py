@@ -254,7 +254,7 @@ def components(links: DataFrame) -> DataFrame:
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id): every row with its SimHash and its group's smallest id."""
     size_, prints = size, None
-    prints = cut(fingerprints(docs, lambda t: simhash(t, size_), 1, id_col, text_col), "simhash")
+    prints = cut(fingerprints(docs, lambda t: simhash(t, size), 1, id_col, text_col), "simhash")
     total = prints.count()
     distinct = cut(prints.groupBy(F.col("key0").alias("node")).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "simhash-distinct")
     labels = components(find_links(distinct.select("node", F.col("node").alias("fp")), ["fp"], radius=radius))
