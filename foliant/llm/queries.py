@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import simhash_bk
+from foliant.llm import simhash_bk, token_store
 from foliant.llm.common import documents
 
 
@@ -14,6 +15,11 @@ def op1_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.group(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return token_store.read(token_store.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
