@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import simhash_bk, token_store, vector_pack
+from foliant.llm import gif_media, simhash_bk, token_store, vector_pack
 from foliant.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op10_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.pack(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.digests(gif_media.store(documents(spark, sf_dir, "doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
