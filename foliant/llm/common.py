@@ -11,12 +11,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.session import ship
+
 #: A key is hot when it holds more than 1/HOT_PARTS of all rows; there can be at most HOT_PARTS such keys.
 HOT_PARTS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; only a local session without one gets its own under /tmp."""
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -70,4 +73,5 @@ def tasks_for(spark: SparkSession, rows: int, rows_a_task: int) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("*",)))
