@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import gif_media, simhash_bk, token_store, vector_pack
+from foliant.llm import chunk_bpe, gif_media, simhash_bk, token_store, vector_pack, warc_index
 from foliant.llm.common import documents
+from foliant.session import ship
 
 
 def op1_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +29,29 @@ def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.digests(gif_media.store(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op6_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.encode(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return warc_index.read(warc_index.write(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS first FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN g.first IS NULL OR g.first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN g.first <> d.page_id THEN g.first END AS refers_to
+FROM d LEFT JOIN g ON g.payload_digest = d.payload_digest AND d.payload_bytes >= 1000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_index": OP8_SQL}
