@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import chunk_bpe, gif_media, simhash_bk, token_store, vector_pack, warc_index
+from foliant.llm import chunk_bpe, gif_media, line_spread, native_simhash, simhash_bk, token_store, vector_pack, warc_index
 from foliant.llm.common import documents
 from foliant.session import ship
 
@@ -38,6 +39,16 @@ def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.read(warc_index.write(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def op5_native_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return native_simhash.edited(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_spread.clean(documents(spark, sf_dir, "doc_id", "source", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
@@ -53,5 +64,17 @@ FROM d LEFT JOIN g ON g.payload_digest = d.payload_digest AND d.payload_bytes >=
 """
 
 
+OP7_SQL = """
+WITH l AS (SELECT doc_id, source, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
+                  unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+b AS (SELECT trim(line, ' ') AS k, min(doc_id) AS first FROM l WHERE length(trim(line, ' ')) >= 20
+      GROUP BY 1 HAVING count(DISTINCT source) >= 3),
+m AS (SELECT l.*, b.first IS NOT NULL AND l.doc_id <> b.first AS gone FROM l LEFT JOIN b ON trim(l.line, ' ') = b.k),
+d AS (SELECT doc_id, count(*)::INTEGER AS n_lines, (count(*) FILTER (gone))::INTEGER AS n_removed,
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, length(text)::INTEGER AS n_chars, sha256(text) AS text_sha256 FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_index": OP8_SQL}
+    return {"op7_line_spread": OP7_SQL, "op8_warc_index": OP8_SQL}
