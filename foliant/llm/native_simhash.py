@@ -25,10 +25,13 @@ SALT = 8
 _PAIR = 0x0000000100000001
 
 
-def _terms(text: Column) -> Column:
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.translate(F.col(text), UPPER, LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def _terms(words: str) -> Column:
     """array<long>: hashes of neighbouring word pairs; the last word stands alone."""
-    words = F.filter(F.split(F.translate(text, UPPER, LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+    return F.zip_with(F.col(words), F.slice(F.col(words), F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
 
 
 def _votes(h: str) -> list[Column]:
@@ -61,7 +64,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, t, n, copies, fp) of the distinct rows (d: id, t: hash of the text), n its code points."""
-    rows = _base(docs, id_col, text_col).select("d", "t", F.length("text").cast("long").alias("n"), F.posexplode_outer(_terms(F.col("text"))).alias("pos", "h"))
+    rows = _base(docs, id_col, text_col).select("d", "t", F.length("text").cast("long").alias("n"), _words("text").alias("words")).select("d", "t", "n", F.posexplode_outer(_terms("words")).alias("pos", "h"))
     first = F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.lit(1)).otherwise(F.lit(0)))
     sums = rows.groupBy("d", "t").agg(F.max("n").alias("n"), first.alias("copies"), F.count("h").alias("w"), *_votes("h"))
     return cut(sums.select("d", "t", "n", "copies", F.coalesce(_majority(F.col("w")), F.lit(0)).alias("fp")), "native-simhash")
@@ -96,8 +99,9 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     heads = rows.select("rid", F.col("d").alias("own_d"), F.col("t").alias("own_t"), "n", F.col("next_d").alias("d"), F.col("next_t").alias("t")).join(texts, ["d", "t"]).select("rid", F.col("own_d").alias("d"), F.col("own_t").alias("t"), "n", F.substring("text", F.lit(1), tail).alias("head"))
     made = heads.join(texts, ["d", "t"]).select("rid", F.concat(F.substring("text", F.lit(1), (F.col("n") - tail).cast("int")), F.col("head")).alias("text"))
     sha = F.sha2("text", 256)
-    quarters = [F.conv(F.substring(sha, 16 * k + 1, 16), 16, -10).cast("long").alias(f"q{k}") for k in range(4)]
-    votes = made.select("rid", *quarters, F.explode_outer(_terms(F.col("text"))).alias("h")).groupBy("rid").agg(*[F.max(f"q{k}").alias(f"q{k}") for k in range(4)], F.count("h").alias("w"), *_votes("h"))
+    quarters = [F.conv(F.substring("sha", 16 * k + 1, 16), 16, -10).cast("long").alias(f"q{k}") for k in range(4)]
+    terms = made.select("rid", sha.alias("sha"), _words("text").alias("words")).select("rid", *quarters, F.explode_outer(_terms("words")).alias("h"))
+    votes = terms.groupBy("rid").agg(*[F.max(f"q{k}").alias(f"q{k}") for k in range(4)], F.count("h").alias("w"), *_votes("h"))
     done = votes.select("rid", F.concat(*[to_hex(F.col(f"q{k}")) for k in range(4)]).alias("edited_sha256"), F.coalesce(_majority(F.col("w")), F.lit(0)).alias("edited_fp"))
     asked = rows.where(F.pmod("d", F.lit(20)) == 0).select("fp").distinct()
     near = within(prints.select("fp").distinct(), asked).groupBy(F.col("query").alias("fp")).agg(F.count("*").alias("near_texts"))
