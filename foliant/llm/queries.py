@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chunk_bpe, gif_media, line_spread, native_simhash, simhash_bk, token_store, toxicity, vector_pack, warc_index
+from foliant.llm import chunk_bpe, context_mix, gif_media, line_spread, native_simhash, simhash_bk, token_store, toxicity, vector_pack, warc_index
 from foliant.llm.common import documents
 from foliant.session import ship
 
@@ -56,6 +56,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), F.col("__toxicity").alias("score"), (F.col("__toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_context_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mix.score(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
