@@ -3,7 +3,7 @@
 A text is its lower-cased words and an end mark. Frequent words are symbols of a Huffman tree; other words are an escape
 symbol and then their bytes, symbols of a second tree, up to an end-of-word byte. Every step down a tree is a bit. Bit
 predictors look up the zeros and ones counted before in fixed-size tables, by the hash of the tree node and a context:
-for words nothing, the word before, and the one before that; for bytes the last one, two and three. Their log odds are
+for words nothing, the word before, and the one before that; for bytes the last two, four and six of the word. Their log odds are
 mixed by logistic weights, gated by how often the longer contexts were seen, and an adaptive probability map refines the
 mixed odds. Tasks learn online, block by block: predict, move weights and map, then count. Counts and maps are added up
 over all tasks, weights are averaged by bits seen.
@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import cut, fresh_path, open_fs
 
-WORDS = 4094
+WORDS = 16_382
 TABLE_BITS = 20
 CHUNK_BYTES = 16 << 20  # of text that share one vocabulary
 BLOCK_TOKENS = 20_000  # after so many the learner moves on
 INPUTS, GATES, MAP_STEPS = 3, 16, 33
-DELTA, RATE = 0.4, 0.02
+BYTE_ORDERS = (2, 4, 6)  # bytes before, in the word
+DELTA, RATE, EVERY = 0.4, 0.3, 4  # weights and map move at one block of EVERY; counts at all
 END, ESCAPE = b"\n", b"\x00"  # neither is a word
 CACHE_WORDS = 400_000
 SPLIT_BYTES = 1 << 16  # of one summed piece of a table
@@ -134,11 +135,13 @@ def byte_stream(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.nd
     lengths = np.array([len(w) + 1 for w in words])
     owner = np.repeat(np.arange(len(words)), lengths)
     pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    back = [np.where(pos >= k, np.concatenate((np.zeros(k, np.int64), data[:-k]))[: len(data)] + 1, 0) for k in (1, 2, 3)]
-    c1 = back[0]
-    c2 = c1 * 257 + back[1]
-    c3 = c2 * 257 + back[2]
-    return data, [((c + k) * 2654435761 % (1 << 32)).astype(np.uint32) for k, c in enumerate((c1, c2, c3), 11)], owner
+    hashed, contexts = np.zeros(len(data), np.uint32), []
+    for k in range(1, max(BYTE_ORDERS) + 1):
+        last = np.where(pos >= k, np.concatenate((np.zeros(k, np.int64), data[:-k]))[: len(data)] + 1, 0).astype(np.uint32)
+        hashed = (hashed ^ last) * np.uint32(0x01000193) + np.uint32(k)
+        if k in BYTE_ORDERS:
+            contexts.append((hashed ^ (hashed >> np.uint32(15))) * _M)
+    return data, contexts, owner
 
 
 class Mixer:
@@ -146,7 +149,7 @@ class Mixer:
 
     def __init__(self):
         size = 1 << TABLE_BITS
-        self.counts = np.zeros((2, INPUTS, 2, size), dtype=np.int32)  # kind, input, bit, slot
+        self.counts = np.zeros((2, INPUTS, size, 2), dtype=np.int32)  # kind, input, slot, bit
         self.weights = np.full((2, GATES, INPUTS), 0.4)
         self.map = np.zeros((2, GATES, MAP_STEPS, 2))
         self.seen = 0
@@ -154,7 +157,7 @@ class Mixer:
     def _look(self, kind: int, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         x, gate = np.empty((INPUTS, len(slots[0])), np.float32), None
         for k, s in enumerate(slots):
-            zero, one = self.counts[kind, k, 0][s], self.counts[kind, k, 1][s]
+            zero, one = self.counts[kind, k][s].T
             x[k] = np.log((one + DELTA) / (zero + DELTA))
             if k:
                 n = zero + one
@@ -175,32 +178,30 @@ class Mixer:
         odds = np.log(one / zero).astype(np.float32)
         return (0.5 * (logit + odds[gate, at])).astype(np.float32)
 
-    def learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray) -> None:
-        """One online block: predict, correct weights and map, count."""
+    def learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray, correct: bool = True) -> None:
+        """One online block: predict, correct weights and map where asked, count."""
         if not len(bit):
             return
-        x, gate = self._look(kind, slots)
-        logit = self.mix(kind, x, gate)
-        error = bit - 1 / (1 + np.exp(-logit))
-        n = np.bincount(gate, minlength=GATES)
-        for k in range(INPUTS):
-            g = np.bincount(gate, weights=error * x[k], minlength=GATES) / np.maximum(n, 1)
-            self.weights[kind, :, k] = np.clip(self.weights[kind, :, k] + RATE * g * np.minimum(1, n / 100), -1, 2)
-        at = np.rint((logit + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)
-        cell = gate.astype(np.int64) * MAP_STEPS + at
-        for b in (0, 1):
-            self.map[kind, :, :, b] += np.bincount(cell[bit == b], minlength=GATES * MAP_STEPS).reshape(GATES, MAP_STEPS)
-            for k, s in enumerate(slots):
-                own = s[bit == b]
-                np.add.at(self.counts[kind, k, b], own, 1)
-        self.seen += len(bit)
+        if correct:
+            x, gate = self._look(kind, slots)
+            logit = self.mix(kind, x, gate)
+            error = bit - 1 / (1 + np.exp(-logit))
+            n = np.bincount(gate, minlength=GATES)
+            for k in range(INPUTS):
+                g = np.bincount(gate, weights=error * x[k], minlength=GATES) / np.maximum(n, 1)
+                self.weights[kind, :, k] = np.clip(self.weights[kind, :, k] + RATE * g * np.minimum(1, n / 100), -1, 2)
+            cell = (gate.astype(np.int64) * MAP_STEPS + np.rint((logit + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)) * 2 + bit
+            self.map[kind] += np.bincount(cell, minlength=GATES * MAP_STEPS * 2).reshape(GATES, MAP_STEPS, 2)
+            self.seen += len(bit)
+        for k, s in enumerate(slots):
+            np.add.at(self.counts[kind, k].reshape(-1), s.astype(np.intp) * 2 + bit, np.int32(1))
 
 
 class Frozen:
     """A trained mixer for scoring, with log odds and gate levels worked out for each slot."""
 
     def __init__(self, m: Mixer):
-        zero, one = m.counts[:, :, 0].astype(np.float32), m.counts[:, :, 1].astype(np.float32)
+        zero, one = m.counts[..., 0].astype(np.float32), m.counts[..., 1].astype(np.float32)
         self.odds = np.log((one + DELTA) / (zero + DELTA)).astype(np.float32)
         n = zero + one
         self.level = ((n > 0).astype(np.int8) + (n > 3) + (n > 30)).astype(np.int8)
@@ -293,18 +294,19 @@ def fit(docs: DataFrame, code: Code) -> Mixer:
     sent = docs.sparkSession.sparkContext.broadcast(code)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, m, spelt = sent.value, Mixer(), set()
+        code, m, spelt, done = sent.value, Mixer(), set(), 0
         for b in batches:
             for texts in _blocks([tokens(t) for t in b.column(0).to_pylist()], BLOCK_TOKENS):
+                correct, done = done % EVERY == 0, done + 1
                 flat, ids, _, slots, bit = _word_steps(code, texts)
-                m.learn(0, slots, bit)
+                m.learn(0, slots, bit, correct)
                 fresh = {w for w, k in zip(flat, ids.tolist()) if not k} - spelt
                 if fresh:
                     if len(spelt) > CACHE_WORDS:
                         spelt.clear()
                     spelt |= fresh
                     _, slots, bit = _byte_steps(code, sorted(fresh))
-                    m.learn(1, slots, bit)
+                    m.learn(1, slots, bit, correct)
         if m.seen:
             raw = m.counts.view(np.uint8).reshape(-1)
             for k in range(0, len(raw), SPLIT_BYTES * 16):
