@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Extensions by kind.
 ARCHIVES = ["zip", "rar", "7z", "tar", "gz", "bz2"]
-DOCUMENTS = ["pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "rtf", "csv", "md", "log"]
-IMAGES = ["png", "jpg", "jpeg", "tif", "tiff", "bmp"]
+DOCUMENTS = ["pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "rtf", "csv", "md"]
+IMAGES = ["jpg", "jpeg", "png", "tif", "tiff", "bmp", "gif", "webp"]
 EPOCH_TICKS = 116444736000000000  # of 1970 in 100 ns steps since 1601
 
 
@@ -54,11 +54,11 @@ def top_two(path: Column) -> Column:
 
 def status_label(status: Column) -> Column:
     #: Fixed values.
-    names = {"pending": "Pending", "metadata_only": "Metadata only", "content_done": "Indexed", "done": "Done", "failed": "Failed", "not_needed": "Not needed", "skipped": "Skipped", "processing": "Processing"}
+    names = {"pending": "Pending", "metadata_only": "Metadata only", "content_done": "Content indexed", "ocr_done": "OCR complete", "failed": "Failed", "not_needed": "Not needed", "done": "Done", "skipped": "Skipped", "running": "Running"}
     out = F.when(status == "pending", names["pending"])
     for k, v in list(names.items())[1:]:
         out = out.when(status == k, v)
-    return out.otherwise(status)
+    return out.when(status == "", "-").otherwise(status)
 
 
 def cache_key(path: Column, modified: Column, size: Column) -> Column:
