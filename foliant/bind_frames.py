@@ -27,9 +27,9 @@ def rollup_margins(spark, sf_dir):
     return frames.with_margins(table(spark, sf_dir, "lineitem"), "l_linestatus", "l_returnflag", "l_quantity", FLAGS)
 
 
-@query("SELECT p_brand, sum(p_retailprice) AS total, avg(p_retailprice) AS mean, count(*) AS n, max(p_retailprice) AS top FROM part GROUP BY 1")
+@query("SELECT p_brand, round(sum(p_retailprice), 4) AS total, round(avg(p_retailprice), 4) AS mean, count(*) AS n, max(p_retailprice) AS top FROM part GROUP BY 1")
 def category_summary(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sum("p_retailprice").alias("total"), F.avg("p_retailprice").alias("mean"), F.count("*").alias("n"), F.max("p_retailprice").alias("top"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.sum("p_retailprice"), 4).alias("total"), F.round(F.avg("p_retailprice"), 4).alias("mean"), F.count("*").alias("n"), F.max("p_retailprice").alias("top"))
 
 
 _MONTHS = "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY 1"

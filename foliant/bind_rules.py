@@ -1,0 +1,294 @@
+"""Queries over rule scores, extractions, theta joins and nested data on the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foliant.catalog import query
+from foliant.model import table
+from foliant.operators import rules
+
+DOC = "documents"
+
+
+def _sql_hits(low: str, words: list[str]) -> str:
+    return "(" + " + ".join("contains({}, '{}')::INTEGER".format(low, w.replace("'", "''")) for w in words) + ")"
+
+
+_COUNTS = ", ".join(f"{_sql_hits('low', words)} AS c{k}" for k, words in enumerate(rules.DOMAINS.values()))
+_MOST = "greatest(" + ", ".join(f"c{k}" for k in range(len(rules.DOMAINS))) + ")"
+_FIRST = " ".join(f"WHEN c{k} = {_MOST} THEN '{name}'" for k, name in enumerate(rules.DOMAINS))
+
+
+@query(f"WITH q AS (SELECT page_id, lower(html) AS low FROM pages), c AS (SELECT page_id, {_COUNTS} FROM q) SELECT page_id, CASE WHEN {_MOST} = 0 THEN 'style' {_FIRST} END AS domain FROM c")
+def domain_detect(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", rules.domain_of(F.col("html")).alias("domain"))
+
+
+_ASKED = ["the", "idiot", "the", "thinor"]
+
+
+def _bm25_sql() -> str:
+    unique = list(dict.fromkeys(_ASKED))
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{k}" for k, t in enumerate(unique))
+    n = ", ".join(f"count(*) FILTER (tf{k} > 0) AS n{k}" for k in range(len(unique)))
+    part = " + ".join(f"{_ASKED.count(t)} * CASE WHEN tf{k} > 0 THEN ln((n - n{k} + 0.5) / (n{k} + 0.5) + 1) * tf{k} * 2.5 / (tf{k} + 1.5 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END" for k, t in enumerate(unique))
+    return f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2) AS w FROM documents), t AS (SELECT doc_id, len(w)::DOUBLE AS dl, {tf} FROM w), s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {n} FROM t), r AS (SELECT doc_id, {part} AS score FROM t, s ORDER BY score DESC, doc_id LIMIT 10)
+SELECT doc_id, round(score, 6) AS score FROM r WHERE score > 0"""
+
+
+@query(_bm25_sql())
+def bm25_csv(spark, sf_dir):
+    return rules.bm25_plain(table(spark, sf_dir, DOC), "doc_id", "text", _ASKED).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT p_partkey, (CASE WHEN contains(lower(p_name), 'green') THEN 10 WHEN contains(lower(p_type), 'green') THEN 3 WHEN contains(lower(p_brand), 'green') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_name), 'brand#1') THEN 10 WHEN contains(lower(p_type), 'brand#1') THEN 3 WHEN contains(lower(p_brand), 'brand#1') THEN 1 ELSE 0 END)::INTEGER AS points FROM part ORDER BY points DESC, p_partkey LIMIT 20")
+def best_match(spark, sf_dir):
+    points = rules.best_match_points(F.col("p_name"), F.col("p_type"), F.col("p_brand"), ["Green", "brand#1"])
+    return table(spark, sf_dir, "part").select("p_partkey", points.alias("points")).orderBy(F.desc("points"), "p_partkey").limit(20)
+
+
+_DIV = "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal / 100 END AS payout, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_nationkey - 5.0 END AS growth, (c_custkey % 40)::INTEGER AS years, c_custkey % 12 + 0.5 AS dy FROM customer"
+
+
+@query(f"""WITH d AS ({_DIV}), s AS (SELECT c_custkey, payout, greatest(0, least(100, 50 + CASE WHEN payout IS NULL THEN 0 WHEN payout < 40 THEN 20 WHEN payout < 60 THEN 10 WHEN payout < 80 THEN -10 ELSE -20 END + CASE WHEN growth IS NULL THEN 0 WHEN growth > 10 THEN 15 WHEN growth > 5 THEN 10 WHEN growth > 0 THEN 5 ELSE -15 END + CASE WHEN years >= 25 THEN 15 WHEN years >= 10 THEN 10 WHEN years >= 5 THEN 5 ELSE 0 END + CASE WHEN dy > 8 THEN -10 ELSE 0 END))::INTEGER AS score FROM d)
+SELECT c_custkey, CASE WHEN payout IS NULL THEN 'unknown' WHEN payout < 40 THEN 'safe' WHEN payout < 60 THEN 'moderate' WHEN payout < 80 THEN 'high' ELSE 'unsustainable' END AS status, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'moderate' ELSE 'poor' END AS rating FROM s""")
+def dividend_safety(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    d = c.select(key, F.when(key % 11 != 0, F.col("c_acctbal") / 100).alias("payout"), F.when(key % 7 != 0, F.col("c_nationkey") - 5.0).alias("growth"), (key % 40).cast("int").alias("years"), (key % 12 + 0.5).alias("dy"))
+    score = rules.safety_score(F.col("payout"), F.col("growth"), F.col("years"), F.col("dy"))
+    return d.select("c_custkey", rules.payout_status(F.col("payout")).alias("status"), score.cast("int").alias("score"), rules.income_rating(score).alias("rating"))
+
+
+_KIND = "CASE doc_id % 6 WHEN 0 THEN 'ma' WHEN 1 THEN 'insider' WHEN 2 THEN 'analyst' WHEN 3 THEN 'regulatory' WHEN 4 THEN 'earnings' ELSE 'other' END"
+
+
+@query(f"WITH r AS (SELECT doc_id, {_KIND} AS kind, lower(text) AS low, doc_id % 4 = 0 AS engaged FROM documents) SELECT doc_id, least(10, 1 + CASE kind WHEN 'ma' THEN 5 WHEN 'insider' THEN 4 WHEN 'analyst' THEN 3 WHEN 'regulatory' THEN 3 WHEN 'earnings' THEN 2 ELSE 1 END + CASE WHEN regexp_matches(low, 'breaking|just in|alert|urgent') THEN 2 ELSE 0 END + CASE WHEN engaged THEN 2 ELSE 0 END)::INTEGER AS score FROM r")
+def rumor_impact(spark, sf_dir):
+    kinds = F.array(*[F.lit(k) for k in (*rules.RUMORS, "other")])
+    return table(spark, sf_dir, DOC).select("doc_id", rules.impact_score(F.element_at(kinds, (F.col("doc_id") % 6 + 1).cast("int")), F.col("text"), F.col("doc_id") % 4 == 0).cast("int").alias("score"))
+
+
+@query("WITH m AS (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS name FROM documents) SELECT name, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, name LIMIT 10")
+def top_mentions(spark, sf_dir):
+    names = table(spark, sf_dir, DOC).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{4,})"), F.lit(1))).alias("name"))
+    return names.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(10)
+
+
+@query("SELECT event_type, user_id % 3 AS severity, count(*) AS n FROM events GROUP BY ALL")
+def issue_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 3).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, round(avg((event_type = 'purchase')::INTEGER), 6) AS rate, avg((event_type = 'purchase')::INTEGER) >= 0.2 AS passed FROM events GROUP BY 1")
+def trigger_rate(spark, sf_dir):
+    rate = F.avg((F.col("event_type") == "purchase").cast("int"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(rate, 6).alias("rate"), (rate >= 0.2).alias("passed"))
+
+
+_WORDS = ["the", "and", "idiot", "pour", "nicht"]
+
+
+@query(f"SELECT doc_id, {_sql_hits('lower(text)', _WORDS)} / 5.0::DOUBLE AS coverage, array_to_string(list_filter(['the','and','idiot','pour','nicht'], lambda x: NOT contains(lower(text), x)), ',') AS missing FROM documents")
+def keyword_coverage(spark, sf_dir):
+    missing = F.filter(F.array(*[F.lit(w) for w in _WORDS]), lambda w: ~F.contains(F.lower("text"), w))
+    return table(spark, sf_dir, DOC).select("doc_id", rules.coverage(F.col("text"), _WORDS).alias("coverage"), F.array_join(missing, ",").alias("missing"))
+
+
+@query("SELECT p_partkey, n_nationkey FROM part JOIN nation ON contains(lower(p_name), lower(left(n_name, 2))) OR contains(lower(n_name), lower(p_name))")
+def theta_contains_join(spark, sf_dir):
+    p, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")  # nations are a fixed small set
+    either = F.contains(F.lower("p_name"), F.lower(F.substring("n_name", 1, 2))) | F.contains(F.lower("n_name"), F.lower("p_name"))
+    return p.join(F.broadcast(n), either).select("p_partkey", "n_nationkey")
+
+
+@query(r"WITH k AS (SELECT * FROM (VALUES ('idiot'), ('clown'), ('moron')) t(name)) SELECT doc_id, name FROM documents, k WHERE regexp_matches(text, '\b' || name || '\b')")
+def known_mentions(spark, sf_dir):
+    names = F.array(*[F.when(F.col("text").rlike(rf"\b{w}\b"), w) for w in ("idiot", "clown", "moron")])
+    return table(spark, sf_dir, DOC).select("doc_id", F.explode(F.array_compact(names)).alias("name"))
+
+
+@query("WITH r AS (SELECT * FROM (VALUES ('src1'), ('src2'), ('src10')) t(name)), m AS (SELECT DISTINCT source FROM documents) SELECT source FROM m WHERE source NOT IN (SELECT name FROM r)")
+def undefined_names(spark, sf_dir):
+    return table(spark, sf_dir, DOC).select("source").distinct().where(~F.col("source").isin("src1", "src2", "src10"))
+
+
+_RULES = "SELECT * FROM (VALUES ('STANDARD', 1), ('PROMO', 2), ('STEEL', 3)) t(rule, rule_no)"
+
+
+@query(f"WITH r AS ({_RULES}), c AS (SELECT p_partkey, rule, CASE WHEN upper(p_type) = rule THEN 1 WHEN contains(upper(p_type), rule) THEN 2 WHEN contains(upper(p_name), left(rule, 3)) THEN 3 END AS stage, rule_no FROM part, r) SELECT p_partkey, arg_min(rule, stage * 10 + rule_no) AS rule, min(stage)::INTEGER AS stage FROM c WHERE stage IS NOT NULL GROUP BY 1")
+def fallback_rule_match(spark, sf_dir):
+    found = []
+    for no, rule in enumerate(("STANDARD", "PROMO", "STEEL"), 1):
+        stage = F.when(F.upper("p_type") == rule, 1).when(F.contains(F.upper("p_type"), F.lit(rule)), 2).when(F.contains(F.upper("p_name"), F.lit(rule[:3])), 3)
+        found.append(F.when(stage.isNotNull(), F.struct(stage.alias("stage"), F.lit(no).alias("no"), F.lit(rule).alias("rule"))))
+    best = table(spark, sf_dir, "part").select("p_partkey", F.array_min(F.array_compact(F.array(*found))).alias("b")).where("b is not null")
+    return best.select("p_partkey", "b.rule", "b.stage")
+
+
+@query("SELECT o_orderkey, c_name, s.n AS items FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) s ON l_orderkey = o_orderkey")
+def composite_lookup(spark, sf_dir):
+    o, c, l = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
+    returned = l.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("items"))
+    return o.join(c, o.o_custkey == c.c_custkey).join(returned, "o_orderkey", "left").select("o_orderkey", "c_name", "items")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'CN' WHEN c_custkey % 3 = 1 THEN 'HK' ELSE 'US' END AS market FROM customer")
+def market_detect(spark, sf_dir):
+    key = F.col("c_custkey")
+    code = F.when(key % 3 == 0, F.lpad(key.cast("string"), 6, "0")).when(key % 3 == 1, F.concat(F.lpad((key % 10000).cast("string"), 4, "0"), F.lit(".hk"))).otherwise(F.concat(F.lit("T"), key.cast("string")))
+    return table(spark, sf_dir, "customer").select("c_custkey", rules.market_of(code).alias("market"))
+
+
+_W = "SELECT p_partkey, p_retailprice AS price, p_retailprice * (0.8 + p_partkey % 5 * 0.1) AS added, 1500.0 + p_partkey % 7 AS target, 950.0 + p_partkey % 3 AS stop, CASE WHEN p_partkey % 4 > 0 THEN 'hold' END AS last, CASE p_partkey % 3 WHEN 0 THEN 'buy' ELSE 'hold' END AS signal FROM part"
+
+
+@query(f"WITH w AS ({_W}) SELECT p_partkey, round((price - added) / added * 100, 2) AS change_pct, round((target - price) / price * 100, 2) AS to_target_pct, round((stop - price) / price * 100, 2) AS to_stop_pct, array_to_string(list_filter([CASE WHEN price >= target THEN 'target_hit' END, CASE WHEN price <= stop THEN 'stop_hit' END, CASE WHEN last IS NOT NULL AND signal <> last THEN 'signal_change' END], lambda x: x IS NOT NULL), ',') AS alerts FROM w")
+def watch_alerts(spark, sf_dir):
+    key, price = F.col("p_partkey"), F.col("p_retailprice")
+    w = table(spark, sf_dir, "part").select(key, price.alias("price"), (price * (F.lit(0.8) + key % 5 * 0.1)).alias("added"), (key % 7 + 1500.0).alias("target"), (key % 3 + 950.0).alias("stop"), F.when(key % 4 > 0, "hold").alias("last"), F.when(key % 3 == 0, "buy").otherwise("hold").alias("signal"))
+    c = {n: F.col(n) for n in ("price", "added", "target", "stop", "last", "signal")}
+    deltas = rules.watch_deltas(c["price"], c["added"], c["target"], c["stop"])
+    return w.select("p_partkey", *[v.alias(k) for k, v in deltas.items()], F.array_join(rules.alerts(c["price"], c["target"], c["stop"], c["last"], c["signal"]), ",").alias("alerts"))
+
+
+@query("WITH q AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_acctbal END AS price, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 1.0 END AS ma, c_custkey % 9 = 0 AS hot, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 2.0 END AS roe FROM customer) SELECT c_custkey, array_to_string(list_filter([CASE WHEN coalesce(price, 0) = 0 THEN 'price' END, CASE WHEN ma IS NULL THEN 'technical' END, CASE WHEN hot THEN 'overbought' END, CASE WHEN roe IS NULL THEN 'fundamental' END], lambda x: x IS NOT NULL), ',') AS warnings FROM q")
+def quote_validation(spark, sf_dir):
+    key = F.col("c_custkey")
+    price, ma, roe = F.when(key % 5 == 0, 0.0).otherwise(F.col("c_acctbal")), F.when(key % 4 != 0, 1.0), F.when(key % 6 != 0, 2.0)
+    return table(spark, sf_dir, "customer").select(key, F.array_join(rules.quote_warnings(price, ma, ma, key % 9 == 0, roe, roe), ",").alias("warnings"))
+
+
+_NICE_SQL = rules.NICE.replace("\\", "\\")
+_MUST_SQL = rules.MUST
+_VERB_SQL = "(" + " OR ".join(f"contains(low, '{v}')" for v in rules.VERBS) + ")"
+
+
+@query(f"WITH s AS (SELECT conv_id, turn, unnest(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;\\n]+'), lambda x: regexp_replace(x, '^[ \\t\\-•·*]+|[ \\t\\-•·*]+$', '', 'g')), lambda x: x <> '')) AS sentence FROM conversations), k AS (SELECT conv_id, turn, lower(sentence) AS low FROM s) SELECT conv_id, turn, CASE WHEN regexp_matches(low, '{_NICE_SQL}') THEN 'nice' WHEN regexp_matches(low, '{_MUST_SQL}') THEN 'must' WHEN {_VERB_SQL} THEN 'responsibilities' ELSE 'others' END AS kind, count(*) AS n FROM k GROUP BY ALL")
+def jd_classify(spark, sf_dir):
+    one = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(rules.sentences(F.col("text"))).alias("sentence"))
+    return one.groupBy("conv_id", "turn", rules.sentence_kind(F.col("sentence")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, text, len(regexp_extract_all(text, '(?m)^\s*[-*•]\s+')) AS bullets, len(regexp_extract_all(text, '\d+(?:\.\d+)?%?')) AS numbers FROM documents)
+SELECT doc_id, greatest(0, 10 - CASE WHEN length(text) < 200 THEN 3 WHEN length(text) > 6000 THEN 1 ELSE 0 END - CASE WHEN regexp_matches(text, '[0-9A-Za-z_.\-+]+@[0-9A-Za-z_.\-]+\.[0-9A-Za-z_]+') THEN 0 ELSE 1 END - CASE WHEN regexp_matches(text, '(\+?86[-\s]?)?1[3-9]\d{9}|\d{3}[-\s]?\d{4}[-\s]?\d{4}') THEN 0 ELSE 1 END
+ - CASE WHEN len(regexp_extract_all(text, '[★☆●○◆◇▶▷■□▪▫♦]')) > 5 THEN 1 ELSE 0 END - CASE WHEN regexp_matches(text, '[\x{1F300}-\x{1FAFF}]') THEN 1 ELSE 0 END - CASE WHEN bullets > 0 AND numbers::DOUBLE / nullif(bullets, 0) < 0.4 THEN 1 ELSE 0 END)::INTEGER AS score FROM t""")
+def ats_score(spark, sf_dir):
+    return table(spark, sf_dir, DOC).select("doc_id", rules.ats_score(F.col("text")).cast("int").alias("score"))
+
+
+@query("WITH p AS (SELECT doc_id, text, instr(lower(text), 'pathetic')::INTEGER AS hit FROM documents), q AS (SELECT *, greatest(1, hit - 30) AS b FROM p) SELECT doc_id, trim(replace(substring(text, b, hit + 38 - b), chr(10), ' ')) AS evidence FROM q WHERE hit > 0")
+def gap_evidence(spark, sf_dir):
+    return table(spark, sf_dir, DOC).select("doc_id", rules.evidence(F.col("text"), "pathetic").alias("evidence")).where("evidence is not null")
+
+
+def _resume(text):
+    """Documents whose sentences become anchors and bullets: a sentence with 'of ' an anchor, others bullets."""
+    return F.array_join(F.transform(F.split(text, r"\. "), lambda s: F.when(F.contains(s, F.lit("idiot")), F.concat(F.lit("A | "), F.substring(s, 1, 20), F.lit(" | 2024"))).otherwise(F.concat(F.lit("- "), F.substring(s, 1, 10)))), "\n")
+
+
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS i FROM documents),
+x AS (SELECT doc_id, i, unnest(string_split(CASE WHEN contains(s, 'idiot') THEN 'A | ' || left(s, 20) || ' | 2024' ELSE '- ' || left(s, 10) END, chr(10))) AS line, generate_subscripts(string_split(CASE WHEN contains(s, 'idiot') THEN 'A | ' || left(s, 20) || ' | 2024' ELSE '- ' || left(s, 10) END, chr(10)), 1) AS j FROM s),
+l AS (SELECT doc_id, i, j, trim(line, ' ') AS line, regexp_matches(trim(line, ' '), '^[^\n]+?[|｜][^\n]+?[|｜][^\n]+$') AS a FROM x),
+n AS (SELECT *, sum(a::INTEGER) OVER (PARTITION BY doc_id ORDER BY i, j) AS no FROM l)
+SELECT doc_id, no::BIGINT AS no, arg_min(line, i * 1000 + j) AS title, count(*) FILTER (NOT a AND regexp_matches(line, '^[-*•]')) AS n_bullets FROM n WHERE no > 0 GROUP BY doc_id, no HAVING n_bullets > 0""")
+def experience_segments(spark, sf_dir):
+    return rules.segments(table(spark, sf_dir, DOC).select("doc_id", _resume(F.col("text")).alias("text")), "doc_id", "text", r"^[^\n]+?[|｜][^\n]+?[|｜][^\n]+$")
+
+
+@query("WITH a AS (SELECT user_id, list((value / 100.0) % 1.0 ORDER BY event_id) AS h FROM events GROUP BY 1) SELECT user_id, len(h)::INTEGER AS attempts, list_reduce(list_prepend(1.0, h), lambda s, x: CASE WHEN x >= 0.6 THEN least(s + 1, 3) ELSE greatest(s - 1, 1) END)::INTEGER AS level, list_reduce(list_prepend(0.0, h), lambda s, x: CASE WHEN x >= 0.6 THEN least(s + 1, 4) ELSE 0 END)::INTEGER AS stage, list_max(h) AS best, h[-1] AS last FROM a")
+def mastery_levels(spark, sf_dir):
+    tries = table(spark, sf_dir, "events").select("user_id", "event_id", ((F.col("value") / 100.0) % 1.0).alias("accuracy"))
+    return rules.mastery(tries, "user_id", "event_id", "accuracy").drop("weak")
+
+
+@query("WITH r AS (SELECT user_id, DATE '2024-01-01' + (user_id % 20)::INTEGER AS day, (user_id % 5)::INTEGER AS stage, user_id % 3 = 0 AS weak FROM (SELECT DISTINCT user_id FROM events)), n AS (SELECT *, day + [1,2,4,7,15][stage + 1] AS next_day FROM r) SELECT user_id, strftime(next_day, '%Y-%m-%d') AS next_day, next_day <= DATE '2024-01-15' OR (weak AND day >= DATE '2024-01-12') AS due FROM n")
+def review_due(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    r = users.select("user_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("user_id") % 20).cast("int")).alias("day"), (F.col("user_id") % 5).cast("int").alias("stage"), (F.col("user_id") % 3 == 0).alias("weak"))
+    nxt = rules.next_review(F.col("day"), F.col("stage"))
+    return r.select("user_id", F.date_format(nxt, "yyyy-MM-dd").alias("next_day"), rules.review_due(nxt, F.col("weak"), F.col("day"), F.lit("2024-01-15").cast("date")).alias("due"))
+
+
+_ANSWERS = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'fill_in_blank' WHEN 1 THEN 'choice' ELSE 'short_answer' END AS kind, CASE WHEN conv_id % 2 = 0 THEN ' A ' ELSE 'a' END AS given FROM conversations"
+
+
+@query(f"WITH a AS ({_ANSWERS}), s AS (SELECT conv_id, CASE kind WHEN 'fill_in_blank' THEN (lower(trim(given)) = 'a')::INTEGER::DOUBLE WHEN 'choice' THEN (trim(given) = 'A')::INTEGER::DOUBLE END AS score FROM a) SELECT conv_id, coalesce(sum(score), 0) AS score, count(score) AS total, count(*) FILTER (score IS NULL) AS needs_review, avg(score) AS accuracy FROM s GROUP BY 1")
+def quiz_score(spark, sf_dir):
+    turn = F.col("turn") % 3
+    a = table(spark, sf_dir, "conversations").select("conv_id", F.when(turn == 0, "fill_in_blank").when(turn == 1, "choice").otherwise("short_answer").alias("kind"), F.when(F.col("conv_id") % 2 == 0, " A ").otherwise("a").alias("given"))
+    s = a.withColumn("score", rules.answer_score(F.col("kind"), F.col("given"), F.lit("A")))
+    return s.groupBy("conv_id").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"), F.count("score").alias("total"), F.count_if(F.col("score").isNull()).alias("needs_review"), F.avg("score").alias("accuracy"))
+
+
+@query("SELECT o_custkey, min(o_totalprice) AS low, max(o_totalprice) AS high, count(*) AS n, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first FROM orders GROUP BY 1")
+def group_minmax_nested(spark, sf_dir):
+    nested = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("l"))
+    flat = nested.select("o_custkey", F.explode("l").alias("x")).select("o_custkey", "x.*")
+    return flat.groupBy("o_custkey").agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.count("*").alias("n"), F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first"))
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+def group_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT source, n, round(n * 100.0 / (SELECT count(*) FROM documents), 4)::DOUBLE AS share FROM g")
+def category_share(spark, sf_dir):
+    g = table(spark, sf_dir, DOC).groupBy("source").agg(F.count("*").alias("n"))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("t")))).select("source", "n", F.round(F.col("n") * 100.0 / F.col("t"), 4).alias("share"))  # one row is broadcast
+
+
+@query("SELECT event_id, '2024' AS year, ((props::JSON->>'k')::BIGINT)::VARCHAR AS score, event_type AS rank FROM events")
+def score_history(spark, sf_dir):
+    raw = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('[{"2024":"'), F.get_json_object("props", "$.k"), F.lit(","), "event_type", F.lit('"}]')).alias("j"))
+    one = raw.select("event_id", F.explode(F.from_json("j", "array<map<string,string>>")).alias("m")).select("event_id", F.explode("m").alias("year", "triple"))
+    return one.select("event_id", "year", F.get(F.split("triple", ","), 0).alias("score"), F.coalesce(F.get(F.split("triple", ","), 1), F.lit("-")).alias("rank"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 3 < 2 THEN 'first' WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'plain' ELSE 'other' END AS batch FROM customer")
+def batch_resolution(spark, sf_dir):
+    key = F.col("c_custkey") % 3
+    given = F.when(key == 1, " plain").when(key == 2, "other")
+    out = rules.batch_for(F.col("c_mktsegment"), given, {"BUILDING": "first", "NOWHERE": "x"}, "plain")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.trim(out).alias("batch"))
+
+
+_CELLS = r"SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN '=FILTER(A1:A9)' WHEN 1 THEN '=SUM(A1:B' || (l_orderkey % 40 + 1) || ')' WHEN 2 THEN '=[1]Sheet1!A1' WHEN 3 THEN '=A1/#REF!' ELSE '12' END AS formula FROM lineitem"
+
+
+@query(rf"WITH c AS ({_CELLS}) SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(formula, '#(REF|DIV/0|VALUE|NAME|N/A|NULL|NUM)[!?]?') THEN 'error' WHEN regexp_matches(formula, '^=.*\b(FILTER|UNIQUE|SORT|XLOOKUP|LET|LAMBDA|SEQUENCE)\(') THEN 'forbidden' WHEN contains(formula, '[') THEN 'external' WHEN try_cast(regexp_extract(formula, ':[A-Z]+(\d+)\)', 1) AS INTEGER) > 30 THEN 'out of range' ELSE 'ok' END AS finding FROM c")
+def workbook_audit(spark, sf_dir):
+    k = F.col("l_linenumber") % 5
+    f = F.when(k == 0, "=FILTER(A1:A9)").when(k == 1, F.concat(F.lit("=SUM(A1:B"), (F.col("l_orderkey") % 40 + 1).cast("string"), F.lit(")"))).when(k == 2, "=[1]Sheet1!A1").when(k == 3, "=A1/#REF!").otherwise("12")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", f.alias("formula")).select("l_orderkey", "l_linenumber", rules.cell_finding(F.col("formula"), 30).alias("finding"))
+
+
+@query("WITH n AS (SELECT l_suppkey, l_returnflag AS pattern, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, pattern) AS k, sum(n) OVER (PARTITION BY l_suppkey) AS total FROM n) SELECT l_suppkey, pattern, (total - n)::BIGINT AS outliers FROM r WHERE k = 1")
+def dominant_pattern(spark, sf_dir):
+    return rules.dominant(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag")
+
+
+@query("SELECT l_returnflag AS sheet, count(*) AS n_cells, count(*) FILTER (l_linenumber % 5 < 4) AS n_formulas, min(l_linenumber) AS first_row, max(l_linenumber) AS last_row FROM lineitem GROUP BY 1")
+def sheet_inspect(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("sheet")).agg(F.count("*").alias("n_cells"), F.count_if(F.col("l_linenumber") % 5 < 4).alias("n_formulas"), F.min("l_linenumber").alias("first_row"), F.max("l_linenumber").alias("last_row"))
+
+
+@query("SELECT p_partkey, (p_partkey % 26 + 1 + 26)::INTEGER AS col, (p_partkey % 1000)::INTEGER AS row FROM part".replace(" AS row", ' AS "row"'))
+def a1_range(spark, sf_dir):
+    ref = F.concat(F.lit("$A"), F.char(F.col("p_partkey") % 26 + 65), F.lit("$"), (F.col("p_partkey") % 1000).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", rules.a1_column(ref).alias("col"), rules.a1_row(ref).alias("row"))
+
+
+@query()
+def timeline_markers(spark, sf_dir):
+    return rules.markers(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
+
+
+@query(r"WITH t AS (SELECT doc_id, '{\rtf1\b ' || replace(left(text, 100), chr(10), '\par ') || '}' AS rtf FROM documents) SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(rtf, '\par', chr(10)), '\\[a-zA-Z]+-?\d+ ?', '', 'g'), '\\[a-zA-Z]+ ?', '', 'g'), '[{}]', '', 'g'), ' ') AS plain FROM t")
+def rtf_text(spark, sf_dir):
+    from foliant.sources.extract import rtf_plain
+
+    rtf = F.concat(F.lit(r"{\rtf1\b "), F.replace(F.substring("text", 1, 100), F.lit("\n"), F.lit(r"\par ")), F.lit("}"))
+    return table(spark, sf_dir, DOC).select("doc_id", rtf_plain(rtf).alias("plain"))

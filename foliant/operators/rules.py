@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.plans.fts import Bm25
+from foliant.plans.fts import Bm25, count_in
+from foliant.plans.parser import Leaf
 
 #: Keywords by domain, in order of precedence.
 DOMAINS = {
@@ -42,10 +43,9 @@ def hits(text: Column, words: list[str]) -> Column:
 def domain_of(query: Column, domains: dict[str, list[str]] = DOMAINS, default: str = "style") -> Column:
     """The domain with most keywords in the query; the first of equals; without any the default."""
     low = F.lower(query)
-    counts = [(name, hits(low, words)) for name, words in domains.items()]
-    most = F.greatest(*[c for _, c in counts])
-    named = F.coalesce(*[F.when(c == most, F.lit(name)) for name, c in counts])
-    return F.when(most > 0, named).otherwise(F.lit(default))
+    table = F.array(*[F.struct(F.lit(-k).alias("rank"), F.lit(name).alias("name"), F.array(*[F.lit(w) for w in words]).alias("words")) for k, (name, words) in enumerate(domains.items())])
+    best = F.array_max(F.transform(table, lambda d: F.struct(F.size(F.filter(d["words"], lambda w: F.contains(low, w))).alias("n"), d["rank"].alias("rank"), d["name"].alias("name"))))
+    return F.when(best["n"] > 0, best["name"]).otherwise(F.lit(default))
 
 
 def plain_words(text: Column) -> Column:
@@ -58,7 +58,7 @@ def bm25_plain(rows: DataFrame, key: str, text: str, asked: list[str], k: int =
     variant = Bm25(k1=1.5, b=0.75, floor=None, plus_one=True, sign=1)
     words = rows.select(key, plain_words(F.col(text)).alias("w"))
     unique = list(dict.fromkeys(asked))
-    tf = words.select(key, F.size("w").cast("double").alias("dl"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(unique)])
+    tf = words.select(key, F.size("w").cast("double").alias("dl"), *[count_in(F.col("w"), Leaf((t,))).alias(f"tf{i}") for i, t in enumerate(unique)])
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(unique))])
     parts = [asked.count(t) * F.when(F.col(f"tf{i}") > 0, variant.part(F.col(f"tf{i}"), variant.idf(F.col(f"n{i}"), F.col("n")), F.col("dl"), F.col("avgdl"))).otherwise(F.lit(0.0)) for i, t in enumerate(unique)]
     scored = tf.crossJoin(F.broadcast(stats)).select(key, reduce(lambda a, b: a + b, parts).alias("score"))  # one row is broadcast
@@ -197,10 +197,34 @@ def a1_column(ref: Column) -> Column:
 
 
 def a1_row(ref: Column) -> Column:
-    return F.expr("try_cast(NULL AS int)") if ref is None else F.regexp_extract(ref, r"(\d+)$", 1).try_cast("int")
+    return F.regexp_extract(ref, r"(\d+)$", 1).try_cast("int")
 
 
 def batch_for(province: Column, batch: Column, known: dict[str, str], plain: str) -> Column:
     """The batch name that a province uses, where none or the plain one is given."""
     mapped = reduce(lambda a, kv: a.when(province == kv[0], kv[1]), list(known.items())[1:], F.when(province == next(iter(known)), known[next(iter(known))]))
     return F.when(mapped.isNotNull() & (batch.isNull() | (F.trim(batch) == plain)), mapped).otherwise(batch)
+
+
+def cell_finding(formula: Column, last_row: int) -> Column:
+    """What is wrong with a cell's formula: error, forbidden, external, out of range, or ok."""
+    end = F.regexp_extract(formula, r":[A-Z]+(\d+)\)", 1).try_cast("int")
+    return F.when(formula.rlike("#(REF|DIV/0|VALUE|NAME|N/A|NULL|NUM)[!?]?"), "error").when(formula.rlike(r"^=.*\b(FILTER|UNIQUE|SORT|XLOOKUP|LET|LAMBDA|SEQUENCE)\("), "forbidden").when(F.contains(formula, F.lit("[")), "external").when(end > last_row, "out of range").otherwise("ok")
+
+
+def dominant(rows: DataFrame, key: str, pattern: str) -> DataFrame:
+    """The commonest pattern of each key, the first of equals, and how many rows differ from it."""
+    counts = rows.groupBy(key, pattern).agg(F.count("*").alias("n"))
+    best = counts.groupBy(key).agg(F.max_by(F.struct(F.col(pattern).alias("p"), F.col("n").alias("m")), F.struct("n", F.lit(0) - F.ascii(pattern))).alias("b"), F.sum("n").alias("t"))
+    return best.select(key, F.col("b.p").alias("pattern"), (F.col("t") - F.col("b.m")).alias("outliers"))
+
+
+#: Patterns of time markers in stories.
+MARKERS = [r"(?:Day|Night)\s+(\d+)", r"(\d+)\s+(?:days?|weeks?|months?|years?)\s+(?:later|ago|after|before)", r"Chapter\s+(\d+)", r"\*\*Date:\*\*\s*(.+?)(?:\n|$)"]
+
+
+def markers(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, marker): every time marker in a text with the number of its pattern."""
+    named = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m.alias("marker"))
+    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), named(k)) for k, p in enumerate(MARKERS)]
+    return rows.select(key, F.explode(F.concat(*found)).alias("m")).select(key, "m.kind", "m.marker")

@@ -108,6 +108,11 @@ def match(rows: DataFrame, tree: Leaf | Node, columns: list[str], bm25: Bm25 = B
     return found.crossJoin(F.broadcast(stats)).where(matches).withColumn("score", score).select(*rows.columns, "score")  # one row is broadcast
 
 
+def _shift(k: int):
+    """Where a phrase begins whose k-th word stands at a position; columns lie far apart."""
+    return lambda p: p - k + F.col("col") * (1 << 30)
+
+
 class Index:
     """A written inverted index: postings in folders by hash of the term, lengths of rows, and corpus statistics."""
 
@@ -151,7 +156,7 @@ class Index:
                 shifted = []
                 for k, t in enumerate(x.terms):
                     own = F.col("term").startswith(t) if x.prefix and k == len(x.terms) - 1 else F.col("term") == t
-                    shifted.append(F.flatten(F.collect_list(F.when(own, F.transform("positions", lambda p, c=k: p - c + F.col("col") * (1 << 30))))))
+                    shifted.append(F.flatten(F.collect_list(F.when(own, F.transform("positions", _shift(k))))))
                 out.append(F.size(reduce(F.array_intersect, shifted)).cast("long"))
         return read.groupBy("id").agg(*[c.cast("long").alias(f"tf{k}") for k, c in enumerate(out)]).join(self.lengths, "id")
 
