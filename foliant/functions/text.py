@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[^a-z0-9_]+"
@@ -15,7 +16,7 @@ def ascii_lower(x: Column) -> Column:
     return F.translate(x, UPPER, LOWER)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(x: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; Spark has no function for it."""
     import unicodedata
