@@ -59,4 +59,4 @@ def export_csv(hits: DataFrame, path: str) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: str, nulls: str = "NA") -> DataFrame:
     """CSV with a header; lines that don't fit the schema are dropped."""
-    return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").option("nullValue", nulls).csv(path)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "DROPMALFORMED").option("nullValue", nulls).csv(path)
