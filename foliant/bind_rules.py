@@ -292,3 +292,23 @@ def rtf_text(spark, sf_dir):
 
     rtf = F.concat(F.lit(r"{\rtf1\b "), F.replace(F.substring("text", 1, 100), F.lit("\n"), F.lit(r"\par ")), F.lit("}"))
     return table(spark, sf_dir, DOC).select("doc_id", rtf_plain(rtf).alias("plain"))
+
+
+@query(r"SELECT conv_id, turn, '本科及以上' AS education, '3年以上' AS years, 'remote/上海' AS location, CASE WHEN conv_id % 2 = 0 THEN 'CPA' ELSE '' END AS certificates FROM conversations")
+def special_requirements(spark, sf_dir):
+    posting = F.concat(F.lit("本科及以上, 3年以上, 上海 or Remote "), F.when(F.col("conv_id") % 2 == 0, "CPA").otherwise(""))
+    found = rules.special_requirements(posting)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[found[k].alias(k) for k in ("education", "years", "location", "certificates")])
+
+
+@query("SELECT conv_id, turn, 'q' || turn AS id, CASE WHEN turn % 2 = 0 THEN 'choice' END AS type FROM conversations")
+def quiz_json(spark, sf_dir):
+    kind = F.when(F.col("turn") % 2 == 0, ',"type":"choice"').otherwise("")
+    raw = F.concat(F.lit('```json\n[{"id":"q'), F.col("turn").cast("string"), F.lit('"'), kind, F.lit("}]\n```"))
+    one = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(rules.questions(raw)).alias("q"))
+    return one.select("conv_id", "turn", "q.id", "q.type")
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'path') THEN 'path' END AS part, array_to_string(CASE WHEN contains(lower(text), 'owner') OR contains(lower(text), 'drive') OR contains(lower(text), 'lead') OR contains(lower(text), '0-1') THEN ['ownership'] ELSE ['ownership'] END, ',') AS kinds FROM documents")
+def fuzzy_and_kinds(spark, sf_dir):
+    return table(spark, sf_dir, DOC).select("doc_id", rules.fuzzy_part(F.col("text"), "Pathology").alias("part"), F.array_join(rules.story_kinds(F.col("text")), ",").alias("kinds"))

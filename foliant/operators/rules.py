@@ -228,3 +228,55 @@ def markers(rows: DataFrame, key: str, text: str) -> DataFrame:
     named = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m.alias("marker"))
     found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), named(k)) for k, p in enumerate(MARKERS)]
     return rows.select(key, F.explode(F.concat(*found)).alias("m")).select(key, "m.kind", "m.marker")
+
+
+def special_requirements(text: Column) -> dict[str, Column]:
+    """Education, years, language, places, working style and certificates that a posting names; empty without."""
+    #: Patterns.
+    first = {
+        "education": r"((?:本科|硕士|博士|大专)(?:及以上|以上)?)",
+        "years": r"(\d+\s*[-~–到至]\s*\d+\s*年|\d+\s*\+?\s*年(?:以上|及以上)?)",
+        "language": r"(?i)(英语\s*(?:口语)?\s*(?:流利|熟练|母语)|CET[-\s]?[46]|雅思\s*\d(?:\.\d)?|托福\s*\d{2,3}|母语水平|business\s*english)",
+        "working_style": r"(出差|派驻|常驻|项目制|加班|999|996|大小周)",
+    }
+    every = {
+        "location": r"(?i)(北京|上海|广州|深圳|杭州|南京|苏州|成都|武汉|西安|香港|新加坡|remote|hybrid|远程|海外)",
+        "certificates": r"(?i)(CFA(?:\s*Level\s*[I123]+)?|CPA|FRM|ACCA|PMP|AWS\s*[\w\s]*认证|Azure\s*\w*|GCP\s*\w*)",
+    }
+    out = {k: F.regexp_extract(text, p, 1) for k, p in first.items()}
+    for k, p in every.items():
+        found = F.regexp_extract_all(text, F.lit(p), F.lit(1))
+        clean = F.transform(found, (lambda x: F.lower(x)) if k == "location" else (lambda x: F.trim(x)))
+        out[k] = F.array_join(F.sort_array(F.array_distinct(clean)), "/")
+    return out
+
+
+QUESTIONS = "array<struct<id:string,type:string,question:string,answer:string,knowledge_points:array<string>>>"
+
+
+def questions(raw: Column) -> Column:
+    """Questions from JSON text that may stand in a code fence; null if it is no JSON."""
+    plain = F.trim(F.regexp_replace(raw, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    return F.from_json(plain, QUESTIONS)
+
+
+def fuzzy_part(text: Column, keyword: str) -> Column:
+    """The part of a keyword that the text has: the first or last two Chinese characters, else the first four letters."""
+    if len(keyword) < 4:
+        return F.lit(None).cast("string")
+    parts = [keyword[:2], keyword[-2:]] if any("一" <= c <= "龥" for c in keyword) else [keyword[:4].lower()]
+    return F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(p)), p) for p in parts])
+
+
+def story_kinds(text: Column) -> Column:
+    """array<string>: the kinds of question that an experience answers; ownership if none."""
+    #: Words by kind.
+    kinds = {
+        "ownership": ["主导", "owner", "推动", "drive", "lead", "0-1"],
+        "collab": ["跨部门", "跨团队", "协作", "对接", "合作"],
+        "challenge": ["紧急", "时间紧", "资源", "决策", "突破"],
+        "failure": ["失败", "下线", "回滚", "复盘", "教训", "踩坑"],
+        "learning": ["新", "学习", "陌生", "首次", "从零"],
+    }
+    found = F.array_compact(F.array(*[F.when(any_of(F.lower(text), words), kind) for kind, words in kinds.items()]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("ownership")))
