@@ -274,11 +274,24 @@ def keep_one(docs: DataFrame, check_radius: int = 13) -> DataFrame:
     """docs without near-copies: of each group the row with the smallest doc_id stays, with its columns.
 
     Texts link if one of two single-word SimHashes is within RADIUS and their SimHashes of five-word shingles are
-    within check_radius bits (about a similarity of 0.8). Rows that repeat the kept doc_id are repeated rows: one stays.
-    A null doc_id sorts after all others.
+    within check_radius bits (about a similarity of 0.8). Of rows with the same id and text one stays; rows with the same
+    id and other texts are judged apart. Rows without doc_id can't be named, so all of them stay.
     """
-    prints = cut(fingerprints(docs, near_keys, 3), "near")
-    classes = cut(prints.groupBy("key0", "key1", "key2").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).withColumn("node", F.coalesce("first", F.xxhash64("key0", "key1", "key2"))), "near-distinct")
+    known = docs.where("doc_id is not null")
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [near_keys(t) for t in b.column(2).to_pylist()]
+            keys = [pa.array(np.array([r[k] for r in rows], dtype=np.uint64).view(np.int64)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *keys], names=["d", "t", "key0", "key1", "key2"])
+
+    prints = cut(keyed.select(F.col("doc_id").alias("d"), text.alias("t"), "text").mapInArrow(run, "d long, t long, key0 long, key1 long, key2 long"), "near")
+    classes = prints.groupBy("key0", "key1", "key2").agg(F.min(F.struct("d", "t")).alias("first"), F.count("*").alias("rows"))
+    classes = cut(classes.withColumn("node", F.xxhash64("key0", "key1", "key2")), "near-distinct")
     labels = components(find_links(classes.select("node", "key0", "key1", "key2"), ["key0", "key1"], "key2", RADIUS, check_radius))
-    kept = _named(classes.select("node", "first", "rows"), labels).groupBy("component_id").agg(F.count("*").alias("classes")).where("component_id is not null").select(F.col("component_id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = _named(classes.select("node", "first", "rows"), labels).groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id.d").alias("__d"), F.col("component_id.t").alias("__t"))
+    marked = known.withColumns({"__d": F.col("doc_id").cast("long"), "__t": text})
+    one = marked.join(kept, ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))

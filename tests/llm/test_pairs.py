@@ -72,9 +72,9 @@ def test_keep_one(spark):
     near = [t.split() for t in base]
     for w in near:
         w[50] = "zzz"
-    rows = [(i, t, "s") for i, t in enumerate(base)] + [(100 + i, " ".join(w), "s") for i, w in enumerate(near)] + [(50, base[0], "s"), (50, base[0], "s"), (60, None, "s"), (61, "", "s")]
+    rows = [(i, t, "s") for i, t in enumerate(base)] + [(100 + i, " ".join(w), "s") for i, w in enumerate(near)] + [(50, base[0], "s"), (50, base[0], "s"), (60, None, "s"), (61, "", "s"), (2, "another text of the id " * 9, "s"), (None, base[0], "s")]
     kept = simhash_bk.keep_one(docs(spark, rows))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 60]
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == [-1, 0, 1, 2, 2, 3, 4, 60]
     assert sorted(kept.columns) == sorted(docs(spark, rows).columns)
     assert simhash_bk.keep_one(docs(spark, [])).count() == 0
 
