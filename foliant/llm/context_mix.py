@@ -21,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 import uuid
 import zlib
 from collections import Counter
@@ -42,7 +43,7 @@ INPUTS, GATES, MAP_STEPS = 3, 16, 33
 BYTE_ORDERS = (2, 4, 6)  # bytes before, in the word
 DELTA, RATE, EVERY = 0.4, 0.3, 4  # weights and map move at one block of EVERY; counts at all
 END, ESCAPE = b"\n", b"\x00"  # neither is a word
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 SPLIT_BYTES = 1 << 16  # of one summed piece of a table
 
 
@@ -104,7 +105,7 @@ class Code:
 
     def symbols(self, words: list[bytes]) -> np.ndarray:
         get = self.ids.get
-        return np.array([get(w, 0) for w in words], dtype=np.int32)
+        return np.fromiter(map(get, words, itertools.repeat(0)), dtype=np.int32, count=len(words))
 
 
 _M = np.uint32(0x9E3779B1)
@@ -116,7 +117,7 @@ def _slots(node: np.ndarray, contexts: list[np.ndarray], owner: np.ndarray) -> l
     for c in contexts:
         h = (node * np.uint32(0x85EBCA6B)) ^ c[owner]
         h = (h ^ (h >> np.uint32(15))) * _M
-        out.append(((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - TABLE_BITS))
+        out.append((((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - TABLE_BITS)).astype(np.intp))
     return out
 
 
@@ -157,26 +158,30 @@ class Mixer:
     def _look(self, kind: int, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         x, gate = np.empty((INPUTS, len(slots[0])), np.float32), None
         for k, s in enumerate(slots):
-            zero, one = self.counts[kind, k][s].T
-            x[k] = np.log((one + DELTA) / (zero + DELTA))
+            table = self.counts[kind, k].reshape(-1)
+            zero, one = np.take(table, s * 2).astype(np.float32), np.take(table, s * 2 + 1).astype(np.float32)
+            x[k] = np.log((one + np.float32(DELTA)) / (zero + np.float32(DELTA)))
             if k:
                 n = zero + one
                 level = (n > 0).astype(np.int8) + (n > 3) + (n > 30)
                 gate = level if gate is None else gate * 4 + level
-        return x, gate
+        return x, gate.astype(np.intp)
 
     def mix(self, kind: int, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         w = self.weights[kind].astype(np.float32)
-        return np.clip(sum(w[gate, k] * x[k] for k in range(INPUTS)), -12, 12)
+        total = np.take(w[:, 0], gate) * x[0]
+        for k in range(1, INPUTS):
+            total += np.take(w[:, k], gate) * x[k]
+        return np.clip(total, -12, 12, out=total)
 
     def refine(self, kind: int, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The mean of the mixed log odds and the map's."""
-        at = np.rint((logit + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int32)
+        at = ((logit + np.float32(12)) * np.float32((MAP_STEPS - 1) / 24) + np.float32(0.5)).astype(np.intp)
         centre = np.linspace(-12, 12, MAP_STEPS)
         pseudo = 1 / (1 + np.exp(-centre))
         zero, one = self.map[kind, :, :, 0] + 4 * (1 - pseudo), self.map[kind, :, :, 1] + 4 * pseudo
         odds = np.log(one / zero).astype(np.float32)
-        return (0.5 * (logit + odds[gate, at])).astype(np.float32)
+        return (logit + np.take(odds.reshape(-1), gate * MAP_STEPS + at)) * np.float32(0.5)
 
     def learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray, correct: bool = True) -> None:
         """One online block: predict, correct weights and map where asked, count."""
@@ -194,7 +199,7 @@ class Mixer:
             self.map[kind] += np.bincount(cell, minlength=GATES * MAP_STEPS * 2).reshape(GATES, MAP_STEPS, 2)
             self.seen += len(bit)
         for k, s in enumerate(slots):
-            np.add.at(self.counts[kind, k].reshape(-1), s.astype(np.intp) * 2 + bit, np.int32(1))
+            np.add.at(self.counts[kind, k].reshape(-1), s * 2 + bit, np.int32(1))
 
 
 class Frozen:
@@ -210,10 +215,11 @@ class Frozen:
 
     def cost(self, kind: int, slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
         """Natural-log cost of each bit."""
-        x = [self.odds[kind, k][s] for k, s in enumerate(slots)]
-        gate = self.level[kind, 1][slots[1]] * np.int8(4) + self.level[kind, 2][slots[2]]
+        x = [np.take(self.odds[kind, k], s) for k, s in enumerate(slots)]
+        gate = (np.take(self.level[kind, 1], slots[1]) * np.int8(4) + np.take(self.level[kind, 2], slots[2])).astype(np.intp)
         logit = self.mixer.refine(kind, self.mixer.mix(kind, x, gate), gate)
-        return np.logaddexp(0, np.where(bit, -logit, logit))
+        odd = np.where(bit, -logit, logit)
+        return np.log(np.float32(1) + np.exp(odd))
 
 
 def _blocks(texts: list[list[bytes]], most: int) -> Iterator[list[list[bytes]]]:
@@ -392,7 +398,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             while at < len(ids):
                 upto = at
                 size = 0
-                while upto < len(ids) and chunks[upto] == chunks[at] and (size < 1 << 20 or upto == at):
+                while upto < len(ids) and chunks[upto] == chunks[at] and (size < 1 << 19 or upto == at):
                     size += len(texts[upto])
                     upto += 1
                 if chunks[at] != chunk:
@@ -414,7 +420,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         word, slots, bit = _byte_steps(code, part)
                         spelt.update(zip(part, np.bincount(word, weights=model.cost(1, slots, bit), minlength=len(part)).tolist()))
                 cost[escaped] += [spelt[w] for w in own]
-                c = np.array([counts.get(w, 0) for w in flat], dtype=np.float64)
+                c = np.fromiter(map(counts.get, flat, itertools.repeat(0)), dtype=np.float64, count=len(flat))
                 base = np.where(c > 0, np.log10(c + 0.5) - below, floor)
                 total = np.add.reduceat(cost, starts)
                 size = np.array([max(1, len(t.encode("utf-8"))) for t in texts[at:upto]])
