@@ -44,7 +44,8 @@ BYTE_ORDERS = (2, 4, 6)  # bytes before, in the word
 DELTA, RATE, EVERY = 0.4, 0.3, 4  # weights and map move at one block of EVERY; counts at all
 END, ESCAPE = b"\n", b"\x00"  # neither is a word
 CACHE_WORDS = 500_000
-SPLIT_BYTES = 1 << 16  # of one summed piece of a table
+SPLIT_BYTES = 1 << 16  # a sixteenth of one summed piece of a table
+FAN_IN = 16  # tables added up at once
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -148,6 +149,8 @@ def byte_stream(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.nd
 class Mixer:
     """Count tables, gated weights, and the probability map. kind 0: words, 1: bytes."""
 
+    BYTES = 2 * INPUTS * 2 * 4 << TABLE_BITS  # of the tables
+
     def __init__(self):
         size = 1 << TABLE_BITS
         self.counts = np.zeros((2, INPUTS, size, 2), dtype=np.int32)  # kind, input, slot, bit
@@ -322,19 +325,23 @@ def fit(docs: DataFrame, code: Code) -> Mixer:
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([zlib.compress(small.tobytes(), 1)], pa.binary())], names=["part", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for part, deal, data in zip(*(b.column(k).to_pylist() for k in range(3))):
                 own = np.frombuffer(zlib.decompress(data), dtype=np.float64 if part < 0 else np.int32)
-                sums[part] = sums[part] + own if part in sums else own
-        for part, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "data"])
-
-    parts = docs.where("train").select("text").mapInArrow(run, "part int, data binary")
-    tasks = docs.sparkSession.sparkContext.defaultParallelism
-    # summed by part in two rounds, so that no task reads what all others have made
-    once = parts.withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(8))).repartition(8 * tasks, "part", "deal").select("part", "data").mapInArrow(add, "part int, data binary")
-    summed = once.repartition(tasks, "part").mapInArrow(add, "part int, data binary")
+                sums[part, deal] = sums[part, deal] + own if (part, deal) in sums else own
+        for (part, deal), total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([deal], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "deal", "data"])
+
+    train = docs.where("train").select("text")
+    groups, tasks = max(1, train.rdd.getNumPartitions()), docs.sparkSession.sparkContext.defaultParallelism
+    summed = train.mapInArrow(run, "part int, data binary").select("part", F.spark_partition_id().alias("deal"), "data")
+    parts = Mixer.BYTES // (SPLIT_BYTES * 16) + 1
+    while True:  # a tree of sums, in which no task reads more than FAN_IN of what others made, however many there are
+        groups = -(-groups // FAN_IN)
+        summed = summed.withColumn("deal", F.pmod("deal", F.lit(groups))).repartition(max(tasks, parts * groups // 4), "part", "deal").mapInArrow(add, "part int, deal int, data binary")
+        if groups == 1:
+            break
     m = Mixer()
     flat = m.counts.view(np.uint8).reshape(-1)
     for row in summed.toLocalIterator():  # a model of fixed size
