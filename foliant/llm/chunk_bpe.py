@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import open_fs
+from foliant.llm.common import held, open_fs
 
 CHUNK = 32_768
 OVERLAP = 256
@@ -68,14 +68,9 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(ranks_path: str, pattern: str) -> Codec:
-    key = (ranks_path, pattern)
-    if key not in _codecs:
-        _codecs[key] = Codec(*key)
-    return _codecs[key]
+    """One for each worker process."""
+    return held((ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
 def stitch(chunks: list[str], cuts: list[np.ndarray], c: Codec, chunk: int = CHUNK) -> list[str]:

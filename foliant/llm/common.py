@@ -5,6 +5,7 @@ Working tables go to the folder named by ``spark.checkpoint.dir`` so that they o
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -75,3 +76,15 @@ def tasks_for(spark: SparkSession, rows: int, rows_a_task: int) -> int:
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("*",)))
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """make() for key, kept in this worker process until another key is asked for: one operator's cache at a time."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, fresh_path, open_fs
+from foliant.llm.common import cut, fresh_path, held, open_fs
 
 WORDS = 16_382
 TABLE_BITS = 20
@@ -357,9 +357,6 @@ def fit(docs: DataFrame, code: Code) -> Mixer:
     return m
 
 
-_kept: dict[str, dict] = {}
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row."""
     spark = docs.sparkSession
@@ -394,10 +391,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, model = sent.value
-        if key not in _kept:
-            _kept.clear()
-            _kept[key] = {}
-        spelt: dict[bytes, float] = _kept[key]
+        spelt: dict[bytes, float] = held(key, dict)
         chunk, counts = None, {}
         for b in batches:
             ids, texts, train, chunks = (b.column(k).to_pylist() for k in range(4))

@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from foliant.llm.common import held
+
 MAX_SEGMENTS = 1_000_000
 #: ASCII and Latin-1 letters as UTF-8, with the space that byte-level rules put before a word.
 _LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -135,11 +137,6 @@ class SpaceFree(_Cached):
         return out
 
 
-_loaded: dict[tuple[type, str], _Cached] = {}
-
-
 def cached(kind: type, path: str):
     """One cache for each worker process."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
+    return held((kind, path), lambda: kind(path))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import held
+
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 CHAR_ROWS = 1 << 13
@@ -270,17 +272,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train(rows["text"].tolist(), rows["toxic"].tolist(), (float(counts.get(0, 0)), float(counts.get(1, 0))))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, model: Model) -> Scorer:
-    """One for each model and worker process."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column __toxicity, the score of its text."""
     import uuid
@@ -290,7 +281,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by VOCABULARY and CHAR_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(key, sent.value)
+        scorer = held(key, lambda: Scorer(sent.value))
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer.scores(b.column(at).to_pylist()))], names=[*[f"c{k}" for k in range(len(names))], "s"])
