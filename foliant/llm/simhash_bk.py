@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,9 @@ RADIUS = 3
 SHARD_ROWS = 256  # fingerprints a shard is meant to have
 PIECE_ROWS = 2048  # most that one tree is meant to have
 BROADCAST_BYTES = 32 << 20
+SHINGLE, SIMILAR = 5, (4, 5)  # near copies share 4 of 5 shingles of SHINGLE words
+BANDS, BAND_ROWS = 24, 5  # a pair of similarity 0.8 shares no band with probability 7e-5, whatever its length or edit
+DEAL_ROWS = 1024  # of a bucket that meet others in one task
 _STEP = 1 << 15  # shingles voted on at once
 
 
@@ -73,13 +77,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def near_keys(text: str | None, size: int = 5) -> tuple[int, int, int]:
-    """Two SimHashes of single words and one of word shingles: the first two find near texts, the last judges them."""
-    words, h = words_of(text), xxhash.xxh64_intdigest
-    seen: dict[bytes, int] = {}
-    one = np.fromiter((seen[w] if w in seen else seen.setdefault(w, h(w, 42)) for w in words), dtype=np.uint64)
-    long = np.fromiter((h(s, 42) for s in shingles(words, size)), dtype=np.uint64)
-    return vote(one), vote(_mix(one)), vote(long)
+_FLIPS, _FACTORS = _mix(np.arange(BANDS * BAND_ROWS, dtype=np.uint64)), _mix(np.arange(1000, 1000 + BANDS * BAND_ROWS, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles."""
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(s, 42) for s in shingles(words_of(text), size)), dtype=np.uint64))
+
+
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: two sets share one with probability 1 - (1 - J**BAND_ROWS)**BANDS, J being their Jaccard."""
+    if not len(hashes):
+        return np.empty(0, dtype=np.uint64)
+    low = np.full(len(_FLIPS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(low, ((hashes[at : at + 1024] ^ _FLIPS[:, None]) * _FACTORS[:, None]).min(1), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in low.reshape(BANDS, BAND_ROWS).T:
+        key = _mix(key ^ row)
+    return key
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard of two sorted sets is at least SIMILAR."""
+    least, most = sorted((len(a), len(b)))
+    if least * SIMILAR[1] < most * SIMILAR[0]:
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return shared * SIMILAR[1] >= (len(both) - shared) * SIMILAR[0]
 
 
 def fingerprints(docs: DataFrame, make=simhash, n: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,28 +298,77 @@ def _named(distinct: DataFrame, labels: DataFrame) -> DataFrame:
     return lookup(marked, heads, "label", ["component_id"], "nodes", marked.count())
 
 
-def keep_one(docs: DataFrame, check_radius: int = 13) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of (a, b) the pairs whose sets are similar. sets: (node, set), one row a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = cut(pairs, "near-pairs")
+    total = pairs.count()
+    for side in ("b", "a"):
+        own = sets.withColumnsRenamed({"node": side, "set": f"set_{side}"}).join(pairs.groupBy(side).agg(F.count("*").alias("n")), side)
+        lead = pairs if side == "b" else found
+        found = lookup(lead, own, side, [f"set_{side}"], "n", total)
+    return cut(found.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "near-links")
+
+
+def near_links(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links that join all nodes whose sets are similar, each confirmed on the sets themselves.
+
+    prints: (row, node, bands, set); classes: (node, row), one row a node. Nodes that share a band are candidates. First all nodes of a bucket are
+    held against one of them, drawn anew for each band; then every two of a bucket that this has not joined are held
+    against each other, so that no unconfirmed pair hides a true one.
+    """
+    heads = classes.select("row")
+    flat = prints.select("row", "node", "bands").join(heads, "row", "left_semi").select("node", F.explode("bands").alias("band"))
+    lead = F.min(F.struct(F.xxhash64("node", "band").alias("x"), F.col("node").alias("lead")))
+    buckets = flat.groupBy("band").agg(F.count("*").alias("n"), lead["lead"].alias("lead")).where("n > 1")
+    members = cut(lookup(flat, buckets, "band", ["n", "lead"], "n", classes.count() * BANDS).where("n is not null"), "near-buckets")
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("row")
+    sets = cut(prints.select("row", "node", "set").join(wanted, "row", "left_semi").select("node", "set"), "near-sets")
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = _confirmed(members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).select(*pair).distinct(), sets)
+    labels = components(first).join(members.where("n > 2").groupBy("node").agg(F.count("*").alias("rows")), "node")
+    named = lookup(members.where("n > 2"), labels, "node", ["label"], "rows", members.count())
+    named = cut(named.withColumn("label", F.coalesce("label", "node")), "near-labels")
+    sizes = named.groupBy("band", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.sum("c").alias("n"), F.max(F.struct("c", "label"))["label"].alias("main")).where("labels > 1")
+    left = cut(lookup(named.select("band", "node", "label", "lead"), mixed, "band", ["main", "n"], "n", members.count()).where("main is not null"), "near-mixed")
+    deals = F.ceil(F.col("n") / DEAL_ROWS).cast("int")
+    one = left.where("label != main").select("band", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.col("node").alias("a"), F.col("label").alias("la"))
+    other = left.select("band", F.pmod(F.xxhash64("node"), deals).cast("int").alias("deal"), F.col("node").alias("b"), F.col("label").alias("lb"), "main", "lead")
+    met = one.join(other, ["band", "deal"]).where("la != lb and (lb = main or a < b) and a != lead and b != lead")
+    return first.unionByName(_confirmed(met.select(*pair).distinct(), sets))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near-copies: of each group the row with the smallest doc_id stays, with its columns.
 
-    Texts link if one of two single-word SimHashes is within RADIUS and their SimHashes of five-word shingles are
-    within check_radius bits (about a similarity of 0.8). Of rows with the same id and text one stays; rows with the same
-    id and other texts are judged apart. Rows without doc_id can't be named, so all of them stay.
+    Texts link if the Jaccard of their sets of five-word shingles is at least 0.8; candidates are found by MinHash
+    bands. Of rows with the same id and text one stays; rows with the same id and other texts are judged apart. Rows
+    without doc_id can't be named, so all of them stay.
     """
     known = docs.where("doc_id is not null")
     text = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = known.select(F.col("doc_id").cast("long").alias("d"), text.alias("t"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [near_keys(t) for t in b.column(2).to_pylist()]
-            keys = [pa.array(np.array([r[k] for r in rows], dtype=np.uint64).view(np.int64)) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *keys], names=["d", "t", "key0", "key1", "key2"])
-
-    prints = cut(keyed.select(F.col("doc_id").alias("d"), text.alias("t"), "text").mapInArrow(run, "d long, t long, key0 long, key1 long, key2 long"), "near")
-    classes = prints.groupBy("key0", "key1", "key2").agg(F.min(F.struct("d", "t")).alias("first"), F.count("*").alias("rows"))
-    classes = cut(classes.withColumn("node", F.xxhash64("key0", "key1", "key2")), "near-distinct")
-    labels = components(find_links(classes.select("node", "key0", "key1", "key2"), ["key0", "key1"], "key2", RADIUS, check_radius))
-    kept = _named(classes.select("node", "first", "rows"), labels).groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id.d").alias("__d"), F.col("component_id.t").alias("__t"))
+        row = TaskContext.get().partitionId() << 40
+        for b in (part.slice(at, 256) for part in batches for at in range(0, part.num_rows, 256)):
+            sets = [shingle_set(t) for t in b.column(2).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64)
+            bands = pa.array([bands_of(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            rows = pa.array(np.arange(row, row + b.num_rows))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows, pa.array(node), bands, pa.array([s.tobytes() for s in sets], pa.binary())], names=["d", "t", "row", "node", "bands", "set"])
+            row += b.num_rows
+
+    prints = cut(keyed.mapInArrow(run, "d long, t long, row long, node long, bands array<long>, set binary"), "near")
+    classes = cut(prints.groupBy("node").agg(F.min(F.struct("d", "t")).alias("first"), F.min("row").alias("row"), F.count("*").alias("rows")), "near-distinct")
+    links = near_links(prints, classes.select("node", "row"))
+    kept = _named(classes.select("node", "first", "rows"), components(links)).groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id.d").alias("__d"), F.col("component_id.t").alias("__t"))
     marked = known.withColumns({"__d": F.col("doc_id").cast("long"), "__t": text})
     one = marked.join(kept, ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"])
     return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))

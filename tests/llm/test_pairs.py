@@ -121,3 +121,31 @@ def test_lines(spark, sites):
 def test_lines_spread_over_two_stay(spark):
     rows = [(i, "a line on two sites only, not more", f"s{i % 2}") for i in range(10)]
     assert line_spread.clean(docs(spark, rows)).where(F.length("text") == 0).count() == 0
+
+
+def _jaccard(a, b):
+    x, y = (set(zip(*[t.split()[k:] for k in range(5)])) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_one_finds_all_near_copies(spark):
+    """Cut, extended and scattered edits of short and long texts, against brute force."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghij", k=4))
+    rows, want = [], []
+    for i, n in enumerate([30, 45, 60, 80, 120, 200, 320, 700] * 6):
+        base = [word() for _ in range(n)]
+        kind = i // 8 % 3
+        if kind == 0:
+            other = base[: n - n * 17 // 100]
+        elif kind == 1:
+            other = base + [word() for _ in range(n * 17 // 100)]
+        else:
+            other = [*base]
+            for at in range(10, n, 60):
+                other[at] = word()
+        a, b = " ".join(base), " ".join(other)
+        rows += [(i, a, "s"), (1000 + i, b, "s")]
+        want += [i] if _jaccard(a, b) >= 0.8 else [i, 1000 + i]
+    assert len(want) < 60
+    assert sorted(r["doc_id"] for r in simhash_bk.keep_one(docs(spark, rows)).collect()) == sorted(want)
