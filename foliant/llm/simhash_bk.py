@@ -8,6 +8,9 @@ each piece's tree is joined to the other pieces as queries (broadcast when its c
 otherwise). A shard task returns a spanning forest of its links, never all pairs, and connected components of the
 forest are found with star contractions on DataFrames.
 
+``keep_one``, the pipeline's stage, needs a similarity of 0.8 that SimHash distances of this size can't tell: it finds
+candidates by MinHash bands and confirms each on the exact shingle sets.
+
 Defined cases: null text counts as empty; an empty text has fingerprint 0 and is linked like any other; null ids are
 kept and take their component's id; repeated rows are kept; extra columns are ignored; no rows give no rows.
 """

@@ -149,3 +149,27 @@ def test_keep_one_finds_all_near_copies(spark):
         want += [i] if _jaccard(a, b) >= 0.8 else [i, 1000 + i]
     assert len(want) < 60
     assert sorted(r["doc_id"] for r in simhash_bk.keep_one(docs(spark, rows)).collect()) == sorted(want)
+
+
+def test_keep_one_judges_by_jaccard(spark):
+    """Texts below a similarity of 0.8 stay, and groups are those of brute force when one bucket mixes both kinds."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghij", k=4))
+    texts = []
+    for n in (100, 400):
+        base = [word() for _ in range(n)]
+        for share in range(2, 14):
+            for _ in range(3):
+                other = [*base]
+                for at in r.sample(range(n), max(1, n * share // 400)):
+                    other[at] = word()
+                texts.append(" ".join(other))
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if _jaccard(texts[i], texts[j]) >= 0.8:
+                group = [group[j] if g == group[i] else g for g in group]
+    first = {g: group.index(g) for g in group}
+    assert 4 < len(first) < len(texts) - 4
+    kept = simhash_bk.keep_one(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(first.values())
