@@ -41,7 +41,7 @@ CHUNK_BYTES = 16 << 20  # of text that share one vocabulary
 BLOCK_TOKENS = 20_000  # after so many the learner moves on
 INPUTS, GATES, MAP_STEPS = 3, 16, 33
 BYTE_ORDERS = (2, 4, 6)  # bytes before, in the word
-DELTA, RATE, EVERY = 0.4, 0.3, 4  # weights and map move at one block of EVERY; counts at all
+DELTA, RATE = 0.4, 0.02
 END, ESCAPE = b"\n", b"\x00"  # neither is a word
 CACHE_WORDS = 500_000
 SPLIT_BYTES = 1 << 16  # a sixteenth of one summed piece of a table
@@ -156,7 +156,7 @@ class Mixer:
         self.counts = np.zeros((2, INPUTS, size, 2), dtype=np.int32)  # kind, input, slot, bit
         self.weights = np.full((2, GATES, INPUTS), 0.4)
         self.map = np.zeros((2, GATES, MAP_STEPS, 2))
-        self.seen = 0
+        self.seen, self.steps = 0, [0, 0]
 
     def _look(self, kind: int, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         x, gate = np.empty((INPUTS, len(slots[0])), np.float32), None
@@ -186,21 +186,27 @@ class Mixer:
         odds = np.log(one / zero).astype(np.float32)
         return (logit + np.take(odds.reshape(-1), gate * MAP_STEPS + at)) * np.float32(0.5)
 
-    def learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray, correct: bool = True) -> None:
-        """One online block: predict, correct weights and map where asked, count."""
+    def learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray) -> None:
+        """One online block, the first in two halves so that a small table too corrects on counts."""
+        half = 0 if self.steps[kind] else len(bit) // 2
+        for part in (slice(0, half), slice(half, len(bit))):
+            self._learn(kind, [s[part] for s in slots], bit[part])
+
+    def _learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray) -> None:
+        """Predict, correct weights and map, count."""
         if not len(bit):
             return
-        if correct:
-            x, gate = self._look(kind, slots)
-            logit = self.mix(kind, x, gate)
-            error = bit - 1 / (1 + np.exp(-logit))
-            n = np.bincount(gate, minlength=GATES)
-            for k in range(INPUTS):
-                g = np.bincount(gate, weights=error * x[k], minlength=GATES) / np.maximum(n, 1)
-                self.weights[kind, :, k] = np.clip(self.weights[kind, :, k] + RATE * g * np.minimum(1, n / 100), -1, 2)
-            cell = (gate.astype(np.int64) * MAP_STEPS + np.rint((logit + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)) * 2 + bit
-            self.map[kind] += np.bincount(cell, minlength=GATES * MAP_STEPS * 2).reshape(GATES, MAP_STEPS, 2)
-            self.seen += len(bit)
+        x, gate = self._look(kind, slots)
+        logit = self.mix(kind, x, gate)
+        error = bit - 1 / (1 + np.exp(-logit))
+        n = np.bincount(gate, minlength=GATES)
+        for k in range(INPUTS):
+            g = np.bincount(gate, weights=error * x[k], minlength=GATES) / np.maximum(n, 1)
+            self.weights[kind, :, k] = np.clip(self.weights[kind, :, k] + RATE * g * np.minimum(1, n / 100), -1, 2)
+        cell = (gate.astype(np.int64) * MAP_STEPS + np.rint((logit + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)) * 2 + bit
+        self.map[kind] += np.bincount(cell, minlength=GATES * MAP_STEPS * 2).reshape(GATES, MAP_STEPS, 2)
+        self.seen += len(bit)
+        self.steps[kind] += len(bit)
         for k, s in enumerate(slots):
             np.add.at(self.counts[kind, k].reshape(-1), s * 2 + bit, np.int32(1))
 
@@ -303,19 +309,18 @@ def fit(docs: DataFrame, code: Code) -> Mixer:
     sent = docs.sparkSession.sparkContext.broadcast(code)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, m, spelt, done = sent.value, Mixer(), set(), 0
+        code, m, spelt = sent.value, Mixer(), set()
         for b in batches:
             for texts in _blocks([tokens(t) for t in b.column(0).to_pylist()], BLOCK_TOKENS):
-                correct, done = done % EVERY == 0, done + 1
                 flat, ids, _, slots, bit = _word_steps(code, texts)
-                m.learn(0, slots, bit, correct)
+                m.learn(0, slots, bit)
                 fresh = {w for w, k in zip(flat, ids.tolist()) if not k} - spelt
                 if fresh:
                     if len(spelt) > CACHE_WORDS:
                         spelt.clear()
                     spelt |= fresh
                     _, slots, bit = _byte_steps(code, sorted(fresh))
-                    m.learn(1, slots, bit, correct)
+                    m.learn(1, slots, bit)
         if m.seen:
             raw = m.counts.view(np.uint8).reshape(-1)
             for k in range(0, len(raw), SPLIT_BYTES * 16):

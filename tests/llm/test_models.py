@@ -99,3 +99,15 @@ def test_base_score(spark):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["score"] < 0 and r["bits_per_byte"] > 0 for r in got)
     assert context_mix.score(df.where(F.lit(False))).count() == 0
+
+
+def _fitted(spark, texts):
+    words = Counter(w for t in texts for w in context_mix.tokens(t))
+    top = [(w, words[w]) for w in (b"the", b"of") if w in words]
+    code = context_mix.Code(top, 50, len(texts))
+    return code, context_mix.fit(spark.createDataFrame([(t, True) for t in texts], "text string, train boolean").coalesce(1), code)
+
+
+def test_small_table_trains_the_mixer(spark):
+    _, m = _fitted(spark, [t for _, t, _ in made(60)])
+    assert np.abs(m.weights - 0.4).max(axis=(1, 2)).min() > 1e-4
