@@ -186,29 +186,30 @@ class Mixer:
         odds = np.log(one / zero).astype(np.float32)
         return (logit + np.take(odds.reshape(-1), gate * MAP_STEPS + at)) * np.float32(0.5)
 
-    def learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray) -> None:
-        """One online block, the first in two halves so that a small table too corrects on counts."""
+    def learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray, times: np.ndarray | None = None) -> None:
+        """One online block, the first in two halves so that a small table too corrects on counts. Each step counts times."""
+        times = np.ones(len(bit), np.int32) if times is None else times
         half = 0 if self.steps[kind] else len(bit) // 2
         for part in (slice(0, half), slice(half, len(bit))):
-            self._learn(kind, [s[part] for s in slots], bit[part])
+            self._learn(kind, [s[part] for s in slots], bit[part], times[part])
 
-    def _learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray) -> None:
+    def _learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray, times: np.ndarray) -> None:
         """Predict, correct weights and map, count."""
         if not len(bit):
             return
         x, gate = self._look(kind, slots)
         logit = self.mix(kind, x, gate)
-        error = bit - 1 / (1 + np.exp(-logit))
-        n = np.bincount(gate, minlength=GATES)
+        error = (bit - 1 / (1 + np.exp(-logit))) * times
+        n = np.bincount(gate, weights=times, minlength=GATES)
         for k in range(INPUTS):
             g = np.bincount(gate, weights=error * x[k], minlength=GATES) / np.maximum(n, 1)
             self.weights[kind, :, k] = np.clip(self.weights[kind, :, k] + RATE * g * np.minimum(1, n / 100), -1, 2)
         cell = (gate.astype(np.int64) * MAP_STEPS + np.rint((logit + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)) * 2 + bit
-        self.map[kind] += np.bincount(cell, minlength=GATES * MAP_STEPS * 2).reshape(GATES, MAP_STEPS, 2)
-        self.seen += len(bit)
+        self.map[kind] += np.bincount(cell, weights=times, minlength=GATES * MAP_STEPS * 2).reshape(GATES, MAP_STEPS, 2)
+        self.seen += int(times.sum())
         self.steps[kind] += len(bit)
         for k, s in enumerate(slots):
-            np.add.at(self.counts[kind, k].reshape(-1), s * 2 + bit, np.int32(1))
+            np.add.at(self.counts[kind, k].reshape(-1), s * 2 + bit, times)
 
 
 class Frozen:
@@ -309,18 +310,16 @@ def fit(docs: DataFrame, code: Code) -> Mixer:
     sent = docs.sparkSession.sparkContext.broadcast(code)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, m, spelt = sent.value, Mixer(), set()
+        code, m = sent.value, Mixer()
         for b in batches:
             for texts in _blocks([tokens(t) for t in b.column(0).to_pylist()], BLOCK_TOKENS):
                 flat, ids, _, slots, bit = _word_steps(code, texts)
                 m.learn(0, slots, bit)
-                fresh = {w for w, k in zip(flat, ids.tolist()) if not k} - spelt
-                if fresh:
-                    if len(spelt) > CACHE_WORDS:
-                        spelt.clear()
-                    spelt |= fresh
-                    _, slots, bit = _byte_steps(code, sorted(fresh))
-                    m.learn(1, slots, bit)
+                rare = Counter(w for w, k in zip(flat, ids.tolist()) if not k)
+                if rare:
+                    own = sorted(rare)
+                    word, slots, bit = _byte_steps(code, own)
+                    m.learn(1, slots, bit, np.array([rare[w] for w in own], dtype=np.int32)[word])
         if m.seen:
             raw = m.counts.view(np.uint8).reshape(-1)
             for k in range(0, len(raw), SPLIT_BYTES * 16):

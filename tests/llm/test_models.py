@@ -111,3 +111,10 @@ def _fitted(spark, texts):
 def test_small_table_trains_the_mixer(spark):
     _, m = _fitted(spark, [t for _, t, _ in made(60)])
     assert np.abs(m.weights - 0.4).max(axis=(1, 2)).min() > 1e-4
+
+
+def test_spelling_counts_occurrences(spark):
+    code, m = _fitted(spark, ["the rareword of"] * 700 + ["seldom rareword"] * 3)
+    steps = {w: len(context_mix._byte_steps(code, [w])[2]) for w in (b"rareword", b"seldom")}
+    for k in range(context_mix.INPUTS):
+        assert m.counts[1, k].sum() == 703 * steps[b"rareword"] + 3 * steps[b"seldom"]
