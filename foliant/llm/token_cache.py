@@ -15,7 +15,8 @@ import numpy as np
 
 from foliant.llm.common import held
 
-MAX_SEGMENTS = 1_000_000
+MAX_SEGMENTS = 500_000
+SLICE_CHARS = 1 << 20  # of texts whose segments are in memory at once; a longer text is a slice of its own
 #: ASCII and Latin-1 letters as UTF-8, with the space that byte-level rules put before a word.
 _LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: The same, then punctuation without the apostrophe, after which contractions may follow.
@@ -89,29 +90,32 @@ class _Cached:
             return self.one(s)
         return self._parts(s) or self.whole(s.decode("utf-8"))
 
-
-class ByteLevel(_Cached):
-    """For vocabularies with the byte-level splitting rule, which puts one space before a word into its piece."""
-
-    _segments = re.compile(rb" ?[^\s]+|\s+(?!\S)|\s")
-
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[bytes] | None] = [None if _ODD_SPACE.search(t) else self._segments.findall(t.encode("utf-8")) for t in texts]
+        """Packed ids of each text; segments are made for a slice of the texts at a time."""
         out: list[bytes] = []
         at = 0
         while at < len(texts):
             upto, size = at, 0
-            while upto < len(texts) and (size < MAX_SEGMENTS // 4 or upto == at):
-                size += len(cut[upto] or ())
+            while upto < len(texts) and (size < SLICE_CHARS or upto == at):
+                size += len(texts[upto])
                 upto += 1
-            self.learn(set().union(*[c for c in cut[at:upto] if c]))
+            cut = [self.segments(t) for t in texts[at:upto]]
+            self.learn(set().union(*[c for c in cut if c]))
             get = self.known.__getitem__
-            for k in range(at, upto):
-                out.append(self.whole(texts[k]) if cut[k] is None else b"".join(map(get, cut[k])))
+            out.extend(self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts[at:upto], cut))
             at = upto
         return out
 
 
+class ByteLevel(_Cached):
+    """For vocabularies with the byte-level splitting rule, which puts one space before a word into its piece."""
+
+    _segments = re.compile(rb" ?[^\s]+|\s+(?!\S)|\s")
+
+    def segments(self, text: str) -> list[bytes] | None:
+        return None if _ODD_SPACE.search(text) else self._segments.findall(text.encode("utf-8"))
+
+
 def _lower(text: str) -> bytes:
     """UTF-8 with ASCII and Latin-1 letters lower-cased; the library's own lower-casing follows."""
     data = text.encode("utf-8")
@@ -121,20 +125,8 @@ def _lower(text: str) -> bytes:
 class SpaceFree(_Cached):
     """For vocabularies that lower-case, drop white space and end words with a mark."""
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        cut = [_lower(t).split() for t in texts]
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and (size < MAX_SEGMENTS // 4 or upto == at):
-                size += len(cut[upto])
-                upto += 1
-            self.learn(set().union(*cut[at:upto]))
-            get = self.known.__getitem__
-            out.extend(b"".join(map(get, c)) for c in cut[at:upto])
-            at = upto
-        return out
+    def segments(self, text: str) -> list[bytes]:
+        return _lower(text).split()
 
 
 def cached(kind: type, path: str):
