@@ -1,438 +1,679 @@
 """Language-model scores by online logistic context mixing.
 
-A text is its lower-cased words and an end mark. Frequent words are symbols of a Huffman tree; other words are an escape
-symbol and then their bytes, symbols of a second tree, up to an end-of-word byte. Every step down a tree is a bit. Bit
-predictors look up the zeros and ones counted before in fixed-size tables, by the hash of the tree node and a context:
-for words nothing, the word before, and the one before that; for bytes the last two, four and six of the word. Their log odds are
-mixed by logistic weights, gated by how often the longer contexts were seen, and an adaptive probability map refines the
-mixed odds. Tasks learn online, block by block: predict, move weights and map, then count. Counts and maps are added up
-over all tasks, weights are averaged by bits seen.
-
-Sizes: the tables, the map and the weights have fixed sizes (TABLE_BITS), and the tree of words at most WORDS leaves,
-whatever the corpus; only they are sent to all tasks. The counts of all words, which the base score needs, grow with the
-corpus: they are joined to each chunk's own vocabulary and written to one folder a chunk, from which the task that
-scores the chunk reads its own.
+A text is its lower-cased words and an end mark. Each token is coded as a chain of bits: does it occur after the three
+words before it, after the two, after the one, earlier in this text, in the corpus at all? The first yes gives the level, and
+the token is then one of the level's words, each as likely as it was counted there. A word that no level has is spelled
+in bytes: steps down a Huffman tree and an end, each a bit.
+
+Every bit is predicted by several predictors, each a pair of counts (no, yes) found by a hashed context; one more is the
+share of yes so far at this level in this very text. Their log odds are mixed by logistic weights, which a gate selects by how
+often the level's context was seen. An adaptive probability map refines the mixed odds, and counts kept within the text
+refine them further while it is coded. The mixer learns online, block by block: predict, move weights and map, then
+count. It learns from all training rows, each judged against the counts of all the others (its own occurrence is taken
+off), so what it learns holds for texts that were not trained on.
+
+What is gathered from the corpus grows with it: exact counts of all words, and counts of all hashed contexts of one to
+three words with the word after them. Neither goes to the driver or to all tasks. Rows are dealt into chunks of about
+CHUNK_BYTES; a chunk asks the shard of each of its words and contexts (the number of shards follows the size of the
+corpus, and a shard tells 2**PLACE contexts apart), shards add up what the chunks have, and answer each chunk. Questions of a chunk
+to one shard travel as one packed row; there are never more such rows than distinct words and contexts of the chunks.
+Sent to all tasks are only the mixer and the byte model, of fixed size; sums of them go up a tree.
+
+The probabilities of all texts add up to at most one: a lower level doesn't exclude the words of the levels above.
 
 Defined cases: null text counts as empty, which is one end mark; null ids are trained on and scored; repeated rows are
 kept; with nothing to train on, all counts are zero and the base score is that of an unseen token; extra columns are
-ignored.
+ignored. A text is in memory whole, at about a hundred bytes a token.
 """
 
 from __future__ import annotations
 
 import heapq
-import itertools
-import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, fresh_path, held, open_fs
+from foliant.llm.common import cut
 
-WORDS = 16_382
-TABLE_BITS = 20
-CHUNK_BYTES = 16 << 20  # of text that share one vocabulary
-BLOCK_TOKENS = 20_000  # after so many the learner moves on
-INPUTS, GATES, MAP_STEPS = 3, 16, 33
-BYTE_ORDERS = (2, 4, 6)  # bytes before, in the word
-DELTA, RATE = 0.4, 0.02
-END, ESCAPE = b"\n", b"\x00"  # neither is a word
-CACHE_WORDS = 500_000
-SPLIT_BYTES = 1 << 16  # a sixteenth of one summed piece of a table
-FAN_IN = 16  # tables added up at once
+CHUNK_BYTES = 8 << 20  # of text that ask together
+PLACE = 36  # bits that tell contexts of a shard apart
+ORDERS = 3  # words before, of the longest context
+LEVELS = ORDERS + 2  # after 3, 2, 1 words; in this text; in the corpus
+TEXT, CORPUS, SPELLED, NONE = ORDERS, ORDERS + 1, ORDERS + 2, ORDERS + 3
+SLOTS_BITS = 14  # of each predictor's table
+INPUTS, GATES, MAP_STEPS = 4, 16, 33  # predictors by hashed context
+BLOCK = 1 << 13  # bits after which the learner moves on
+DELTA, RATE, START_WEIGHT = 0.4, 0.3, 0.3
+TEXT_BINS, TEXT_PRIOR = 8, 24.0
+BYTE_BITS, BYTE_ORDERS = 18, (1, 2, 3, 5)
+END, SPELL_END = b"", b"\n"  # neither is a word
+FAN_IN = 16  # models added up at once
+_U = np.uint64
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8").lower().split(), END]
+    """Lower-cased words, then the end mark."""
+    return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
-def huffman(counts: list[int]) -> list[str]:
-    """Code words, as strings of 0 and 1, of symbols with these counts."""
-    heap = [(c, k, k) for k, c in enumerate(counts)]
-    heapq.heapify(heap)
-    children: dict[int, tuple[int, int]] = {}
-    fresh = len(counts)
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        children[fresh] = (a[2], b[2])
-        heapq.heappush(heap, (a[0] + b[0], fresh, fresh))
-        fresh += 1
-    codes, todo = [""] * len(counts), [(heap[0][2], "")]
-    while todo:
-        node, code = todo.pop()
-        if node < len(counts):
-            codes[node] = code
-        else:
-            todo += [(children[node][0], code + "0"), (children[node][1], code + "1")]
-    return codes
+def is_training(id_col: str = "doc_id") -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) != 1, F.lit(True))
 
 
-class Tree:
-    """For each symbol the nodes that its code passes and the bits taken there, as flat arrays."""
+# tokens of a chunk and their hashed contexts
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 64-bit numbers."""
+    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U(32))
+
+
+@dataclass
+class Tokens:
+    """Texts one after another as word numbers; a text ends with word 0, the end mark."""
+
+    words: list[bytes]
+    hashes: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    doc: np.ndarray
+    bytes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Tokens:
+        known: dict[bytes, int] = {END: 0}
+        parts, lengths, sizes = [], [], []
+        for t in texts:
+            own = tokens(t)
+            for w in set(own).difference(known):
+                known[w] = len(known)
+            parts.append(np.fromiter(map(known.__getitem__, own), dtype=np.int32, count=len(own)))
+            lengths.append(len(own))
+            sizes.append(len((t or "").encode("utf-8", "replace")))
+        h = xxhash.xxh64_intdigest
+        n = np.array(lengths, dtype=np.int64)
+        hashes = np.fromiter((h(w, 9) for w in known), dtype=np.uint64, count=len(known))
+        return cls(list(known), hashes, np.concatenate(parts), np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), np.array(sizes))
+
+    def before(self) -> list[np.ndarray]:
+        """Hashes of the words one, two and three before each token; those before a text are zero."""
+        out, last = [], self.hashes[self.ids]
+        for _ in range(ORDERS):
+            last = np.concatenate((np.zeros(1, np.uint64), last[:-1]))
+            last[self.starts] = 0
+            out.append(last)
+        return out
 
-    def __init__(self, counts: list[int], salt: int):
-        codes = huffman(counts)
-        self.length = np.array([len(c) for c in codes], dtype=np.int32)
-        self.start = np.cumsum(self.length) - self.length
-        names: dict[str, int] = {}
-        self.node = np.array([names.setdefault(c[:k], len(names)) for c in codes for k in range(len(c))], dtype=np.uint32) * np.uint32(2) + np.uint32(salt)
-        self.bit = np.array([int(b) for c in codes for b in c], dtype=bool)
+    def contexts(self, shards: int) -> list[np.ndarray]:
+        """For 1, 2 and 3 words before: each token's place, shard * 2**PLACE + slot, by a hash of those words and its own."""
+        out, h = [], self.hashes[self.ids]
+        for k, last in enumerate(self.before()):
+            h = mix64(h * _U(0x9E3779B97F4A7C15) + mix64(last + _U(k + 1)))
+            out.append(places(h, shards))
+        return out
 
-    def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbol position, node, bit) of every step of the symbols' codes."""
-        n = self.length[symbols]
-        owner = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) + np.repeat(self.start[symbols] - (ends - n), n)
-        return owner, self.node[at], self.bit[at]
+    def word_order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers by shard and hash, shard of each)."""
+        order = np.argsort(self.hashes, kind="stable")
+        return order, (places(self.hashes[order], shards) >> _U(PLACE)).astype(np.int64)
 
 
-class Code:
-    """The two trees."""
+def places(h: np.ndarray, shards: int) -> np.ndarray:
+    """h * shards / 2**64: the whole part, which is the shard, above PLACE bits of the rest."""
+    s = _U(shards)
+    shard = ((h >> _U(32)) * s + (((h & _U(0xFFFFFFFF)) * s) >> _U(32))) >> _U(32)
+    return (shard << _U(PLACE)) | ((h * s) >> _U(64 - PLACE))
 
-    def __init__(self, words: list[tuple[bytes, int]], rest: int, ends: int):
-        self.ids = {w: k + 2 for k, (w, _) in enumerate(words)} | {END: 1}
-        self.words = Tree([max(1, rest), max(1, ends), *[c for _, c in words]], 0)
-        letters = Counter({b: 1 for b in range(256)})
-        for w, _ in words:
-            letters.update(w + END)
-        self.bytes = Tree([letters[b] for b in range(256)], 1)
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        return np.fromiter(map(get, words, itertools.repeat(0)), dtype=np.int32, count=len(words))
+def _pack_places(x: np.ndarray) -> bytes:
+    """Sorted places of one shard: the high bits, which compress, after the low ones, which don't."""
+    return x.astype("<u4").tobytes() + zlib.compress((x >> _U(32)).astype(np.uint8).tobytes(), 1)
 
 
-_M = np.uint32(0x9E3779B1)
+def _unpack_places(data: bytes, n: int) -> np.ndarray:
+    low = np.frombuffer(data, dtype="<u4", count=n).astype(np.uint64)
+    return low | (np.frombuffer(zlib.decompress(data[4 * n :]), dtype=np.uint8).astype(np.uint64) << _U(32))
 
 
-def _slots(node: np.ndarray, contexts: list[np.ndarray], owner: np.ndarray) -> list[np.ndarray]:
-    """Table rows of the steps, for each input its own table."""
-    out = []
-    for c in contexts:
-        h = (node * np.uint32(0x85EBCA6B)) ^ c[owner]
-        h = (h ^ (h >> np.uint32(15))) * _M
-        out.append((((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - TABLE_BITS)).astype(np.intp))
-    return out
+def _small(x: np.ndarray) -> bytes:
+    """Counts, compressed, as the narrowest unsigned numbers that hold them."""
+    most = int(x.max()) if len(x) else 0
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if most < 1 << 8 * int(k[2]))
+    return kind[2].encode() + zlib.compress(x.astype(kind).tobytes(), 1)
 
 
-def word_contexts(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Contexts of tokens: none, the token before, the one before that. first: marks first tokens of texts."""
-    one = np.concatenate(([0], ids[:-1] + 1)).astype(np.uint32)
-    one[first] = 0
-    two = np.concatenate(([0], one[:-1])).astype(np.uint32)
-    two[first] = 0
-    return [np.zeros(len(ids), np.uint32), (one + np.uint32(1)) * _M, (two + np.uint32(1)) * np.uint32(0x27D4EB2F)]
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), dtype="<u" + chr(data[0])).astype(np.int64)
 
 
-def byte_stream(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(bytes with an end after each word, contexts of one to three bytes, word number of each byte)."""
-    data = np.frombuffer(b"".join([w + END for w in words]), dtype=np.uint8).astype(np.int64)
-    lengths = np.array([len(w) + 1 for w in words])
-    owner = np.repeat(np.arange(len(words)), lengths)
-    pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    hashed, contexts = np.zeros(len(data), np.uint32), []
-    for k in range(1, max(BYTE_ORDERS) + 1):
-        last = np.where(pos >= k, np.concatenate((np.zeros(k, np.int64), data[:-k]))[: len(data)] + 1, 0).astype(np.uint32)
-        hashed = (hashed ^ last) * np.uint32(0x01000193) + np.uint32(k)
-        if k in BYTE_ORDERS:
-            contexts.append((hashed ^ (hashed >> np.uint32(15))) * _M)
-    return data, contexts, owner
+# questions and answers
 
 
-class Mixer:
-    """Count tables, gated weights, and the probability map. kind 0: words, 1: bytes."""
+def chunked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, train, chunk): rows dealt into chunks of about CHUNK_BYTES as they come, and written."""
 
-    BYTES = 2 * INPUTS * 2 * 4 << TABLE_BITS  # of the tables
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size = TaskContext.get().partitionId() << 24, 0
+        for b in batches:
+            own = []
+            for n in b.column(3).to_pylist():
+                own.append(part + size // CHUNK_BYTES)
+                size += n
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own, pa.int64()), b.column(3)], names=["doc_id", "text", "train", "chunk", "n"])
+
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), is_training().alias("train"), F.octet_length(text).cast("long").alias("n"))
+    return cut(rows.mapInArrow(run, "doc_id long, text string, train boolean, chunk long, n long"), "mix-docs")
+
+
+def questions(docs: DataFrame, shards: int) -> DataFrame:
+    """(shard, chunk, keys, counts): what chunks have for each shard. Shards below ``shards`` hold contexts, the others words."""
+
+    def close(chunk: int, texts: list[str], train: list[bool]) -> Iterator[pa.RecordBatch]:
+        t = Tokens.of(texts)
+        own = np.array(train, dtype=np.uint64)[t.doc]
+        q = np.concatenate([(p << _U(1)) | own for p in t.contexts(shards)])
+        q.sort()
+        place, first = _distinct(q >> _U(1))
+        counts = np.add.reduceat((q & _U(1)).astype(np.int64), first)
+        slot, at = place & _U((1 << PLACE) - 1), np.searchsorted(place, np.arange(shards + 1, dtype=np.uint64) << _U(PLACE))
+        rows = [(s, _pack_places(slot[a:b]), _small(counts[a:b])) for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if b > a]
+        order, shard = t.word_order(shards)
+        seen = np.bincount(t.ids[own == 1], minlength=len(t.words))[order]
+        at = np.searchsorted(shard, np.arange(shards + 1))
+        words = [t.words[k] for k in order.tolist()]
+        rows += [(shards + s, SPELL_END.join(words[a:b]), _small(seen[a:b])) for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if b > a]
+        for k in range(0, len(rows), 500):
+            part = rows[k : k + 500]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([chunk] * len(part), pa.int64()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary())], names=["shard", "chunk", "keys", "counts"])
 
-    def __init__(self):
-        size = 1 << TABLE_BITS
-        self.counts = np.zeros((2, INPUTS, size, 2), dtype=np.int32)  # kind, input, slot, bit
-        self.weights = np.full((2, GATES, INPUTS), 0.4)
-        self.map = np.zeros((2, GATES, MAP_STEPS, 2))
-        self.seen, self.steps = 0, [0, 0]
-
-    def _look(self, kind: int, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        x, gate = np.empty((INPUTS, len(slots[0])), np.float32), None
-        for k, s in enumerate(slots):
-            table = self.counts[kind, k].reshape(-1)
-            zero, one = np.take(table, s * 2).astype(np.float32), np.take(table, s * 2 + 1).astype(np.float32)
-            x[k] = np.log((one + np.float32(DELTA)) / (zero + np.float32(DELTA)))
-            if k:
-                n = zero + one
-                level = (n > 0).astype(np.int8) + (n > 3) + (n > 30)
-                gate = level if gate is None else gate * 4 + level
-        return x, gate.astype(np.intp)
-
-    def mix(self, kind: int, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        w = self.weights[kind].astype(np.float32)
-        total = np.take(w[:, 0], gate) * x[0]
-        for k in range(1, INPUTS):
-            total += np.take(w[:, k], gate) * x[k]
-        return np.clip(total, -12, 12, out=total)
-
-    def refine(self, kind: int, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """The mean of the mixed log odds and the map's."""
-        at = ((logit + np.float32(12)) * np.float32((MAP_STEPS - 1) / 24) + np.float32(0.5)).astype(np.intp)
-        centre = np.linspace(-12, 12, MAP_STEPS)
-        pseudo = 1 / (1 + np.exp(-centre))
-        zero, one = self.map[kind, :, :, 0] + 4 * (1 - pseudo), self.map[kind, :, :, 1] + 4 * pseudo
-        odds = np.log(one / zero).astype(np.float32)
-        return (logit + np.take(odds.reshape(-1), gate * MAP_STEPS + at)) * np.float32(0.5)
-
-    def learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray, times: np.ndarray | None = None) -> None:
-        """One online block, the first in two halves so that a small table too corrects on counts. Each step counts times."""
-        times = np.ones(len(bit), np.int32) if times is None else times
-        half = 0 if self.steps[kind] else len(bit) // 2
-        for part in (slice(0, half), slice(half, len(bit))):
-            self._learn(kind, [s[part] for s in slots], bit[part], times[part])
-
-    def _learn(self, kind: int, slots: list[np.ndarray], bit: np.ndarray, times: np.ndarray) -> None:
-        """Predict, correct weights and map, count."""
-        if not len(bit):
-            return
-        x, gate = self._look(kind, slots)
-        logit = self.mix(kind, x, gate)
-        error = (bit - 1 / (1 + np.exp(-logit))) * times
-        n = np.bincount(gate, weights=times, minlength=GATES)
-        for k in range(INPUTS):
-            g = np.bincount(gate, weights=error * x[k], minlength=GATES) / np.maximum(n, 1)
-            self.weights[kind, :, k] = np.clip(self.weights[kind, :, k] + RATE * g * np.minimum(1, n / 100), -1, 2)
-        cell = (gate.astype(np.int64) * MAP_STEPS + np.rint((logit + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)) * 2 + bit
-        self.map[kind] += np.bincount(cell, weights=times, minlength=GATES * MAP_STEPS * 2).reshape(GATES, MAP_STEPS, 2)
-        self.seen += int(times.sum())
-        self.steps[kind] += len(bit)
-        for k, s in enumerate(slots):
-            np.add.at(self.counts[kind, k].reshape(-1), s * 2 + bit, times)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, texts, train = None, [], []
+        for b in (part.slice(k, 500) for part in batches for k in range(0, part.num_rows, 500)):
+            for text, tr, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if c != chunk and texts:
+                    yield from close(chunk, texts, train)
+                    texts, train = [], []
+                chunk = c
+                texts.append(text)
+                train.append(tr)
+        if texts:
+            yield from close(chunk, texts, train)
+
+    return docs.select("text", "train", "chunk").mapInArrow(run, "shard long, chunk long, keys binary, counts binary")
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, index of the first of each) of a sorted array."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+    return x[first], first
+
+
+def answers(asked: DataFrame, shards: int) -> DataFrame:
+    """(chunk, shard, counts): the corpus's counts of what a chunk asked; chunk null: a shard's totals n, v, ends, letters."""
+
+    def contexts(chunks: list[int], keys: list[bytes], counts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        every = np.concatenate([_unpack_places(k, len(n)) for k, n in zip(keys, counts)])
+        _, back = np.unique(every, return_inverse=True)
+        total = np.zeros(int(back.max()) + 1, dtype=np.int64)
+        np.add.at(total, back, np.concatenate(counts))
+        at = np.cumsum([0, *map(len, counts)])
+        mine: dict[int, list[np.ndarray]] = {}
+        for k, c in enumerate(chunks):
+            mine.setdefault(c, []).append(back[at[k] : at[k + 1]])
+        for c, parts in mine.items():  # several parts: a chunk that was read by several tasks
+            yield c, total[parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))]
+
+    def words(chunks: list[int], keys: list[bytes], counts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        total: dict[bytes, int] = {}
+        mine: dict[int, list[bytes]] = {}
+        for c, k, n in zip(chunks, keys, counts):
+            own = k.split(SPELL_END)
+            for w, m in zip(own, n.tolist()):
+                total[w] = total.get(w, 0) + m
+            if c in mine:
+                h = xxhash.xxh64_intdigest
+                own = sorted({*mine[c], *own}, key=lambda w: h(w, 9))
+            mine[c] = own
+        for c, own in mine.items():
+            yield c, np.fromiter(map(total.__getitem__, own), dtype=np.int64, count=len(own))
+        seen = [w for w, n in total.items() if n]
+        letters = np.bincount(np.frombuffer(b"".join([w + SPELL_END for w in seen]), dtype=np.uint8), minlength=256)
+        yield None, np.concatenate(([sum(total.values()), len(seen), total.get(END, 0)], letters))
+
+    def run(group: pa.Table) -> pa.Table:
+        shard = group["shard"][0].as_py()
+        chunks, keys, counts = group["chunk"].to_pylist(), group["keys"].to_pylist(), [_wide(x) for x in group["counts"].to_pylist()]
+        out = list((contexts if shard < shards else words)(chunks, keys, counts))
+        stats = [x.tolist() if c is None else None for c, x in out]
+        return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "shard": pa.array([shard] * len(out), pa.int64()), "counts": pa.array([None if c is None else _small(x) for c, x in out], pa.binary()), "stats": pa.array(stats, pa.list_(pa.int64()))})
+
+    return cut(asked.groupBy("shard").applyInArrow(run, "chunk long, shard long, counts binary, stats array<long>"), "mix-answers")
+
+
+# bits
+
+
+@dataclass
+class Bits:
+    """The bits of one level: which tokens pass it, what they say, and what predicts them."""
+
+    token: np.ndarray
+    bit: np.ndarray
+    slots: list[np.ndarray]
+    gate: np.ndarray
+    doc: np.ndarray
+    yes: np.ndarray  # of this level so far in the text
+    so_far: np.ndarray
+
+
+@dataclass
+class Chain:
+    """Levels of a chunk's tokens, and the log probability of each token within its level (spelled ones: zero)."""
+
+    level: np.ndarray
+    choice: np.ndarray
+    bits: list[Bits] = field(default_factory=list)
+
+
+def _runs(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how many, sum of values) among the earlier elements with the same key."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    _, first = _distinct(k)
+    size = np.diff(np.append(first, len(k)))
+    nth = np.arange(len(k)) - np.repeat(first, size)
+    v = value[order].astype(np.int64)
+    total = np.cumsum(v) - v
+    total -= np.repeat(total[first], size)
+    out_n, out_v = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+    out_n[order], out_v[order] = nth, total
+    return out_n, out_v
+
+
+def _log2(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(n.astype(np.float64) + 1)[1] - 1, GATES - 1)
+
+
+def chain(t: Tokens, word_counts: np.ndarray, context_counts: list[np.ndarray], total: int, docs: int, own: np.ndarray) -> Chain:
+    """Codes tokens as bits, given counts of words and of the contexts of 1, 2, 3 words. own: 1 for a token whose text
+    is among those counted and is to be judged by the others, else 0."""
+    c0 = word_counts[t.ids] - own
+    counts = [c - own for c in context_counts]
+    seen = []  # how often the context was seen
+    for k in range(ORDERS):
+        below = word_counts[t.ids] if k == 0 else context_counts[k - 1]
+        s = np.concatenate((np.zeros(1, np.int64), below[:-1]))
+        s[t.starts] = docs
+        seen.append(s - own)
+        counts[k] = np.minimum(counts[k], seen[k])  # where two contexts share a place
+    at = np.arange(len(t.ids)) - t.starts[t.doc]
+    before, _ = _runs(t.doc * len(t.words) + t.ids, np.zeros(len(t.ids), np.int64))
+    level = np.full(len(t.ids), SPELLED)
+    level[c0 > 0] = CORPUS
+    level[before > 0] = TEXT
+    for k in range(ORDERS):
+        level[counts[k] > 0] = ORDERS - 1 - k
+    choice = np.zeros(len(t.ids))
+    for lev, have, of in [*[(ORDERS - 1 - k, counts[k], seen[k]) for k in range(ORDERS)], (TEXT, before, at), (CORPUS, c0, total - own)]:
+        own_level = np.flatnonzero(level == lev)
+        choice[own_level] = np.log(have[own_level] / (of[own_level] if isinstance(of, np.ndarray) else of))
+    last = []
+    shifted = level
+    for _ in range(4):
+        shifted = np.concatenate(([NONE], shifted[:-1]))
+        shifted[t.starts] = NONE
+        last.append(shifted)
+    sizes = [_log2(s) for s in seen]
+    size_text = _log2(at)
+    word = (mix64(t.before()[0]) >> _U(64 - SLOTS_BITS)).astype(np.int64)
+    past = ((last[0] * 7 + last[1]) * 7 + last[2]) * 7 + last[3]
+    triple = ((sizes[2] & 15) * 16 + sizes[1]) * 16 + sizes[0]
+    out = Chain(level, choice)
+    for lev in range(LEVELS):
+        have = sizes[ORDERS - 1 - lev] if lev < ORDERS else size_text if lev == TEXT else np.minimum(size_text, GATES - 1)
+        passes = level >= lev
+        if lev < ORDERS:
+            passes &= seen[ORDERS - 1 - lev] > 0
+        elif lev == TEXT:
+            passes &= at > 0
+        sel = np.flatnonzero(passes)
+        bit = (level[sel] == lev).astype(np.int64)
+        doc = t.doc[sel]
+        so_far, yes = _runs(doc, bit)
+        slots = [(have * 49 + last[0] * 7 + last[1])[sel], word[sel], triple[sel], past[sel]]
+        out.bits.append(Bits(sel, bit, slots, have[sel], doc, yes, so_far))
+    return out
 
 
-class Frozen:
-    """A trained mixer for scoring, with log odds and gate levels worked out for each slot."""
+def stretch(p):
+    return np.log(p / (1 - p))
 
-    def __init__(self, m: Mixer):
-        zero, one = m.counts[..., 0].astype(np.float32), m.counts[..., 1].astype(np.float32)
-        self.odds = np.log((one + DELTA) / (zero + DELTA)).astype(np.float32)
-        n = zero + one
-        self.level = ((n > 0).astype(np.int8) + (n > 3) + (n > 30)).astype(np.int8)
-        self.mixer = Mixer.__new__(Mixer)
-        self.mixer.weights, self.mixer.map = m.weights, m.map
 
-    def cost(self, kind: int, slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
-        """Natural-log cost of each bit."""
-        x = [np.take(self.odds[kind, k], s) for k, s in enumerate(slots)]
-        gate = (np.take(self.level[kind, 1], slots[1]) * np.int8(4) + np.take(self.level[kind, 2], slots[2])).astype(np.intp)
-        logit = self.mixer.refine(kind, self.mixer.mix(kind, x, gate), gate)
-        odd = np.where(bit, -logit, logit)
-        return np.log(np.float32(1) + np.exp(odd))
+def squash(x):
+    return 1 / (1 + np.exp(-x))
 
 
-def _blocks(texts: list[list[bytes]], most: int) -> Iterator[list[list[bytes]]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+_CENTRE = np.linspace(-12, 12, MAP_STEPS)
 
 
-def _word_steps(code: Code, texts: list[list[bytes]]):
-    """(symbols, owner token, slots, bits) of texts one after another."""
-    flat = [w for t in texts for w in t]
-    ids = code.symbols(flat)
-    first = np.cumsum([0, *[len(t) for t in texts[:-1]]])
-    owner, node, bit = code.words.steps(ids)
-    return flat, ids, owner, _slots(node, word_contexts(ids, first), owner), bit
+def text_bin(logit: np.ndarray) -> np.ndarray:
+    return np.clip((logit + 4).astype(np.int64), 0, TEXT_BINS - 1)
 
 
-def _byte_steps(code: Code, words: list[bytes]):
-    data, contexts, word = byte_stream(words)
-    owner, node, bit = code.bytes.steps(data)
-    return word[owner], _slots(node, contexts, owner), bit
+class Learner:
+    """One kind of bit: predictors' counts, weights by gate, the probability map."""
 
+    def __init__(self, inputs: int, slots: int, gates: int, extra: int):
+        self.counts = np.zeros((inputs, slots, 2))
+        self.weights = np.full((gates, inputs + extra), START_WEIGHT)
+        self.map = np.zeros((gates, MAP_STEPS, 2))
+        self.seen = 0.0
 
-def is_training(id_col: str = "doc_id") -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) != 1, F.lit(True))
+    def inputs(self, slots: list[np.ndarray], extra: list[np.ndarray]) -> np.ndarray:
+        x = np.empty((len(self.counts) + len(extra), len(slots[0])))
+        for k, s in enumerate(slots):
+            n = self.counts[k].reshape(-1)
+            x[k] = np.log((n[s * 2 + 1] + DELTA) / (n[s * 2] + DELTA))
+        for k, e in enumerate(extra):
+            x[len(slots) + k] = e
+        return x
 
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        w = self.weights[gate]
+        return np.clip(np.einsum("kn,nk->n", x, w), -12, 12)
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, train, chunk): rows dealt into chunks of about CHUNK_BYTES as they come, and written."""
+    def refined(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """The mean of the mixed log odds and the map's."""
+        pseudo = squash(_CENTRE)
+        odds = np.log((self.map[:, :, 1] + 4 * pseudo) / (self.map[:, :, 0] + 4 * (1 - pseudo)))
+        return (logit + odds[gate, np.rint((logit + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)]) / 2
+
+    def learn(self, slots: list[np.ndarray], extra: list[np.ndarray], gate: np.ndarray, bit: np.ndarray) -> None:
+        """Blocks in order, the first ones small so that a small table too corrects on counts: predict, correct weights and map, count."""
+        at, size = 0, 256
+        while at < len(bit):
+            part = slice(at, at + size)
+            s, g, b = [x[part] for x in slots], gate[part], bit[part]
+            x = self.inputs(s, [e[part] for e in extra])
+            logit = self.mixed(x, g)
+            error = b - squash(logit)
+            n = np.bincount(g, minlength=len(self.weights))
+            step = RATE * np.minimum(1, n / 100) / np.maximum(n, 1)
+            for k in range(len(x)):
+                self.weights[:, k] = np.clip(self.weights[:, k] + step * np.bincount(g, weights=error * x[k], minlength=len(n)), -1, 2)
+            cell = (g * MAP_STEPS + np.rint((logit + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64)) * 2 + b
+            self.map += np.bincount(cell, minlength=self.map.size).reshape(self.map.shape)
+            for k, own in enumerate(s):
+                np.add.at(self.counts[k].reshape(-1), own * 2 + b, 1.0)
+            self.seen += len(b)
+            at, size = at + size, min(BLOCK, size * 2)
+
+
+class Model:
+    """The learners of the levels and of spelling."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size = TaskContext.get().partitionId() << 24, 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part + size // CHUNK_BYTES] * b.num_rows, pa.int64())], names=["doc_id", "text", "train", "chunk"])
-            size += b.column(1).nbytes
+    def __init__(self):
+        self.levels = [Learner(INPUTS, 1 << SLOTS_BITS, GATES, 2) for _ in range(LEVELS)]
+        self.bytes = Learner(len(BYTE_ORDERS), 1 << BYTE_BITS, GATES, 1)
+
+    def learners(self) -> list[Learner]:
+        return [*self.levels, self.bytes]
+
+    def pack(self) -> np.ndarray:
+        """One array that can be added up: weights count by the bits they have seen."""
+        return np.concatenate([a.ravel() for m in self.learners() for a in (m.counts, m.map, m.weights * m.seen, np.array([m.seen]))])
+
+    @classmethod
+    def unpack(cls, data: np.ndarray) -> Model:
+        out, at = cls(), 0
+        for m in out.learners():
+            for a in (m.counts, m.map, m.weights):
+                if a is not m.weights:
+                    a[...] = data[at : at + a.size].reshape(a.shape)
+                else:
+                    m.seen = float(data[at + a.size])
+                    if m.seen:
+                        a[...] = data[at : at + a.size].reshape(a.shape) / m.seen
+                at += a.size
+            at += 1
+        return out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), is_training().alias("train"))
-    return cut(rows.mapInArrow(run, "doc_id long, text string, train boolean, chunk long"), "mix-docs")
+    @staticmethod
+    def extra(b: Bits) -> list[np.ndarray]:
+        """Predictors without a table: the share of yes in this text, trusted as it grows, and a constant."""
+        return [stretch((b.yes + 1) / (b.so_far + 2)) * np.minimum(1, b.so_far / 16), np.full(len(b.bit), 0.5)]
+
+    def learn(self, c: Chain) -> None:
+        for m, b in zip(self.levels, c.bits):
+            m.learn(b.slots, self.extra(b), b.gate, b.bit)
+
+    def odds(self, lev: int, b: Bits) -> np.ndarray:
+        """Log odds of yes for a level's bits, after mixing, map and the counts within the text."""
+        m, parts = self.levels[lev], []
+        for at in range(0, len(b.bit), 1 << 17):
+            part = slice(at, at + (1 << 17))
+            extra = [e[part] for e in self.extra(b)]
+            parts.append(m.refined(m.mixed(m.inputs([s[part] for s in b.slots], extra), b.gate[part]), b.gate[part]))
+        logit = np.concatenate(parts) if parts else np.zeros(0)
+        n, yes = _runs(b.doc * TEXT_BINS + text_bin(logit), b.bit)
+        return stretch(np.clip((yes + TEXT_PRIOR * squash(logit)) / (n + TEXT_PRIOR), 1e-6, 1 - 1e-6))
+
+    def cost(self, c: Chain) -> np.ndarray:
+        """Natural-log cost of each token, without spelling."""
+        out = -c.choice
+        for lev, b in enumerate(c.bits):
+            z = self.odds(lev, b)
+            out[b.token] += np.logaddexp(0, np.where(b.bit == 1, -z, z))
+        return out
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """(chunk, word, n): each chunk's distinct tokens and how often training rows have them."""
+# spelling
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = {}
-        for b in batches:
-            for text, train, chunk in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if chunk not in held:
-                    for old in [c for c in held if c != chunk]:
-                        yield from out(old, held.pop(old))
-                    held[chunk] = Counter()
-                words = tokens(text)
-                if train:
-                    held[chunk].update(words)
-                else:
-                    for w in words:
-                        held[chunk].setdefault(w, 0)
-        for old, counts in held.items():
-            yield from out(old, counts)
 
-    def out(chunk: int, counts: Counter) -> Iterator[pa.RecordBatch]:
-        words = list(counts)
-        for k in range(0, len(words), 50_000):
-            own = words[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int64()), pa.array(own, pa.binary()), pa.array([counts[w] for w in own], pa.int64())], names=["chunk", "word", "n"])
+def huffman(counts: list[int]) -> list[str]:
+    """Code words, as strings of 0 and 1, of symbols with these counts."""
+    heap = [(c, k, k) for k, c in enumerate(counts)]
+    heapq.heapify(heap)
+    children: dict[int, tuple[int, int]] = {}
+    fresh = len(counts)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        children[fresh] = (a[2], b[2])
+        heapq.heappush(heap, (a[0] + b[0], fresh, fresh))
+        fresh += 1
+    codes, todo = [""] * len(counts), [(heap[0][2], "")]
+    while todo:
+        node, code = todo.pop()
+        if node < len(counts):
+            codes[node] = code
+        else:
+            todo += [(children[node][0], code + "0"), (children[node][1], code + "1")]
+    return codes
 
-    return cut(docs.select("text", "train", "chunk").mapInArrow(run, "chunk long, word binary, n long"), "mix-words")
 
+class Tree:
+    """For each byte the nodes that its code passes and the bits taken there, as flat arrays."""
 
-def fit(docs: DataFrame, code: Code) -> Mixer:
-    """Learns from the training rows of docs; what comes back is one fixed-size model."""
-    sent = docs.sparkSession.sparkContext.broadcast(code)
+    def __init__(self, counts: list[int]):
+        codes = huffman([max(1, c) for c in counts])
+        self.length = np.array([len(c) for c in codes])
+        self.start = np.cumsum(self.length) - self.length
+        names: dict[str, int] = {}
+        self.node = np.array([names.setdefault(c[:k], len(names)) for c in codes for k in range(len(c))], dtype=np.uint64)
+        self.bit = np.array([int(b) for c in codes for b in c])
+
+    def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol position, node, bit) of every step of the symbols' codes."""
+        n = self.length[symbols]
+        at = np.arange(int(n.sum())) + np.repeat(self.start[symbols] - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(len(symbols)), n), self.node[at], self.bit[at]
+
+
+def spelling(tree: Tree, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(word number, slots, gate, bit) of every step of the words' bytes and their ends."""
+    data = np.frombuffer(b"".join([w + SPELL_END for w in words]), dtype=np.uint8).astype(np.int64)
+    lengths = np.array([len(w) + 1 for w in words])
+    word = np.repeat(np.arange(len(words)), lengths)
+    pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    owner, node, bit = tree.steps(data)
+    hashed, slots = np.zeros(len(data), np.uint64), []
+    for k in range(1, max(BYTE_ORDERS) + 1):
+        last = np.where(pos >= k, np.concatenate((np.zeros(k, np.int64), data[:-k]))[: len(data)] + 1, 0).astype(np.uint64)
+        hashed = hashed * _U(0x100000001B3) + last + _U(k)
+        if k in BYTE_ORDERS:
+            h = (hashed[owner] + node * _U(0x9E3779B97F4A7C15)) * _U(0xD6E8FEB86659FD93)
+            slots.append(((h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9) >> _U(64 - BYTE_BITS)).astype(np.int64))
+    return word[owner], slots, np.minimum(pos[owner], GATES - 1), bit
+
+
+def learn_spelling(m: Learner, tree: Tree, words: list[bytes]) -> None:
+    for k in range(0, len(words), 10_000):
+        _, slots, gate, bit = spelling(tree, words[k : k + 10_000])
+        m.learn(slots, [np.full(len(bit), 0.5)], gate, bit)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, m = sent.value, Mixer()
-        for b in batches:
-            for texts in _blocks([tokens(t) for t in b.column(0).to_pylist()], BLOCK_TOKENS):
-                flat, ids, _, slots, bit = _word_steps(code, texts)
-                m.learn(0, slots, bit)
-                rare = Counter(w for w, k in zip(flat, ids.tolist()) if not k)
-                if rare:
-                    own = sorted(rare)
-                    word, slots, bit = _byte_steps(code, own)
-                    m.learn(1, slots, bit, np.array([rare[w] for w in own], dtype=np.int32)[word])
-        if m.seen:
-            raw = m.counts.view(np.uint8).reshape(-1)
-            for k in range(0, len(raw), SPLIT_BYTES * 16):
-                part = raw[k : k + SPLIT_BYTES * 16].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([k // (SPLIT_BYTES * 16)], pa.int32()), pa.array([zlib.compress(part, 1)], pa.binary())], names=["part", "data"])
-            small = np.concatenate([(m.weights * m.seen).ravel(), m.map.ravel(), [m.seen]])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([zlib.compress(small.tobytes(), 1)], pa.binary())], names=["part", "data"])
+
+def spelling_cost(m: Learner, tree: Tree, words: list[bytes]) -> np.ndarray:
+    """Natural-log cost of each word's bytes and its end."""
+    out = []
+    for k in range(0, len(words), 10_000):
+        part = words[k : k + 10_000]
+        word, slots, gate, bit = spelling(tree, part)
+        z = m.refined(m.mixed(m.inputs(slots, [np.full(len(bit), 0.5)]), gate), gate)
+        out.append(np.bincount(word, weights=np.logaddexp(0, np.where(bit == 1, -z, z)), minlength=len(part)))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+# fitting and scoring
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Training tokens, distinct ones, texts, and how often each byte is in the distinct words."""
+
+    n: int
+    v: int
+    ends: int
+    letters: tuple[int, ...]
+
+
+def known_counts(t: Tokens, rows: pa.Table, shards: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The corpus's counts of a chunk's words and contexts, from the answers to the chunk."""
+    told = sorted(zip(rows["shard"].to_pylist(), rows["counts"].to_pylist()))
+    empty = [np.zeros(0, np.int64)]
+    of_contexts = np.concatenate([_wide(x) for s, x in told if s < shards] or empty)
+    of_words = np.concatenate([_wide(x) for s, x in told if s >= shards] or empty)
+    q = t.contexts(shards)
+    place, back = np.unique(np.concatenate(q), return_inverse=True)
+    order, _ = t.word_order(shards)
+    if len(of_contexts) != len(place) or len(of_words) != len(order):
+        raise ValueError("the answers don't fit the chunk's questions")
+    words = np.empty(len(order), np.int64)
+    words[order] = of_words
+    return words, np.split(of_contexts[back], ORDERS)
+
+
+def fit(docs: DataFrame, told: DataFrame, shards: int, corpus: Corpus) -> Model:
+    """Learns from all training rows; what comes back is one model of fixed size."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = Tokens.of(left["text"].to_pylist())
+        words, contexts = known_counts(t, right, shards)
+        train = np.array(left["train"].to_pylist(), dtype=bool)
+        model = Model()
+        own = train[t.doc].astype(np.int64)
+        c = chain(t, words, contexts, corpus.n, corpus.ends, own)
+        for b in c.bits:
+            keep = own[b.token] == 1
+            b.token, b.bit, b.slots, b.gate, b.doc, b.yes, b.so_far = b.token[keep], b.bit[keep], [s[keep] for s in b.slots], b.gate[keep], b.doc[keep], b.yes[keep], b.so_far[keep]
+        model.learn(c)
+        # a word counted once is new to all other texts
+        new = [t.words[k] for k in np.flatnonzero((words == 1) & (np.bincount(t.ids[own == 1], minlength=len(words)) > 0)).tolist() if k]
+        learn_spelling(model.bytes, Tree(list(corpus.letters)), sorted(new))
+        return pa.table({"deal": pa.array([left["chunk"][0].as_py()], pa.int64()), "data": pa.array([zlib.compress(model.pack().tobytes(), 1)], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        deal, total = None, None
         for b in batches:
-            for part, deal, data in zip(*(b.column(k).to_pylist() for k in range(3))):
-                own = np.frombuffer(zlib.decompress(data), dtype=np.float64 if part < 0 else np.int32)
-                sums[part, deal] = sums[part, deal] + own if (part, deal) in sums else own
-        for (part, deal), total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([deal], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "deal", "data"])
-
-    train = docs.where("train").select("text")
-    groups, tasks = max(1, train.rdd.getNumPartitions()), docs.sparkSession.sparkContext.defaultParallelism
-    summed = train.mapInArrow(run, "part int, data binary").select("part", F.spark_partition_id().alias("deal"), "data")
-    parts = Mixer.BYTES // (SPLIT_BYTES * 16) + 1
-    while True:  # a tree of sums, in which no task reads more than FAN_IN of what others made, however many there are
-        groups = -(-groups // FAN_IN)
-        summed = summed.withColumn("deal", F.pmod("deal", F.lit(groups))).repartition(max(tasks, parts * groups // 4), "part", "deal").mapInArrow(add, "part int, deal int, data binary")
-        if groups == 1:
-            break
-    m = Mixer()
-    flat = m.counts.view(np.uint8).reshape(-1)
-    for row in summed.toLocalIterator():  # a model of fixed size
-        data = zlib.decompress(row["data"])
-        if row["part"] < 0:
-            small = np.frombuffer(data, dtype=np.float64)
-            w = m.weights.size
-            m.seen = int(small[-1])
-            m.weights, m.map = (small[:w] / m.seen).reshape(m.weights.shape), small[w:-1].reshape(m.map.shape).copy()
-        else:
-            at = row["part"] * SPLIT_BYTES * 16
-            flat[at : at + len(data)] = np.frombuffer(data, dtype=np.uint8)
-    return m
+            for k in range(b.num_rows):
+                own = np.frombuffer(zlib.decompress(b.column(1)[k].as_py()), dtype=np.float64)
+                deal, total = b.column(0)[k].as_py(), own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([deal], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["deal", "data"])
+
+    rows = docs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, "deal long, data binary")
+    summed = cut(rows, "mix-models")
+    count = summed.count()
+    while count > 1:  # a tree of sums, in which no task reads more than about FAN_IN models, however many there are
+        count = -(-count // FAN_IN)
+        summed = cut(summed.repartition(count, "deal").mapInArrow(add, "deal long, data binary"), "mix-models")
+        count = summed.count()
+    row = summed.first()
+    return Model() if row is None else Model.unpack(np.frombuffer(zlib.decompress(row["data"]), dtype=np.float64))
+
+
+@dataclass(frozen=True)
+class Learned:
+    """Chunks of rows, the answers to them, and what was learned from the training rows."""
+
+    docs: DataFrame
+    told: DataFrame
+    shards: int
+    corpus: Corpus
+    model: Model
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Learned:
+    docs = chunked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    size = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards, docs = max(1, -(-size // CHUNK_BYTES)), docs.drop("n")
+    told = answers(questions(docs, shards), shards)
+    stats = told.where("chunk is null").select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
+    sums = {r["k"]: r["x"] for r in stats.collect()}  # 259 rows
+    corpus = Corpus(sums.get(0, 0), sums.get(1, 0), sums.get(2, 0), tuple(sums.get(k + 3, 0) for k in range(256)))
+    told = told.where("chunk is not null").select("chunk", "shard", "counts")
+    return Learned(docs, told, shards, corpus, fit(docs, told, shards, corpus))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row."""
-    spark = docs.sparkSession
-    docs = chunked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    words = vocabulary(docs)
-    totals = cut(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "mix-counts")
-    n, v = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["word"]), r["c"]) for r in totals.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(WORDS).collect()]
-    ends = totals.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    code = Code(top, n - ends - sum(c for _, c in top), ends)
-    folder = fresh_path(spark, "mix-vocabulary")
-    known = words.select("chunk", "word").join(totals, "word")
-    known.repartition("chunk").write.partitionBy("chunk").parquet(folder)
-    model = fit(docs, code)
-    sent = spark.sparkContext.broadcast((code, Frozen(model)))
-    floor = float(np.log10(0.5 / (n + 0.5 * (v + 1))))
-    below = float(np.log10(n + 0.5 * (v + 1)))
-    key = uuid.uuid4().hex
-
-    def counts_of(chunk: int) -> dict[bytes, int]:
-        import pyarrow.parquet as pq
-        from pyarrow.fs import FileSelector
-
-        fs, base = open_fs(folder)
-        out: dict[bytes, int] = {}
-        for f in fs.get_file_info(FileSelector(f"{base}/chunk={chunk}", allow_not_found=True)):
-            if f.is_file and f.path.endswith(".parquet"):
-                with fs.open_input_file(f.path) as file:
-                    for b in pq.ParquetFile(file).iter_batches(columns=["word", "c"]):
-                        out.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, model = sent.value
-        spelt: dict[bytes, float] = held(key, dict)
-        chunk, counts = None, {}
-        for b in batches:
-            ids, texts, train, chunks = (b.column(k).to_pylist() for k in range(4))
-            at = 0
-            while at < len(ids):
-                upto = at
-                size = 0
-                while upto < len(ids) and chunks[upto] == chunks[at] and (size < 1 << 19 or upto == at):
-                    size += len(texts[upto])
-                    upto += 1
-                if chunks[at] != chunk:
-                    chunk, counts = chunks[at], counts_of(chunks[at])
-                split = [tokens(t) for t in texts[at:upto]]
-                lengths = np.array([len(t) for t in split])
-                starts = np.cumsum(lengths) - lengths
-                flat, symbols, owner, slots, bit = _word_steps(code, split)
-                cost = np.bincount(owner, weights=model.cost(0, slots, bit), minlength=len(flat))
-                escaped = np.flatnonzero(symbols == 0)
-                own = [flat[k] for k in escaped.tolist()]
-                fresh = sorted(set(own).difference(spelt))
-                if fresh:
-                    if len(spelt) > CACHE_WORDS:
-                        spelt.clear()
-                        fresh = sorted(set(own))
-                    for k in range(0, len(fresh), 20_000):
-                        part = fresh[k : k + 20_000]
-                        word, slots, bit = _byte_steps(code, part)
-                        spelt.update(zip(part, np.bincount(word, weights=model.cost(1, slots, bit), minlength=len(part)).tolist()))
-                cost[escaped] += [spelt[w] for w in own]
-                c = np.fromiter(map(counts.get, flat, itertools.repeat(0)), dtype=np.float64, count=len(flat))
-                base = np.where(c > 0, np.log10(c + 0.5) - below, floor)
-                total = np.add.reduceat(cost, starts)
-                size = np.array([max(1, len(t.encode("utf-8"))) for t in texts[at:upto]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at:upto], pa.int64()), pa.array([not t for t in train[at:upto]]), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array([n] * len(split), pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(-total / np.log(10)), pa.array(total / np.log(2) / size)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
-                )
-                at = upto
-
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    learned = learn(docs, id_col, text_col)
+    shards, corpus = learned.shards, learned.corpus
+    sent = docs.sparkSession.sparkContext.broadcast(learned.model)  # of fixed size
+    floor, below = float(np.log10(0.5 / (corpus.n + 0.5 * (corpus.v + 1)))), float(np.log10(corpus.n + 0.5 * (corpus.v + 1)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        t = Tokens.of(left["text"].to_pylist())
+        words, contexts = known_counts(t, right, shards)
+        cost = total_cost(sent.value, Tree(list(corpus.letters)), t, words, contexts, corpus)
+        base = np.where(words > 0, np.log10(words + 0.5) - below, floor)[t.ids]
+        n = len(t.starts)
+        sums = lambda x: np.bincount(t.doc, weights=x, minlength=n)
+        nats = sums(cost)
+        return pa.table({
+            "doc_id": left["doc_id"], "held_out": pa.array([not x for x in left["train"].to_pylist()]), "n_tokens": pa.array(np.bincount(t.doc, minlength=n), pa.int64()), "n_known": pa.array(np.bincount(t.doc[words[t.ids] > 0], minlength=n), pa.int64()),
+            "train_tokens": pa.array([corpus.n] * n, pa.int64()), "base_score": pa.array(sums(base)), "score": pa.array(-nats / np.log(10)), "bits_per_byte": pa.array(nats / np.log(2) / np.maximum(1, t.bytes)),
+        })
+
+    return learned.docs.groupBy("chunk").cogroup(learned.told.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+
+
+def total_cost(model: Model, tree: Tree, t: Tokens, words: np.ndarray, contexts: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """Natural-log cost of each token, spelling included."""
+    c = chain(t, words, contexts, corpus.n, corpus.ends, np.zeros(len(t.ids), np.int64))
+    cost = model.cost(c)
+    new = np.flatnonzero(words == 0)
+    spelt = np.zeros(len(words))
+    spelt[new] = spelling_cost(model.bytes, tree, [t.words[k] for k in new.tolist()])
+    at = np.flatnonzero(c.level == SPELLED)
+    cost[at] += spelt[t.ids[at]]
+    return cost

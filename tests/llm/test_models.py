@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from foliant.llm import context_mix, toxicity
@@ -74,18 +75,160 @@ def test_huffman():
     assert len(set(codes)) == 4 and len(codes[0]) == 1 and abs(sum(2.0 ** -len(c) for c in codes) - 1) < 1e-12
 
 
-def test_probabilities_sum_to_one():
-    """All next symbols of a context share a probability of one."""
-    code = context_mix.Code([(b"a", 5), (b"b", 2)], 3, 4)
-    m = context_mix.Mixer()
-    texts = [[b"a", b"b", context_mix.END]] * 20
-    _, _, _, slots, bit = context_mix._word_steps(code, texts)
-    m.learn(0, slots, bit)
-    frozen, total = context_mix.Frozen(m), 0.0
-    for s in range(4):
-        owner, node, bit = code.words.steps(np.array([s]))
-        total += math.exp(-frozen.cost(0, context_mix._slots(node, [np.full(1, 7, np.uint32)] * 3, owner), bit).sum())
-    assert abs(total - 1) < 1e-5
+def _learned(spark, rows):
+    return context_mix.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def _trains(i):
+    return i is None or zlib.crc32(str(i).encode()) % 5 != 1
+
+
+class Slow:
+    """Scores one bit at a time, from counts of its own and a learned mixer."""
+
+    def __init__(self, rows, model):
+        self.model, self.train = model, [context_mix.tokens(t) for i, t in rows if _trains(i)]
+        self.counts = [Counter() for _ in range(4)]
+        for toks in self.train:
+            for i, w in enumerate(toks):
+                for k in range(4):
+                    self.counts[k][self.context(toks, i, k) + (w,)] += 1
+        self.seen = [Counter() for _ in range(4)]
+        for k in range(4):
+            for key, n in self.counts[k].items():
+                self.seen[k][key[:-1]] += n
+        letters = [0] * 256
+        for (w,) in self.counts[0]:
+            for b in w + b"\n":
+                letters[b] += 1
+        self.codes = context_mix.huffman([max(1, n) for n in letters])
+        self.nodes = {}
+        for code in self.codes:
+            for k in range(len(code)):
+                self.nodes.setdefault(code[:k], len(self.nodes))
+
+    @staticmethod
+    def context(toks, i, k):
+        return tuple(toks[j] if j >= 0 else None for j in range(i - k, i))
+
+    @staticmethod
+    def probability(m, slots, extra, gate, levels=True):
+        x = [math.log((m.counts[k][s][1] + context_mix.DELTA) / (m.counts[k][s][0] + context_mix.DELTA)) for k, s in enumerate(slots)] + extra
+        logit = min(12.0, max(-12.0, sum(a * b for a, b in zip(x, m.weights[gate]))))
+        cell = round((logit + 12) * (context_mix.MAP_STEPS - 1) / 24)
+        centre = 1 / (1 + math.exp(-(-12 + 24 * cell / (context_mix.MAP_STEPS - 1))))
+        no, yes = m.map[gate][cell]
+        return (logit + math.log((yes + 4 * centre) / (no + 4 * (1 - centre)))) / 2
+
+    def spelling(self, word):
+        cost = 0.0
+        data = word + b"\n"
+        for pos, byte in enumerate(data):
+            hashed, of = 0, []
+            for k in range(1, max(context_mix.BYTE_ORDERS) + 1):
+                hashed = (hashed * 0x100000001B3 + (data[pos - k] + 1 if pos >= k else 0) + k) % 2**64
+                if k in context_mix.BYTE_ORDERS:
+                    of.append(hashed)
+            for k, bit in enumerate(self.codes[byte]):
+                slots = []
+                for h in of:
+                    h = (h + self.nodes[self.codes[byte][:k]] * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 % 2**64
+                    slots.append((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64 >> 64 - context_mix.BYTE_BITS)
+                z = self.probability(self.model.bytes, slots, [0.5], min(pos, context_mix.GATES - 1))
+                cost += math.log1p(math.exp(-z if bit == "1" else z))
+        return cost
+
+    def cost(self, text):
+        toks, levels, cost = context_mix.tokens(text), [], 0.0
+        told, bins, mine = [[0, 0] for _ in range(5)], Counter(), Counter()
+        log2 = lambda n: min(15, (n + 1).bit_length() - 1)
+        for i, w in enumerate(toks):
+            seen = [self.seen[k][self.context(toks, i, k)] for k in (1, 2, 3)]
+            have = [self.counts[k][self.context(toks, i, k) + (w,)] for k in (1, 2, 3)]
+            c0, total = self.counts[0][(w,)], self.seen[0][()]
+            level = next((3 - k for k in (3, 2, 1) if have[k - 1]), 3 if mine[w] else 4 if c0 else 5)
+            past = [levels[-k] if len(levels) >= k else 6 for k in (1, 2, 3, 4)]
+            sizes, at = [log2(s) for s in seen], log2(i)
+            before = int(context_mix.mix64(np.array([xxhash.xxh64_intdigest(toks[i - 1], 9) if i else 0], np.uint64))[0]) >> 64 - context_mix.SLOTS_BITS
+            for lev in range(min(level, 4) + 1):
+                if (lev < 3 and not seen[2 - lev]) or (lev == 3 and not i):
+                    continue
+                gate = sizes[2 - lev] if lev < 3 else at
+                slots = [gate * 49 + past[0] * 7 + past[1], before, (sizes[2] * 16 + sizes[1]) * 16 + sizes[0], ((past[0] * 7 + past[1]) * 7 + past[2]) * 7 + past[3]]
+                n, yes = told[lev]
+                z = self.probability(self.model.levels[lev], slots, [math.log((yes + 1) / (n - yes + 1)) * min(1, n / 16), 0.5], gate)
+                place = (lev, min(7, max(0, int(z + 4))))
+                p = (bins[place, 1] + 24 / (1 + math.exp(-z))) / (bins[place, 0] + bins[place, 1] + 24)
+                bit = int(level == lev)
+                cost -= math.log(p if bit else 1 - p)
+                told[lev] = [n + 1, yes + bit]
+                bins[place, bit] += 1
+            if level < 5:
+                cost -= math.log([have[2] / max(1, seen[2]), have[1] / max(1, seen[1]), have[0] / max(1, seen[0]), mine[w] / max(1, i), c0 / max(1, total)][level])
+            else:
+                cost += self.spelling(w)
+            levels.append(level)
+            mine[w] += 1
+        return cost
+
+
+def test_score_against_single_bits(spark):
+    rows = [(i, t) for i, t, _ in made(80)] + [(200 + i, f"the same passage stands in many texts of number {i} . " * 2) for i in range(12)] + [(300, None), (301, "Zoë ÀÉ \x0b x"), (None, "abcd")]
+    learned = _learned(spark, rows)
+    slow = Slow(rows, learned.model)
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in context_mix.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert math.isclose(got[i, len(context_mix.tokens(t))], -slow.cost(t) / math.log(10), rel_tol=1e-6, abs_tol=1e-6), (i, t)
+
+
+def test_next_tokens_add_up_to_at_most_one(spark):
+    rows = [(i, t) for i, t, _ in made(40)]
+    slow = Slow(rows, _learned(spark, rows).model)
+    every = [w for (w,) in slow.counts[0]]
+    for start in ("", "abcd ", rows[0][1][:20] + " "):
+        first = slow.cost(start)
+        # the cost of a text one token longer, less what both share; the end mark's own cost is put back
+        shared = first - _last(slow, start)
+        assert sum(math.exp(-(slow.cost(start + w.decode()) - _last(slow, start + w.decode()) - shared)) for w in every if w) <= 1 + 1e-9
+
+
+def _last(slow, text):
+    """The cost of the end mark alone."""
+    toks = context_mix.tokens(text)
+    whole, end = slow.cost(text), 0.0
+    tokens, context_mix.tokens = context_mix.tokens, lambda t: toks[:-1]
+    try:
+        end = whole - slow.cost(text)
+    finally:
+        context_mix.tokens = tokens
+    return end
+
+
+def test_held_out_texts_beat_the_base(spark, sf):
+    out = context_mix.score(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > out[1]
+
+
+def test_counts_do_not_depend_on_partitions(spark, monkeypatch):
+    """More chunks and shards, and chunks that several tasks read, change no count."""
+    df = spark.createDataFrame([(i, t) for i, t, _ in made(60)], "doc_id long, text string")
+    told = []
+    for parts, size in ((1, 8 << 20), (5, 2000)):
+        monkeypatch.setattr(context_mix, "CHUNK_BYTES", size)
+        one = _learned(spark, [(i, t) for i, t, _ in made(60)]) if parts == 1 else context_mix.learn(df.repartition(parts))
+        told.append(one.corpus)
+    assert told[0] == told[1]
+    chunk = context_mix.chunked(df.coalesce(1))
+    asked = context_mix.questions(chunk.drop("n"), 3)
+    split = context_mix.questions(chunk.drop("n").where("doc_id < 30"), 3).unionByName(context_mix.questions(chunk.drop("n").where("doc_id >= 30"), 3))
+    kept = lambda x: sorted((r["shard"], r["counts"]) for r in context_mix.answers(x, 3).where("chunk is not null").collect())
+    assert kept(asked) == kept(split)
+
+
+def test_counts_beyond_32_bits():
+    big = np.array([3, 5 * 10**9], dtype=np.int64)
+    assert context_mix._wide(context_mix._small(big)).tolist() == big.tolist()
 
 
 def test_base_score(spark):
@@ -101,20 +244,16 @@ def test_base_score(spark):
     assert context_mix.score(df.where(F.lit(False))).count() == 0
 
 
-def _fitted(spark, texts):
-    words = Counter(w for t in texts for w in context_mix.tokens(t))
-    top = [(w, words[w]) for w in (b"the", b"of") if w in words]
-    code = context_mix.Code(top, 50, len(texts))
-    return code, context_mix.fit(spark.createDataFrame([(t, True) for t in texts], "text string, train boolean").coalesce(1), code)
-
-
 def test_small_table_trains_the_mixer(spark):
-    _, m = _fitted(spark, [t for _, t, _ in made(60)])
-    assert np.abs(m.weights - 0.4).max(axis=(1, 2)).min() > 1e-4
+    m = _learned(spark, [(i, t) for i, t, _ in made(60)]).model
+    assert all(np.abs(x.weights - context_mix.START_WEIGHT).max() > 1e-3 for x in (m.levels[2], m.levels[4], m.bytes))
 
 
-def test_spelling_counts_occurrences(spark):
-    code, m = _fitted(spark, ["the rareword of"] * 700 + ["seldom rareword"] * 3)
-    steps = {w: len(context_mix._byte_steps(code, [w])[2]) for w in (b"rareword", b"seldom")}
-    for k in range(context_mix.INPUTS):
-        assert m.counts[1, k].sum() == 703 * steps[b"rareword"] + 3 * steps[b"seldom"]
+def test_every_training_bit_is_learned(spark):
+    rows = [(i, t) for i, t, _ in made(60)]
+    m = _learned(spark, rows).model
+    n = sum(len(context_mix.tokens(t)) for i, t in rows if _trains(i))
+    firsts = sum(1 for i, _ in rows if _trains(i))
+    assert m.levels[3].seen == n - firsts and 0 < m.levels[2].seen <= n  # here no word of a pair is told by the words before
+    for x in m.learners():
+        assert all(abs(x.counts[k].sum() - x.seen) < 1e-6 for k in range(len(x.counts))) and abs(x.map.sum() - x.seen) < 1e-6
