@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.catalog import query
 from foliant.model import table
-from foliant.operators import rules
+from foliant.operators import rules, stories, workbook
 
 DOC = "documents"
 
@@ -103,41 +103,52 @@ def theta_contains_join(spark, sf_dir):
     return p.join(F.broadcast(n), either).select("p_partkey", "n_nationkey")
 
 
-@query(r"WITH k AS (SELECT * FROM (VALUES ('idiot'), ('clown'), ('moron')) t(name)) SELECT doc_id, name FROM documents, k WHERE regexp_matches(text, '\b' || name || '\b')")
+_NAMES = "SELECT DISTINCT regexp_extract(lower(text), '[a-z]+') AS name FROM benchmark WHERE regexp_matches(lower(text), '[a-z]')"
+
+
+@query(rf"WITH k AS ({_NAMES}), w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))) AS word FROM documents) SELECT doc_id, name FROM w JOIN k ON word = name")
 def known_mentions(spark, sf_dir):
-    names = F.array(*[F.when(F.col("text").rlike(rf"\b{w}\b"), w) for w in ("idiot", "clown", "moron")])
-    return table(spark, sf_dir, DOC).select("doc_id", F.explode(F.array_compact(names)).alias("name"))
+    names = table(spark, sf_dir, "benchmark").select(F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("name"))
+    return stories.mentions(table(spark, sf_dir, DOC), "doc_id", "text", names)
 
 
-@query("WITH r AS (SELECT * FROM (VALUES ('src1'), ('src2'), ('src10')) t(name)), m AS (SELECT DISTINCT source FROM documents) SELECT source FROM m WHERE source NOT IN (SELECT name FROM r)")
+@query("SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1 AND d.source IS NOT NULL)")
 def undefined_names(spark, sf_dir):
-    return table(spark, sf_dir, DOC).select("source").distinct().where(~F.col("source").isin("src1", "src2", "src10"))
+    docs = table(spark, sf_dir, DOC).select("doc_id", "source")
+    defined = docs.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi").select("source")
+    return rules.undefined(docs, defined, "source")
 
 
-_RULES = "SELECT * FROM (VALUES ('STANDARD', 1), ('PROMO', 2), ('STEEL', 3)) t(rule, rule_no)"
+_RULES = "SELECT rule, row_number() OVER (ORDER BY rule) AS rule_no FROM (SELECT DISTINCT split_part(upper(p_type), ' ', 1) AS rule FROM part)"
 
 
-@query(f"WITH r AS ({_RULES}), c AS (SELECT p_partkey, rule, CASE WHEN upper(p_type) = rule THEN 1 WHEN contains(upper(p_type), rule) THEN 2 WHEN contains(upper(p_name), left(rule, 3)) THEN 3 END AS stage, rule_no FROM part, r) SELECT p_partkey, arg_min(rule, stage * 10 + rule_no) AS rule, min(stage)::INTEGER AS stage FROM c WHERE stage IS NOT NULL GROUP BY 1")
+@query(f"WITH r AS ({_RULES}), c AS (SELECT p_partkey, rule, CASE WHEN upper(p_type) = rule THEN 1 WHEN contains(upper(p_type), rule) THEN 2 WHEN contains(upper(p_name), left(rule, 3)) THEN 3 END AS stage, rule_no FROM part, r) SELECT p_partkey, arg_min(rule, stage * 1000 + rule_no) AS rule, min(stage)::INTEGER AS stage FROM c WHERE stage IS NOT NULL GROUP BY 1")
 def fallback_rule_match(spark, sf_dir):
-    found = []
-    for no, rule in enumerate(("STANDARD", "PROMO", "STEEL"), 1):
-        stage = F.when(F.upper("p_type") == rule, 1).when(F.contains(F.upper("p_type"), F.lit(rule)), 2).when(F.contains(F.upper("p_name"), F.lit(rule[:3])), 3)
-        found.append(F.when(stage.isNotNull(), F.struct(stage.alias("stage"), F.lit(no).alias("no"), F.lit(rule).alias("rule"))))
-    best = table(spark, sf_dir, "part").select("p_partkey", F.array_min(F.array_compact(F.array(*found))).alias("b")).where("b is not null")
-    return best.select("p_partkey", "b.rule", "b.stage")
+    part = table(spark, sf_dir, "part")
+    known = part.select(F.get(F.split(F.upper("p_type"), " "), 0).alias("rule")).distinct()
+    return rules.match_rules(part.select("p_partkey", F.upper("p_type").alias("exact"), F.upper("p_name").alias("more")), "p_partkey", "exact", "more", known)
+
 
+_SCHOOLS = "SELECT l_partkey, l_suppkey, 'school-' || min(l_orderkey) AS rec FROM lineitem WHERE l_quantity >= 45 GROUP BY ALL"
+_MAJORS = "SELECT l_partkey, l_suppkey, l_returnflag, l_linestatus, 'major-' || min(l_orderkey) AS rec FROM lineitem WHERE l_quantity < 10 GROUP BY ALL"
 
-@query("SELECT o_orderkey, c_name, s.n AS items FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) s ON l_orderkey = o_orderkey")
+
+@query(f"WITH s AS ({_SCHOOLS}), m AS ({_MAJORS}) SELECT l.l_orderkey, l.l_linenumber, s.rec AS school_rec, m.rec AS major_rec FROM lineitem l LEFT JOIN s ON s.l_partkey = l.l_partkey AND s.l_suppkey = l.l_suppkey LEFT JOIN m ON m.l_partkey = l.l_partkey AND m.l_suppkey = l.l_suppkey AND m.l_returnflag = l.l_returnflag AND m.l_linestatus = l.l_linestatus")
 def composite_lookup(spark, sf_dir):
-    o, c, l = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
-    returned = l.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("items"))
-    return o.join(c, o.o_custkey == c.c_custkey).join(returned, "o_orderkey", "left").select("o_orderkey", "c_name", "items")
+    l = table(spark, sf_dir, "lineitem")
+    rec = lambda kind, where, *keys: l.where(where).groupBy(*keys).agg(F.concat(F.lit(kind), F.min("l_orderkey").cast("string")).alias("rec"))
+    two, four = ["l_partkey", "l_suppkey"], ["l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+    out = rules.lookup_recs(l, {"school_rec": (two, rec("school-", "l_quantity >= 45", *two)), "major_rec": (four, rec("major-", "l_quantity < 10", *four))})
+    return out.select("l_orderkey", "l_linenumber", "school_rec", "major_rec")
+
+
+_CODE = "CASE c_custkey % 4 WHEN 0 THEN lpad(c_custkey::VARCHAR, 6, '0') WHEN 1 THEN lpad((c_custkey % 100000)::VARCHAR, 5, '0') || '.hk' WHEN 2 THEN c_name ELSE c_mktsegment END"
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'CN' WHEN c_custkey % 3 = 1 THEN 'HK' ELSE 'US' END AS market FROM customer")
+@query(rf"WITH k AS (SELECT c_custkey, {_CODE} AS code FROM customer) SELECT c_custkey, CASE WHEN regexp_full_match(code, '\d{{6}}') THEN 'CN' WHEN regexp_full_match(upper(code), '\d{{4,5}}\.HK') THEN 'HK' ELSE 'US' END AS market FROM k")
 def market_detect(spark, sf_dir):
     key = F.col("c_custkey")
-    code = F.when(key % 3 == 0, F.lpad(key.cast("string"), 6, "0")).when(key % 3 == 1, F.concat(F.lpad((key % 10000).cast("string"), 4, "0"), F.lit(".hk"))).otherwise(F.concat(F.lit("T"), key.cast("string")))
+    code = F.when(key % 4 == 0, F.lpad(key.cast("string"), 6, "0")).when(key % 4 == 1, F.concat(F.lpad((key % 100000).cast("string"), 5, "0"), F.lit(".hk"))).when(key % 4 == 2, F.col("c_name")).otherwise(F.col("c_mktsegment"))
     return table(spark, sf_dir, "customer").select("c_custkey", rules.market_of(code).alias("market"))
 
 
@@ -160,8 +171,7 @@ def quote_validation(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(key, F.array_join(rules.quote_warnings(price, ma, ma, key % 9 == 0, roe, roe), ",").alias("warnings"))
 
 
-_NICE_SQL = rules.NICE.replace("\\", "\\")
-_MUST_SQL = rules.MUST
+_NICE_SQL, _MUST_SQL = "|".join(rules.NICE), "|".join(rules.MUST)
 _VERB_SQL = "(" + " OR ".join(f"contains(low, '{v}')" for v in rules.VERBS) + ")"
 
 
@@ -185,11 +195,11 @@ def gap_evidence(spark, sf_dir):
 
 def _resume(text):
     """Documents whose sentences become anchors and bullets: a sentence with 'of ' an anchor, others bullets."""
-    return F.array_join(F.transform(F.split(text, r"\. "), lambda s: F.when(F.contains(s, F.lit("idiot")), F.concat(F.lit("A | "), F.substring(s, 1, 20), F.lit(" | 2024"))).otherwise(F.concat(F.lit("- "), F.substring(s, 1, 10)))), "\n")
+    return F.array_join(F.transform(F.split(text, r"\. "), lambda s: F.when(F.contains(s, F.lit("idiot")), F.concat(F.lit("A | "), s, F.lit(" | 2024"))).otherwise(F.concat(F.lit("- "), s))), "\n")
 
 
 @query(r"""WITH s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS i FROM documents),
-x AS (SELECT doc_id, i, unnest(string_split(CASE WHEN contains(s, 'idiot') THEN 'A | ' || left(s, 20) || ' | 2024' ELSE '- ' || left(s, 10) END, chr(10))) AS line, generate_subscripts(string_split(CASE WHEN contains(s, 'idiot') THEN 'A | ' || left(s, 20) || ' | 2024' ELSE '- ' || left(s, 10) END, chr(10)), 1) AS j FROM s),
+x AS (SELECT doc_id, i, unnest(string_split(CASE WHEN contains(s, 'idiot') THEN 'A | ' || s || ' | 2024' ELSE '- ' || s END, chr(10))) AS line, generate_subscripts(string_split(CASE WHEN contains(s, 'idiot') THEN 'A | ' || s || ' | 2024' ELSE '- ' || s END, chr(10)), 1) AS j FROM s),
 l AS (SELECT doc_id, i, j, trim(line, ' ') AS line, regexp_matches(trim(line, ' '), '^[^\n]+?[|｜][^\n]+?[|｜][^\n]+$') AS a FROM x),
 n AS (SELECT *, sum(a::INTEGER) OVER (PARTITION BY doc_id ORDER BY i, j) AS no FROM l)
 SELECT doc_id, no::BIGINT AS no, arg_min(line, i * 1000 + j) AS title, count(*) FILTER (NOT a AND regexp_matches(line, '^[-*•]')) AS n_bullets FROM n WHERE no > 0 GROUP BY doc_id, no HAVING n_bullets > 0""")
@@ -197,10 +207,22 @@ def experience_segments(spark, sf_dir):
     return rules.segments(table(spark, sf_dir, DOC).select("doc_id", _resume(F.col("text")).alias("text")), "doc_id", "text", r"^[^\n]+?[|｜][^\n]+?[|｜][^\n]+$")
 
 
-@query("WITH a AS (SELECT user_id, list((value / 100.0) % 1.0 ORDER BY event_id) AS h FROM events GROUP BY 1) SELECT user_id, len(h)::INTEGER AS attempts, list_reduce(list_prepend(1.0, h), lambda s, x: CASE WHEN x >= 0.6 THEN least(s + 1, 3) ELSE greatest(s - 1, 1) END)::INTEGER AS level, list_reduce(list_prepend(0.0, h), lambda s, x: CASE WHEN x >= 0.6 THEN least(s + 1, 4) ELSE 0 END)::INTEGER AS stage, list_max(h) AS best, h[-1] AS last FROM a")
+@query("WITH a AS (SELECT user_id, list((value / 100.0) % 1.0 ORDER BY event_id) AS h FROM events GROUP BY 1) SELECT user_id, len(h)::INTEGER AS attempts, list_reduce(list_prepend(1.0, h), lambda s, x: CASE WHEN x >= 0.6 THEN least(s + 1, 3) ELSE greatest(s - 1, 1) END)::INTEGER AS level, list_reduce(list_prepend(0.0, h), lambda s, x: CASE WHEN x >= 0.6 THEN least(s + 1, 4) ELSE 0 END)::INTEGER AS stage, "
+       # a state of 5 and more: no attempt before; of 10 and more: weak
+       "list_reduce(list_prepend(5.0, h), lambda s, x: x + CASE WHEN s % 10 < 0.6 AND x < 0.6 THEN 10 WHEN x < 0.5 THEN 10 WHEN s % 10 >= 0.8 AND s % 10 < 5 AND x >= 0.8 THEN 0 WHEN s >= 10 THEN 10 ELSE 0 END) >= 10 AS weak, list_max(h) AS best, h[-1] AS last, len(h[-10:])::INTEGER AS n_history, round(list_sum(h[-10:]), 6) AS sum_history FROM a")
 def mastery_levels(spark, sf_dir):
     tries = table(spark, sf_dir, "events").select("user_id", "event_id", ((F.col("value") / 100.0) % 1.0).alias("accuracy"))
-    return rules.mastery(tries, "user_id", "event_id", "accuracy").drop("weak")
+    out = rules.mastery(tries, "user_id", "event_id", "accuracy")
+    total = F.aggregate("history", F.lit(0.0), lambda s, x: s + x)
+    return out.withColumns({"n_history": F.size("history"), "sum_history": F.round(total, 6)}).drop("history")
+
+
+@query("WITH a AS (SELECT CASE turn % 3 WHEN 0 THEN (lower(trim(role)) = 'user')::INTEGER::DOUBLE WHEN 1 THEN (length(text) % 2)::DOUBLE END AS score, ['kp' || turn % 4, role] AS points FROM conversations), e AS (SELECT score, unnest(points) AS point FROM a WHERE score IS NOT NULL) SELECT point, count(*) AS n, round(avg(score), 6) AS accuracy FROM e GROUP BY 1")
+def knowledge_accuracy(spark, sf_dir):
+    turn = F.col("turn")
+    score = F.when(turn % 3 == 0, (F.lower(F.trim("role")) == "user").cast("double")).when(turn % 3 == 1, (F.length("text") % 2).cast("double"))
+    answers = table(spark, sf_dir, "conversations").select(score.alias("score"), F.array(F.concat(F.lit("kp"), (turn % 4).cast("string")), "role").alias("points"))
+    return rules.accuracy_by_point(answers, "points", "score").withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("WITH r AS (SELECT user_id, DATE '2024-01-01' + (user_id % 20)::INTEGER AS day, (user_id % 5)::INTEGER AS stage, user_id % 3 = 0 AS weak FROM (SELECT DISTINCT user_id FROM events)), n AS (SELECT *, day + [1,2,4,7,15][stage + 1] AS next_day FROM r) SELECT user_id, strftime(next_day, '%Y-%m-%d') AS next_day, next_day <= DATE '2024-01-15' OR (weak AND day >= DATE '2024-01-12') AS due FROM n")
@@ -222,16 +244,25 @@ def quiz_score(spark, sf_dir):
     return s.groupBy("conv_id").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"), F.count("score").alias("total"), F.count_if(F.col("score").isNull()).alias("needs_review"), F.avg("score").alias("accuracy"))
 
 
-@query("SELECT o_custkey, min(o_totalprice) AS low, max(o_totalprice) AS high, count(*) AS n, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first FROM orders GROUP BY 1")
+_SCHOOL = "SELECT o_custkey, o_orderkey, floor(o_totalprice % 100)::INTEGER AS p, o_orderkey % 7 = 0 AS rec FROM orders"
+_MAJOR = "SELECT l_orderkey AS o_orderkey, floor(l_extendedprice % 100)::INTEGER AS p, l_discount >= 0.1 AS rec FROM lineitem"
+
+
+@query(f"WITH s AS ({_SCHOOL}), m AS ({_MAJOR}), j AS (SELECT s.o_custkey, m.p, m.rec FROM s JOIN m USING (o_orderkey)), a AS (SELECT o_custkey, p FROM s UNION ALL SELECT o_custkey, p FROM j), r AS (SELECT o_custkey, min(p) AS low, max(p) AS high FROM a GROUP BY 1), g AS (SELECT o_custkey, count(*) AS n_groups, min(o_orderkey) AS sort_index, bool_or(rec) AS rec FROM s GROUP BY 1), h AS (SELECT o_custkey, bool_or(rec) AS mrec FROM j GROUP BY 1) SELECT o_custkey, n_groups, low, high, CASE WHEN low = high THEN low || '%' ELSE low || '%–' || high || '%' END AS display, CASE WHEN g.rec AND coalesce(mrec, false) THEN 0 WHEN g.rec THEN 1 ELSE 2 END AS rank, sort_index FROM g JOIN r USING (o_custkey) LEFT JOIN h USING (o_custkey) ORDER BY rank, sort_index")
 def group_minmax_nested(spark, sf_dir):
-    nested = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("l"))
-    flat = nested.select("o_custkey", F.explode("l").alias("x")).select("o_custkey", "x.*")
-    return flat.groupBy("o_custkey").agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.count("*").alias("n"), F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first"))
+    part = lambda c: F.floor(F.col(c) % 100).cast("int")
+    schools = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", part("o_totalprice").alias("p"), (F.col("o_orderkey") % 7 == 0).alias("rec"))
+    majors = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), part("l_extendedprice").alias("p"), (F.col("l_discount") >= 0.1).alias("rec"))
+    return rules.group_schools(schools, majors, "o_custkey", "o_orderkey", "p", "rec")
 
 
-@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+@query("""WITH e AS (SELECT 'day' AS kind, strftime(ts, '%Y-%m-%d') AS name, user_id FROM events UNION ALL SELECT 'chapter', strftime(ts, '%Y-%m'), user_id FROM events UNION ALL SELECT 'character', unnest([event_type, 'user ' || user_id % 50]), user_id FROM events)
+SELECT kind, name, count(*) AS n, count(DISTINCT user_id) AS users FROM e GROUP BY ALL""")
 def group_events(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    events = table(spark, sf_dir, "events")
+    people = F.array("event_type", F.concat(F.lit("user "), (F.col("user_id") % 50).cast("string")))
+    keys = F.flatten(F.array(F.array(F.struct(F.lit("day").alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("name")), F.struct(F.lit("chapter").alias("kind"), F.date_format("ts", "yyyy-MM").alias("name"))), F.transform(people, lambda x: F.struct(F.lit("character").alias("kind"), x.alias("name")))))
+    return events.select("user_id", F.inline(keys)).groupBy("kind", "name").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
 @query("WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT source, n, round(n * 100.0 / (SELECT count(*) FROM documents), 4)::DOUBLE AS share FROM g")
@@ -255,14 +286,44 @@ def batch_resolution(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.trim(out).alias("batch"))
 
 
-_CELLS = r"SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN '=FILTER(A1:A9)' WHEN 1 THEN '=SUM(A1:B' || (l_orderkey % 40 + 1) || ')' WHEN 2 THEN '=[1]Sheet1!A1' WHEN 3 THEN '=A1/#REF!' ELSE '12' END AS formula FROM lineitem"
+_CELLS = """SELECT 'b' AS book, 'S' || l_returnflag AS sheet, l_orderkey + 1 AS "row", l_linenumber::INTEGER AS col,
+ CASE (l_partkey + l_linenumber) % 11 WHEN 0 THEN '=FILTER(A1:A9, XLOOKUP(B2, C:C))' WHEN 1 THEN '=SUM(A1:B' || (l_partkey % 400 + 1) || ')' WHEN 2 THEN '=[other.xlsx]Sheet1!A1' WHEN 3 THEN '=A1/B' || l_suppkey
+ WHEN 4 THEN '=just text' WHEN 5 THEN '=MATCH(TRUE, A1:A9>3, 0)' WHEN 6 THEN '=COUNT(A' || l_linenumber || ':A' || (l_partkey % 5 + 1) || ')' WHEN 7 THEN '=SUM(SR!A2:A' || l_partkey * 40 || ')' WHEN 8 THEN '=AVERAGE(B5:C' || l_partkey * 300 || ')' END AS formula,
+ CASE (l_partkey + l_linenumber) % 7 WHEN 0 THEN '#REF!' WHEN 1 THEN '0' ELSE l_quantity::VARCHAR END AS value FROM lineitem"""
+
 
+def _cells(spark, sf_dir):
+    k, text = (F.col("l_partkey") + F.col("l_linenumber")), lambda c: c.cast("string")
+    forms = [
+        F.lit("=FILTER(A1:A9, XLOOKUP(B2, C:C))"), F.concat(F.lit("=SUM(A1:B"), text(F.col("l_partkey") % 400 + 1), F.lit(")")), F.lit("=[other.xlsx]Sheet1!A1"), F.concat(F.lit("=A1/B"), text(F.col("l_suppkey"))), F.lit("=just text"), F.lit("=MATCH(TRUE, A1:A9>3, 0)"),
+        F.concat(F.lit("=COUNT(A"), text(F.col("l_linenumber")), F.lit(":A"), text(F.col("l_partkey") % 5 + 1), F.lit(")")), F.concat(F.lit("=SUM(SR!A2:A"), text(F.col("l_partkey") * 40), F.lit(")")), F.concat(F.lit("=AVERAGE(B5:C"), text(F.col("l_partkey") * 300), F.lit(")")),
+    ]
+    formula = F.get(F.array(*forms), (k % 11).cast("int"))
+    value = F.when(k % 7 == 0, "#REF!").when(k % 7 == 1, "0").otherwise(text(F.col("l_quantity")))
+    return table(spark, sf_dir, "lineitem").select(F.lit("b").alias("book"), F.concat(F.lit("S"), "l_returnflag").alias("sheet"), (F.col("l_orderkey") + 1).alias("row"), F.col("l_linenumber").cast("int").alias("col"), formula.alias("formula"), value.alias("value"))
 
-@query(rf"WITH c AS ({_CELLS}) SELECT l_orderkey, l_linenumber, CASE WHEN regexp_matches(formula, '#(REF|DIV/0|VALUE|NAME|N/A|NULL|NUM)[!?]?') THEN 'error' WHEN regexp_matches(formula, '^=.*\b(FILTER|UNIQUE|SORT|XLOOKUP|LET|LAMBDA|SEQUENCE)\(') THEN 'forbidden' WHEN contains(formula, '[') THEN 'external' WHEN try_cast(regexp_extract(formula, ':[A-Z]+(\d+)\)', 1) AS INTEGER) > 30 THEN 'out of range' ELSE 'ok' END AS finding FROM c")
+
+_FORBIDDEN_SQL = " UNION ALL ".join(f"SELECT sheet, \"row\", col, 'forbidden_function' AS finding, '{n}' AS detail FROM c WHERE regexp_matches(upper(formula), '\\b{n}\\s*\\(')" for n in workbook.FORBIDDEN)
+
+
+@query(rf"""WITH c AS ({_CELLS}) {_FORBIDDEN_SQL} UNION ALL SELECT sheet, "row", col, 'text_as_formula', formula FROM c WHERE formula IS NOT NULL AND NOT regexp_matches(formula, '{workbook.REAL_FORMULA}', 'i')
+ UNION ALL SELECT sheet, "row", col, 'external_file_ref', upper(regexp_extract(formula, '\[([^\]]+\.xlsx)\]', 1)) FROM c WHERE regexp_matches(formula, '\[[^\]]+\.xlsx\]')""")
+def workbook_validate(spark, sf_dir):
+    return workbook.validate(_cells(spark, sf_dir)).select("sheet", "row", "col", "finding", "detail")
+
+
+@query(f"""WITH c AS ({_CELLS}) SELECT sheet, "row", col, 'error' AS finding FROM c WHERE formula IS NOT NULL AND value = '#REF!' UNION ALL SELECT sheet, "row", col, 'zero' FROM c WHERE formula IS NOT NULL AND try_cast(value AS DOUBLE) = 0 UNION ALL SELECT sheet, "row", col, 'implicit_array' FROM c WHERE starts_with(formula, '=MATCH(TRUE,')""")
 def workbook_audit(spark, sf_dir):
-    k = F.col("l_linenumber") % 5
-    f = F.when(k == 0, "=FILTER(A1:A9)").when(k == 1, F.concat(F.lit("=SUM(A1:B"), (F.col("l_orderkey") % 40 + 1).cast("string"), F.lit(")"))).when(k == 2, "=[1]Sheet1!A1").when(k == 3, "=A1/#REF!").otherwise("12")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", f.alias("formula")).select("l_orderkey", "l_linenumber", rules.cell_finding(F.col("formula"), 30).alias("finding"))
+    return workbook.audit(_cells(spark, sf_dir)).select("sheet", "row", "col", "finding")
+
+
+@query(rf"""WITH c AS ({_CELLS}), m AS (SELECT sheet, max("row") AS last FROM c GROUP BY 1),
+e AS (SELECT c.sheet, "row", col, formula, CASE WHEN contains(formula, '!A2:') THEN 'SR' ELSE c.sheet END AS target, try_cast(regexp_extract(formula, '[A-Z]+\d+:[A-Z]+(\d+)', 1) AS BIGINT) AS stop, try_cast(regexp_extract(formula, '[A-Z]+(\d+):', 1) AS BIGINT) AS start FROM c WHERE formula IS NOT NULL)
+SELECT e.sheet, "row", col, 'out_of_range' AS finding FROM e JOIN m ON m.sheet = target WHERE stop > last * 3 AND stop > 100
+UNION ALL SELECT sheet, "row", col, 'header_included' FROM e WHERE regexp_matches(formula, '(SUM|COUNT)\([A-Z]1:') AND "row" > 1
+UNION ALL SELECT sheet, "row", col, 'small_aggregate' FROM e WHERE regexp_matches(formula, '=(SUM|COUNT|AVERAGE)\([A-Z]') AND NOT contains(formula, '!') AND abs(stop - start) + 1 <= 2""")
+def workbook_scan(spark, sf_dir):
+    return workbook.scan(_cells(spark, sf_dir)).select("sheet", "row", "col", "finding")
 
 
 @query("WITH n AS (SELECT l_suppkey, l_returnflag AS pattern, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, pattern) AS k, sum(n) OVER (PARTITION BY l_suppkey) AS total FROM n) SELECT l_suppkey, pattern, (total - n)::BIGINT AS outliers FROM r WHERE k = 1")
@@ -270,9 +331,10 @@ def dominant_pattern(spark, sf_dir):
     return rules.dominant(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag")
 
 
-@query("SELECT l_returnflag AS sheet, count(*) AS n_cells, count(*) FILTER (l_linenumber % 5 < 4) AS n_formulas, min(l_linenumber) AS first_row, max(l_linenumber) AS last_row FROM lineitem GROUP BY 1")
+@query(f"""WITH c AS ({_CELLS}), b AS (SELECT sheet, count(DISTINCT "row") AS data_rows, count(formula) AS n_formulas FROM c WHERE "row" > 1 GROUP BY 1), h AS (SELECT sheet, string_agg(coalesce(formula, value), '|' ORDER BY col) AS headers FROM c WHERE "row" = 1 GROUP BY 1), s AS (SELECT sheet, max("row") AS n_rows, max(col) AS n_columns FROM c GROUP BY 1)
+SELECT s.sheet, 'A1:' || chr(64 + n_columns) || n_rows AS data_range, n_rows, n_columns, data_rows, n_formulas, coalesce(headers, '') AS headers FROM s LEFT JOIN b USING (sheet) LEFT JOIN h USING (sheet)""")
 def sheet_inspect(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("sheet")).agg(F.count("*").alias("n_cells"), F.count_if(F.col("l_linenumber") % 5 < 4).alias("n_formulas"), F.min("l_linenumber").alias("first_row"), F.max("l_linenumber").alias("last_row"))
+    return workbook.inspect(_cells(spark, sf_dir)).drop("book").withColumn("headers", F.array_join("headers", "|"))
 
 
 @query("SELECT p_partkey, (p_partkey % 26 + 1 + 26)::INTEGER AS col, (p_partkey % 1000)::INTEGER AS row FROM part".replace(" AS row", ' AS "row"'))
@@ -281,32 +343,92 @@ def a1_range(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", rules.a1_column(ref).alias("col"), rules.a1_row(ref).alias("row"))
 
 
-@query()
+def _story(text):
+    """Whole documents, in which each sentence end is followed by a chapter or a date."""
+    return F.replace(F.replace(text, F.lit(". "), F.lit(". CHAPTER  7 ")), F.lit(", "), F.lit(" **Date:** May 5\n"))
+
+
+_STORY = r"replace(replace(text, '. ', '. CHAPTER  7 '), ', ', ' **Date:** May 5' || chr(10))"
+_PLACES = """WITH t AS (SELECT doc_id, {0} AS t FROM documents), p AS (SELECT doc_id, unnest(string_split(t, '{1}')) AS part, generate_subscripts(string_split(t, '{1}'), 1) AS i, len(string_split(t, '{1}')) AS n FROM t),
+q AS (SELECT doc_id, i, n, sum(length(part) + {2}) OVER (PARTITION BY doc_id ORDER BY i) - {2} AS pos FROM p) SELECT doc_id, pos::INTEGER AS pos, {3} AS kind, '{4}' AS marker FROM q WHERE i < n"""
+
+
+@query("SELECT * FROM (" + _PLACES.format(_STORY, "CHAPTER  7", 10, 3, "7") + ") UNION ALL SELECT * FROM (" + _PLACES.format(_STORY, "**Date:** May 5", 15, 5, "May 5") + ")")
 def timeline_markers(spark, sf_dir):
-    return rules.markers(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
+    return stories.markers(table(spark, sf_dir, DOC).select("doc_id", _story(F.col("text")).alias("t")), "doc_id", "t")
+
+
+@query("WITH t AS (SELECT doc_id, replace(text, '. ', '. CHAPTER  7 ') AS t FROM documents), p AS (SELECT doc_id, t, unnest(string_split(t, 'CHAPTER  7')) AS part, generate_subscripts(string_split(t, 'CHAPTER  7'), 1) AS i, len(string_split(t, 'CHAPTER  7')) AS n FROM t) SELECT doc_id, greatest(i - 1, 1)::INTEGER AS no, doc_id::VARCHAR AS chapter, CASE WHEN n > 1 THEN '7' END AS timepoint, (length(part) + CASE WHEN n > 1 THEN 10 ELSE 0 END)::INTEGER AS length, left(CASE WHEN n > 1 THEN 'CHAPTER  7' ELSE '' END || part, 500) AS preview FROM p WHERE i > 1 OR n = 1")
+def story_sections(spark, sf_dir):
+    rows = table(spark, sf_dir, DOC).select("doc_id", F.replace("text", F.lit(". "), F.lit(". CHAPTER  7 ")).alias("t"))
+    return stories.sections(rows, "doc_id", "t").drop("start")
+
+
+_PROFILE = "SELECT n_nationkey, '# ' || n_name || chr(10) || '**Age:** ' || (n_nationkey + 20) || chr(10) || 'Hair: ' || CASE WHEN n_nationkey % 2 = 0 THEN 'black' ELSE 'red' END || ', long' || chr(10) || '**Aliases:** A' || n_nationkey || '; ' || left(n_name, 2) AS profile FROM nation"
+
+
+@query(f"WITH p AS ({_PROFILE}) SELECT n_name AS name, (n_nationkey + 20)::VARCHAR AS age, CASE WHEN n_nationkey % 2 = 0 THEN 'black' ELSE 'red' END AS hair, 'A' || n_nationkey || ',' || left(n_name, 2) AS aliases FROM nation JOIN p USING (n_nationkey)")
+def character_profiles(spark, sf_dir):
+    return stories.profiles(_profile_texts(spark, sf_dir), F.col("profile")).select("name", "age", "hair", F.array_join("aliases", ",").alias("aliases"))
+
+
+def _profile_texts(spark, sf_dir):
+    key = F.col("n_nationkey")
+    text = F.concat(F.lit("# "), "n_name", F.lit("\n**Age:** "), (key + 20).cast("string"), F.lit("\nHair: "), F.when(key % 2 == 0, "black").otherwise("red"), F.lit(", long\n**Aliases:** A"), key.cast("string"), F.lit("; "), F.substring("n_name", 1, 2))
+    return table(spark, sf_dir, "nation").select(text.alias("profile"))
+
 
+@query("""WITH c AS (SELECT c_custkey, n_name, n_nationkey, c_custkey % 60 AS told FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey, n_name AS name, 'age' AS issue, told::VARCHAR AS detail FROM c WHERE told <> n_nationkey + 20 UNION ALL SELECT c_custkey, n_name, 'hair', n_name || ' had red hair once' FROM c WHERE n_nationkey % 2 = 0 UNION ALL SELECT c_custkey, n_name, 'capitals', lower(n_name) FROM c WHERE c_custkey % 3 = 0""")
+def story_issues(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.concat("n_name", F.lit(" is a "), (F.col("c_custkey") % 60).cast("string"), F.lit(" year old. "), "n_name", F.lit(" had red hair once. "), F.when(F.col("c_custkey") % 3 == 0, F.lower("n_name")).otherwise(F.col("n_name")))
+    return stories.issues(c.select("c_custkey", text.alias("t")), "c_custkey", "t", stories.profiles(_profile_texts(spark, sf_dir), F.col("profile")))
 
-@query(r"WITH t AS (SELECT doc_id, '{\rtf1\b ' || replace(left(text, 100), chr(10), '\par ') || '}' AS rtf FROM documents) SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(rtf, '\par', chr(10)), '\\[a-zA-Z]+-?\d+ ?', '', 'g'), '\\[a-zA-Z]+ ?', '', 'g'), '[{}]', '', 'g'), ' ') AS plain FROM t")
+
+@query(r"WITH t AS (SELECT doc_id, '{\rtf1\b ' || replace(text, chr(10), '\par ') || '}' AS rtf FROM documents) SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(rtf, '\par', chr(10)), '\\[a-zA-Z]+-?\d+ ?', '', 'g'), '\\[a-zA-Z]+ ?', '', 'g'), '[{}]', '', 'g'), ' ') AS plain FROM t")
 def rtf_text(spark, sf_dir):
     from foliant.sources.extract import rtf_plain
 
-    rtf = F.concat(F.lit(r"{\rtf1\b "), F.replace(F.substring("text", 1, 100), F.lit("\n"), F.lit(r"\par ")), F.lit("}"))
+    rtf = F.concat(F.lit(r"{\rtf1\b "), F.replace("text", F.lit("\n"), F.lit(r"\par ")), F.lit("}"))
     return table(spark, sf_dir, DOC).select("doc_id", rtf_plain(rtf).alias("plain"))
 
 
-@query(r"SELECT conv_id, turn, '本科及以上' AS education, '3年以上' AS years, 'remote/上海' AS location, CASE WHEN conv_id % 2 = 0 THEN 'CPA' ELSE '' END AS certificates FROM conversations")
+_POSTING = "text || CASE conv_id % 5 WHEN 0 THEN ' 本科及以上, 3-5 年, 上海 or Remote, 英语流利' WHEN 1 THEN ' 硕士 3年以上 CPA CFA Level 2 CPA' WHEN 2 THEN ' 出差 CET-6 北京' ELSE '' END"
+
+
+@query(rf"""WITH p AS (SELECT conv_id, turn, {_POSTING} AS p FROM conversations) SELECT conv_id, turn, regexp_extract(p, '((?:本科|硕士|博士|大专)(?:及以上|以上)?)', 1) AS education, regexp_extract(p, '(\d+\s*[-~–到至]\s*\d+\s*年|\d+\s*\+?\s*年(?:以上|及以上)?)', 1) AS years,
+ regexp_extract(p, '(英语\s*(?:口语)?\s*(?:流利|熟练|母语)|CET[-\s]?[46]|雅思\s*\d(?:\.\d)?|托福\s*\d{{2,3}}|母语水平|business\s*english)', 1, 'i') AS language, regexp_extract(p, '(出差|派驻|常驻|项目制|加班|999|996|大小周)', 1) AS working_style,
+ array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(p, '(?i)(北京|上海|广州|深圳|杭州|南京|苏州|成都|武汉|西安|香港|新加坡|remote|hybrid|远程|海外)'), lambda x: lower(x)))), '/') AS location,
+ array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(p, '(?i)(CFA(?:\s*Level\s*[I123]+)?|CPA|FRM|ACCA|PMP|AWS\s*[0-9A-Za-z_\s]*认证|Azure\s*[0-9A-Za-z_]*|GCP\s*[0-9A-Za-z_]*)'), lambda x: trim(x)))), '/') AS certificates FROM p""")
 def special_requirements(spark, sf_dir):
-    posting = F.concat(F.lit("本科及以上, 3年以上, 上海 or Remote "), F.when(F.col("conv_id") % 2 == 0, "CPA").otherwise(""))
+    k = F.col("conv_id") % 5
+    posting = F.concat("text", F.when(k == 0, " 本科及以上, 3-5 年, 上海 or Remote, 英语流利").when(k == 1, " 硕士 3年以上 CPA CFA Level 2 CPA").when(k == 2, " 出差 CET-6 北京").otherwise(""))
     found = rules.special_requirements(posting)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[found[k].alias(k) for k in ("education", "years", "location", "certificates")])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in found.items()])
 
 
-@query("SELECT conv_id, turn, 'q' || turn AS id, CASE WHEN turn % 2 = 0 THEN 'choice' END AS type FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'q_unknown' ELSE 'q' || turn END AS id, CASE WHEN turn % 2 = 0 THEN 'choice' ELSE 'single_choice' END AS type, 1 AS level, text AS prompt, role AS answer, 0 AS n_options FROM conversations")
 def quiz_json(spark, sf_dir):
-    kind = F.when(F.col("turn") % 2 == 0, ',"type":"choice"').otherwise("")
-    raw = F.concat(F.lit('```json\n[{"id":"q'), F.col("turn").cast("string"), F.lit('"'), kind, F.lit("}]\n```"))
+    turn = F.col("turn")
+    item = F.struct(F.when(turn % 3 != 0, F.concat(F.lit("q"), turn.cast("string"))).alias("id"), F.when(turn % 2 == 0, "choice").alias("type"), F.col("text").alias("prompt"), F.col("role").alias("answer"))
+    raw = F.concat(F.when(turn % 4 < 2, "```json\n").otherwise(""), F.to_json(F.array(item)), F.when(turn % 4 < 2, "\n```").otherwise(""))
     one = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(rules.questions(raw)).alias("q"))
-    return one.select("conv_id", "turn", "q.id", "q.type")
+    return one.select("conv_id", "turn", "q.id", "q.type", "q.level", "q.prompt", "q.answer", F.size("q.options").alias("n_options"))
+
+
+_KEYS = ["pathetic", "Moronity", "zzzzqq"]
+
+
+@query("""WITH k AS (SELECT doc_id, text, unnest(['pathetic', 'Moronity', 'zzzzqq']) AS keyword FROM documents), h AS (SELECT *, instr(lower(text), lower(keyword))::INTEGER AS hit FROM k), b AS (SELECT *, greatest(1, hit - 30) AS b FROM h)
+SELECT doc_id, keyword, CASE WHEN hit > 0 THEN 'perfect' WHEN contains(lower(text), lower(left(keyword, 4))) THEN 'implicit' ELSE 'missing' END AS kind, CASE WHEN hit > 0 THEN trim(replace(substring(text, b, hit + length(keyword) + 30 - b), chr(10), ' ')) WHEN contains(lower(text), lower(left(keyword, 4))) THEN lower(left(keyword, 4)) END AS detail FROM b""")
+def keyword_gaps(spark, sf_dir):
+    return rules.gaps(table(spark, sf_dir, DOC), "doc_id", "text", _KEYS)
+
+
+@query()
+def skills_extract(spark, sf_dir):
+    return rules.skills(table(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit("-"), "turn").alias("key"), "text"), "key", "text")
 
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'path') THEN 'path' END AS part, array_to_string(CASE WHEN contains(lower(text), 'owner') OR contains(lower(text), 'drive') OR contains(lower(text), 'lead') OR contains(lower(text), '0-1') THEN ['ownership'] ELSE ['ownership'] END, ',') AS kinds FROM documents")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foliant.catalog import query
 from foliant.functions import paths, text
 from foliant.model import FILES_SQL, TAGS_SQL, changes, document_text, files, table, tags
 from foliant.operators import store
-from foliant.plans import fts
+from foliant.plans import index
 from foliant.plans.parser import parse
-from foliant.plans.search import by_filename, filters, name_has, search, snippet, with_tag
+from foliant.plans.search import by_filename, filters, name_has, run_saved, search, snippet, with_tag
+from foliant.session import work_dir
 
 RX = r"'[\p{L}\p{N}\p{Co}]+'"
 
@@ -33,9 +36,14 @@ tf AS (SELECT id, (len(a) + len(b))::DOUBLE AS dl, {tfs} FROM tok), st AS (SELEC
 SELECT id, round({score}, 6) AS score FROM sc WHERE {matches} ORDER BY {score}, id LIMIT {limit}"""
 
 
+def corpus_index(spark, sf_dir):
+    """The index of all file names and texts, written at the first query over them."""
+    rows = files(spark, sf_dir).select("id", "filename").join(document_text(spark, sf_dir).withColumnRenamed("file_id", "id"), "id")
+    return index.shared(spark, sf_dir, rows, "id", ["filename", "extracted_text"])
+
+
 def ranked(spark, sf_dir, raw, limit=20):
-    f = files(spark, sf_dir).select("id", "filename").join(document_text(spark, sf_dir).withColumnRenamed("file_id", "id"), "id")
-    hits = fts.match(f, parse(raw).tree(), ["filename", "extracted_text"]).select("id", "score")
+    hits = corpus_index(spark, sf_dir).match(parse(raw).tree())
     return hits.orderBy("score", "id").limit(limit).select("id", F.round("score", 6).alias("score"))
 
 
@@ -83,7 +91,7 @@ _MERGE = fts_sql([("term", ["pdf"]), ("term", ["the"])], "m0 AND m1", "s0 + s1",
 
 @query(f"WITH c AS ({_MERGE}), {FILES_SQL}, n AS (SELECT id FROM files WHERE contains(lower(filename), 'pdf') AND contains(lower(filename), 'the') ORDER BY modified_date DESC, id LIMIT 25) SELECT id, source, score FROM (SELECT id, 0 AS source, score FROM c UNION ALL SELECT id, 1, 0.0 FROM n WHERE id NOT IN (SELECT id FROM c)) ORDER BY source, score, id LIMIT 25")
 def search_merge_filename_content(spark, sf_dir):
-    return search(files(spark, sf_dir), document_text(spark, sf_dir), "pdf the", 25).select("id", "source", F.round("score", 6).alias("score"))
+    return search(files(spark, sf_dir), document_text(spark, sf_dir), "pdf the", 25, index=corpus_index(spark, sf_dir)).select("id", "source", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {FILES_SQL} SELECT id, 1 AS source, 0.0::DOUBLE AS score FROM files WHERE contains(lower(filename), 'a.b*') ORDER BY modified_date DESC, id LIMIT 25")
@@ -97,6 +105,26 @@ def snippet_fts(spark, sf_dir):
     return hits.join(document_text(spark, sf_dir).withColumnRenamed("file_id", "id"), "id").select("id", snippet(F.col("extracted_text"), ["idiot"]).alias("snippet"))
 
 
+@query(f"WITH c AS ({_MERGE}), {FILES_SQL}, n AS (SELECT id FROM files WHERE contains(lower(filename), 'pdf') AND contains(lower(filename), 'the') ORDER BY modified_date DESC, id LIMIT 25) SELECT id, source FROM (SELECT id, 0 AS source, score FROM c UNION ALL SELECT id, 1, 0.0 FROM n WHERE id NOT IN (SELECT id FROM c)) ORDER BY source, score, id LIMIT 25")
+def saved_search_run(spark, sf_dir):
+    saved = spark.createDataFrame([(1, "other", "idiot", 0), (2, "papers", "pdf the", 0)], "id long, search_name string, search_query string, created_at long")
+    return run_saved(saved, "papers", files(spark, sf_dir), document_text(spark, sf_dir), 25, index=corpus_index(spark, sf_dir)).select("id", "source")
+
+
+_CHANGED = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'then ' || text ELSE text END AS text, lang, source, n_chars FROM documents WHERE doc_id % 5 <> 0"
+
+
+@query(fts_sql([("term", ["the"]), ("term", ["then"])], "m0 AND m1", "s0 + s1").replace("FROM documents d JOIN files", f"FROM ({_CHANGED}) d JOIN files"))
+def index_update(spark, sf_dir):
+    """The first query again, after texts changed and files went."""
+    rows = files(spark, sf_dir).select("id", "filename").join(document_text(spark, sf_dir).withColumnRenamed("file_id", "id"), "id")
+    own = index.Index.build(rows, f"{work_dir(spark)}/foliant/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}", "id", ["filename", "extracted_text"])
+    own.update(rows.where("id % 2 = 0").withColumn("extracted_text", F.concat(F.lit("then "), "extracted_text")), "id", rows.where("id % 5 = 0 and id % 2 = 1").select("id"))
+    own.delete(rows.where("id % 10 = 0").select("id"))
+    hits = own.match(parse("the then").tree())
+    return hits.orderBy("score", "id").limit(20).select("id", F.round("score", 6).alias("score"))
+
+
 @query('SELECT event_type AS query, max(ts) AS "at" FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20')
 def recent_searches(spark, sf_dir):
     return store.recent_searches(table(spark, sf_dir, "events").select(F.col("event_type").alias("query"), F.col("ts").alias("at")))
@@ -106,9 +134,9 @@ def recent_searches(spark, sf_dir):
 DOC = "documents"
 
 
-@query("SELECT doc_id, translate(left(text, 200), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents")
+@query("SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents")
 def ascii_lower(spark, sf_dir):
-    return table(spark, sf_dir, DOC).select("doc_id", text.ascii_lower(F.substring("text", 1, 200)).alias("lowered"))
+    return table(spark, sf_dir, DOC).select("doc_id", text.ascii_lower(F.col("text")).alias("lowered"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[ \t\n\r\f\v]+', ' ', 'g')) AS normal FROM documents")
@@ -291,7 +319,7 @@ def point_lookup(spark, sf_dir):
 
 @query("WITH g AS (SELECT sha256(text) AS hash, count(*) AS n, list_sort(list(doc_id)) AS l FROM documents GROUP BY 1 HAVING count(*) > 1) SELECT hash, n, array_to_string(l, ',') AS ids FROM g")
 def duplicates_by_hash(spark, sf_dir):
-    return store.duplicates(files(spark, sf_dir)).select("hash", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return store.duplicate_ids(files(spark, sf_dir)).select("hash", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query(f"WITH {FILES_SQL}, g AS (SELECT hash, count(*) AS n FROM files GROUP BY 1 HAVING count(*) > 1) SELECT id, path, hash, n FROM files JOIN g USING (hash)")

@@ -18,11 +18,60 @@ def pivot_flat(df: DataFrame, rows: list[str], values: dict[str, str]) -> DataFr
     return df.select(*[_key(c) for c in rows], *[F.col(c) for c in values]).groupBy(*rows).agg(*out)
 
 
-def pivot_cross(df: DataFrame, rows: list[str], column: str, value: str, method: str, among: list[str]) -> DataFrame:
-    """A matrix of rows by the values ``among`` of one column; missing cells are 0."""
-    cell = METHODS[method](F.expr(f"try_cast(`{value}` AS double)")).cast("double")
-    out = df.select(*[_key(c) for c in rows], _key(column), value).groupBy(*rows).pivot(column, among).agg(F.bround(cell, 2))
-    return out.na.fill(0.0, among)
+def pivot_cross(df: DataFrame, rows: list[str], column: str, values: dict[str, str] | str, method: str | None = None, among: list[str] | None = None, most: int = 1000) -> DataFrame:
+    """A matrix of rows by the values of one column; missing cells are 0.
+
+    values: column to method (or a column, with ``method``). Columns are named by the value, and with several value
+    columns by "value (column method)". Without ``among`` the values are all that occur, in order of text; more than
+    ``most`` of them are an error, since each becomes a column.
+    """
+    values = {values: method} if isinstance(values, str) else values
+    keyed = df.select(*[_key(c) for c in rows], _key(column).alias("_at"), *[F.col(c) for c in values])
+    if among is None:
+        among = sorted(r["_at"] for r in keyed.select("_at").distinct().limit(most + 1).collect())
+        if len(among) > most:
+            raise ValueError(f"more than {most} columns")
+    name = lambda v, c, m: v if len(values) == 1 else f"{v} ({c} {m})"
+    cell = lambda v, c, m: F.coalesce(F.bround(METHODS[m](F.when(F.col("_at") == v, F.expr(f"try_cast(`{c}` AS double)"))).cast("double"), 2), F.lit(0.0))
+    return keyed.groupBy(*rows).agg(*[cell(v, c, m).alias(name(v, c, m)) for v in among for c, m in values.items()])
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], rows: int = 100_000) -> list[float | None]:
+    """Exact quantiles, linear between ranks. Brackets around each rank are narrowed by approximate percentiles until they
+    hold at most ``rows`` values or one; only such a bracket is sorted, and no task holds all distinct values."""
+    v = df.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n, low, high = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+
+    def at(rank: int) -> float:
+        lo, hi = low, high
+        while True:
+            inside = v.where((F.col("v") >= lo) & (F.col("v") <= hi))
+            below, here = v.agg(F.count_if(F.col("v") < lo), F.count_if((F.col("v") >= lo) & (F.col("v") <= hi))).first()
+            if lo == hi:
+                return lo
+            if here <= rows:
+                return inside.orderBy("v").offset(rank - below).limit(1).first()["v"]
+            share = (rank - below) / max(1, here - 1)
+            a, b = inside.agg(F.percentile_approx("v", [max(0.0, share - 0.001), min(1.0, share + 0.001)], 10_000)).first()[0]
+            under, upto = v.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b)).first()
+            if not (under <= rank < upto) or (a, b) == (lo, hi):  # the guess was off, or ties don't narrow: halve by value
+                a = b = (lo + hi) / 2
+                under, upto = v.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b)).first()
+                if rank < under:
+                    a, b = lo, inside.where(F.col("v") < a).agg(F.max("v")).first()[0]
+                elif rank >= upto:
+                    a, b = inside.where(F.col("v") > b).agg(F.min("v")).first()[0], hi
+            lo, hi = a, b
+
+    out = []
+    for s in shares:
+        place = s * (n - 1)
+        k = int(place)
+        x = at(k)
+        out.append(x + (place - k) * (at(min(k + 1, n - 1)) - x) if place > k else x)
+    return out
 
 
 def with_margins(df: DataFrame, row: str, column: str, value: str, among: list[str]) -> DataFrame:
@@ -56,8 +105,10 @@ def monthly(df: DataFrame, ts: str, value: str) -> DataFrame:
 
 
 def outlier_bounds(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
-    q = df.agg(F.expr(f"percentile(`{value}`, 0.25)").alias("q1"), F.expr(f"percentile(`{value}`, 0.75)").alias("q3"))
-    return q.select((F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("high"))
+    """One row (low, high): the quartiles less and plus k times their distance."""
+    q1, q3 = quantiles(df, value, [0.25, 0.75])
+    low, high = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+    return df.sparkSession.range(1).select(F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"))
 
 
 def without_outliers(df: DataFrame, value: str) -> DataFrame:
@@ -71,9 +122,10 @@ def shape(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """Count, mean, deviation, quartiles and sample skewness of a column."""
+    """Count, mean, deviation, extremes, median and sample skewness of a column."""
     v, n = F.col(value), F.count(value).cast("double")
-    return df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.expr(f"percentile(`{value}`, 0.5)").alias("median"), F.max(v).alias("high"), (F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"))
+    median = F.lit(quantiles(df, value, [0.5])[0]).cast("double")
+    return df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), median.alias("median"), F.max(v).alias("high"), (F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"))
 
 
 def run_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:

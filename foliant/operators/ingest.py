@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.paths import needs_ocr
+from foliant.functions.paths import IMAGES, has_extension, needs_ocr
 from foliant.operators import store
 
 Ocr = Callable[[DataFrame], DataFrame]  # (file_id, path, content) to (file_id, ocr_text, ok)
@@ -53,3 +54,51 @@ def requeue(files: DataFrame, paths: DataFrame) -> DataFrame:
     """Files at these paths (path) wait for extraction again; unknown paths come in as pending."""
     again = paths.select("path", F.lit(True).alias("_again")).distinct()
     return files.join(again, "path", "full_outer").withColumn("indexing_status", F.when(F.col("_again"), "pending").otherwise(F.col("indexing_status"))).drop("_again")
+
+
+def batches(files: DataFrame, n: int) -> DataFrame:
+    """Files to do with a column ``batch``: n at a time in order of id, by rank in hash buckets, so that no task orders all."""
+    parts = 1024
+    todo = store.todo(files).withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    before = todo.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")  # at most ``parts`` rows
+    ranked = todo.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("id")) - 1)
+    return ranked.join(F.broadcast(before), "_p").withColumn("batch", F.floor((F.col("_b") + F.col("_r")) / n)).drop("_p", "_r", "_b")
+
+
+def drain(files: DataFrame, text: DataFrame, extract: Callable[[DataFrame], DataFrame], n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, text) after the files to do, or the first batch of n of them, went through ``extract`` (path) in one job.
+
+    Failed files are not asked again; a later call takes what is still to do.
+    """
+    if n is None:
+        return process(files, text, extract(store.todo(files).select("path")))
+    first = batches(files, n).where("batch = 0").select("path")
+    own = files.join(first, "path", "left_semi")
+    done, new = process(own, text, extract(first))
+    return files.join(first, "path", "left_anti").unionByName(done), new
+
+
+def ocr_stage(files: DataFrame, text: DataFrame, read: Callable[[DataFrame], DataFrame], recognise: Callable[[bytes], str], tasks: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(files, text) after all images that wait for OCR went through ``recognise``, on at most ``tasks`` tasks at a time.
+
+    read: (path) to (path, content). An exception of ``recognise`` is a failed file and nothing else.
+    """
+    waiting = files.where((F.col("ocr_status") == "pending") & has_extension(F.col("extension"), IMAGES)).select("id", "path")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for i, content in zip(p["id"], p["content"]):
+                try:
+                    rows.append((i, recognise(bytes(content)), True))
+                except Exception:
+                    rows.append((i, None, False))
+            yield pd.DataFrame(rows, columns=["file_id", "ocr_text", "ok"])
+
+    loaded = waiting.join(read(waiting.select("path")), "path").select("id", "content").repartition(tasks)
+    return complete_ocr(files, text, loaded.mapInPandas(run, "file_id long, ocr_text string, ok boolean"))
+
+
+def throttle_ms(actual: Column, target: Column) -> Column:
+    """How long a worker rests at a processor load in percent: twice the points over the target, at most 150 ms."""
+    return F.when(actual <= target, 0).otherwise(F.least(F.lit(150), (2 * (actual - target)).cast("int")))

@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.plans.fts import Bm25, count_in
-from foliant.plans.parser import Leaf
+from foliant.plans.fts import Bm25
 
 #: Keywords by domain, in order of precedence.
 DOMAINS = {
@@ -24,8 +23,8 @@ DOMAINS = {
     "web": ["aria", "focus", "outline", "semantic", "virtualize", "autocomplete", "form", "input type", "preconnect"],
 }
 #: Requirement phrases.
-NICE = r"加分|优先|有.+经验者优先|preferred|nice\s*to\s*have|plus|bonus|desirable"
-MUST = r"必须|必备|必要条件|硬性要求|应当|需要|需具备|至少\s*\d+\s*年|\d+\+?\s*年以上|required|must\s*have|mandatory|essential|minimum\s+\d+\s+years"
+NICE = [r"加分", r"优先", r"加分项", r"熟悉.+者优先", r"有.+经验者优先", r"preferred", r"nice\s*to\s*have", r"plus", r"bonus", r"desirable"]
+MUST = [r"必须", r"必备", r"必要条件", r"硬性要求", r"应当", r"需要", r"需具备", r"至少\s*\d+\s*年", r"\d+\+?\s*年以上", r"required", r"must\s*have", r"mandatory", r"essential", r"minimum\s+\d+\s+years"]
 VERBS = ["负责", "主导", "推动", "设计", "搭建", "构建", "优化", "规划", "迭代", "孵化", "复盘", "运营", "管理", "协调", "执行", "驱动", "落地", "重构", "lead", "drive", "build", "design", "architect", "develop", "implement", "optimize", "manage", "coordinate", "execute", "own"]
 #: Points of rumor kinds, and review intervals in days.
 RUMORS = {"ma": 5, "insider": 4, "analyst": 3, "regulatory": 3, "earnings": 2}
@@ -48,17 +47,27 @@ def domain_of(query: Column, domains: dict[str, list[str]] = DOMAINS, default: s
     return F.when(best["n"] > 0, best["name"]).otherwise(F.lit(default))
 
 
-def plain_words(text: Column) -> Column:
-    """Lower-cased words of over two characters."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda w: F.length(w) > 2)
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def plain_count(text: Column) -> Column:
+    """How many lower-cased words of over two characters a text has."""
+    return F.regexp_count(F.lower(text), F.lit(_WORD + "{3,}"))
+
+
+def plain_tf(text: Column, word: str) -> Column:
+    """How often a lower-cased word of over two characters is a whole word of a text."""
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<!{_WORD})\Q{word}\E(?!{_WORD})"))
 
 
 def bm25_plain(rows: DataFrame, key: str, text: str, asked: list[str], k: int = 10) -> DataFrame:
-    """Top k rows by the positive BM25 variant; a repeated query word counts again; rows scoring zero go afterwards."""
+    """Top k rows by the positive BM25 variant; a repeated query word counts again; rows scoring zero go afterwards.
+
+    Texts are scanned once: their counts, a few numbers a row, are shuffled, and both the statistics and the scores read that.
+    """
     variant = Bm25(k1=1.5, b=0.75, floor=None, plus_one=True, sign=1)
-    words = rows.select(key, plain_words(F.col(text)).alias("w"))
     unique = list(dict.fromkeys(asked))
-    tf = words.select(key, F.size("w").cast("double").alias("dl"), *[count_in(F.col("w"), Leaf((t,))).alias(f"tf{i}") for i, t in enumerate(unique)])
+    tf = rows.select(key, plain_count(F.col(text)).cast("double").alias("dl"), *[plain_tf(F.col(text), t).alias(f"tf{i}") for i, t in enumerate(unique)]).repartition(key)
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(unique))])
     parts = [asked.count(t) * F.when(F.col(f"tf{i}") > 0, variant.part(F.col(f"tf{i}"), variant.idf(F.col(f"n{i}"), F.col("n")), F.col("dl"), F.col("avgdl"))).otherwise(F.lit(0.0)) for i, t in enumerate(unique)]
     scored = tf.crossJoin(F.broadcast(stats)).select(key, reduce(lambda a, b: a + b, parts).alias("score"))  # one row is broadcast
@@ -123,7 +132,7 @@ def sentences(text: Column) -> Column:
 
 def sentence_kind(s: Column) -> Column:
     low = F.lower(s)
-    return F.when(low.rlike(NICE), "nice").when(low.rlike(MUST), "must").when(any_of(low, VERBS), "responsibilities").otherwise("others")
+    return F.when(low.rlike("|".join(NICE)), "nice").when(low.rlike("|".join(MUST)), "must").when(any_of(low, VERBS), "responsibilities").otherwise("others")
 
 
 def ats_score(text: Column) -> Column:
@@ -163,19 +172,37 @@ def answer_score(kind: Column, given: Column, right: Column) -> Column:
     return F.when(kind == "fill_in_blank", (F.lower(F.trim(given)) == F.lower(F.trim(right))).cast("double")).when(kind == "choice", (F.trim(given) == F.trim(right)).cast("double"))
 
 
+HISTORY = 10
+
+
 def mastery(attempts: DataFrame, key: str, order: str, accuracy: str) -> DataFrame:
-    """Level, review stage, weakness and best accuracy after a key's attempts in order.
+    """Level, review stage, weakness, best and last accuracies and the last HISTORY ones after a key's attempts in order.
 
-    Levels walk within 1..3 from 1; the stage is the run of right answers, at most 4. A key's attempts are folded in one row.
+    Levels walk within 1..3 from 1, so two equal outcomes in a row fix the level (3 or 1), and after the last such pair
+    outcomes alternate; the stage is the run of right answers at the end, at most 4. Windows need no list of a key's attempts.
     """
-    history = F.transform(F.sort_array(F.collect_list(F.struct(order, accuracy))), lambda x: x[accuracy])
-    one = attempts.groupBy(key).agg(history.alias("h"))
-    right = lambda a: a >= 0.6
-    level = F.aggregate("h", F.lit(1), lambda s, a: F.when(right(a), F.least(s + 1, F.lit(3))).otherwise(F.greatest(s - 1, F.lit(1))))
-    stage = F.aggregate("h", F.lit(0), lambda s, a: F.when(right(a), F.least(s + 1, F.lit(len(INTERVALS) - 1))).otherwise(F.lit(0)))
-    start = F.struct(F.lit(-1.0).alias("last"), F.lit(False).alias("weak"))
-    weak = F.aggregate("h", start, lambda s, a: F.struct(a.cast("double").alias("last"), F.when((s["last"] >= 0) & (s["last"] < 0.6) & (a < 0.6), True).when(a < 0.5, True).when((s["last"] >= 0.8) & (a >= 0.8), False).otherwise(s["weak"]).alias("weak")))["weak"]
-    return one.select(key, F.size("h").alias("attempts"), level.alias("level"), stage.alias("stage"), weak.alias("weak"), F.array_max("h").alias("best"), F.element_at("h", -1).alias("last"))
+    a, w = F.col(accuracy).cast("double"), Window.partitionBy(key).orderBy(order)
+    before = F.lag(accuracy).over(w)
+    seen = attempts.select(key, order, a.alias("a"), before.cast("double").alias("p"), F.row_number().over(w).alias("i"))
+    right, same = F.col("a") >= 0.6, (F.col("a") >= 0.6) == (F.col("p") >= 0.6)
+    turn = F.when((F.col("p") < 0.6) & (F.col("a") < 0.6), True).when(F.col("a") < 0.5, True).when((F.col("p") >= 0.8) & (F.col("a") >= 0.8), False)
+    marked = seen.withColumns({"r": right, "turn": turn, "pair": F.when(same, right)})
+    last = lambda c, where: F.max_by(c, F.when(where, F.col("i")))
+    one = marked.groupBy(key).agg(
+        F.count("*").cast("int").alias("attempts"), F.max("a").alias("best"), F.max_by("a", "i").alias("last"), F.max_by("r", "i").alias("ok"), F.coalesce(F.max(F.when(~F.col("r"), F.col("i"))), F.lit(0)).alias("wrong"),
+        last("turn", F.col("turn").isNotNull()).alias("weak"), last("pair", F.col("pair").isNotNull()).alias("high"), F.max("i").alias("n"),
+    )
+    level = F.when(F.col("high").isNull() | ~F.col("high"), F.when(F.col("ok"), 2).otherwise(1)).otherwise(F.when(F.col("ok"), 3).otherwise(2))
+    # a pair at the very end, of either kind, is the level itself
+    tail = marked.withColumn("back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("back") <= HISTORY)
+    history = tail.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "a"))), lambda x: x["a"]).alias("history"))
+    return one.join(history, key).select(key, "attempts", level.alias("level"), F.least(F.col("n") - F.col("wrong"), F.lit(len(INTERVALS) - 1)).alias("stage"), F.coalesce("weak", F.lit(False)).alias("weak"), "best", "last", "history")
+
+
+def accuracy_by_point(answers: DataFrame, points: str, score: str) -> DataFrame:
+    """(point, n, accuracy) over answers with an array of knowledge points; answers without a score don't count."""
+    one = answers.where(F.col(score).isNotNull()).select(F.explode(points).alias("point"), score)
+    return one.groupBy("point").agg(F.count("*").alias("n"), F.avg(score).alias("accuracy"))
 
 
 def next_review(last_reviewed: Column, stage: Column) -> Column:
@@ -206,30 +233,13 @@ def batch_for(province: Column, batch: Column, known: dict[str, str], plain: str
     return F.when(mapped.isNotNull() & (batch.isNull() | (F.trim(batch) == plain)), mapped).otherwise(batch)
 
 
-def cell_finding(formula: Column, last_row: int) -> Column:
-    """What is wrong with a cell's formula: error, forbidden, external, out of range, or ok."""
-    end = F.regexp_extract(formula, r":[A-Z]+(\d+)\)", 1).try_cast("int")
-    return F.when(formula.rlike("#(REF|DIV/0|VALUE|NAME|N/A|NULL|NUM)[!?]?"), "error").when(formula.rlike(r"^=.*\b(FILTER|UNIQUE|SORT|XLOOKUP|LET|LAMBDA|SEQUENCE)\("), "forbidden").when(F.contains(formula, F.lit("[")), "external").when(end > last_row, "out of range").otherwise("ok")
-
-
 def dominant(rows: DataFrame, key: str, pattern: str) -> DataFrame:
-    """The commonest pattern of each key, the first of equals, and how many rows differ from it."""
+    """The commonest pattern of each key, the least of equals, and how many rows differ from it."""
     counts = rows.groupBy(key, pattern).agg(F.count("*").alias("n"))
-    best = counts.groupBy(key).agg(F.max_by(F.struct(F.col(pattern).alias("p"), F.col("n").alias("m")), F.struct("n", F.lit(0) - F.ascii(pattern))).alias("b"), F.sum("n").alias("t"))
+    best = counts.groupBy(key).agg(F.min_by(F.struct(F.col(pattern).alias("p"), F.col("n").alias("m")), F.struct(-F.col("n"), F.col(pattern))).alias("b"), F.sum("n").alias("t"))
     return best.select(key, F.col("b.p").alias("pattern"), (F.col("t") - F.col("b.m")).alias("outliers"))
 
 
-#: Patterns of time markers in stories.
-MARKERS = [r"(?:Day|Night)\s+(\d+)", r"(\d+)\s+(?:days?|weeks?|months?|years?)\s+(?:later|ago|after|before)", r"Chapter\s+(\d+)", r"\*\*Date:\*\*\s*(.+?)(?:\n|$)"]
-
-
-def markers(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, marker): every time marker in a text with the number of its pattern."""
-    named = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m.alias("marker"))
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), named(k)) for k, p in enumerate(MARKERS)]
-    return rows.select(key, F.explode(F.concat(*found)).alias("m")).select(key, "m.kind", "m.marker")
-
-
 def special_requirements(text: Column) -> dict[str, Column]:
     """Education, years, language, places, working style and certificates that a posting names; empty without."""
     #: Patterns.
@@ -251,13 +261,45 @@ def special_requirements(text: Column) -> dict[str, Column]:
     return out
 
 
-QUESTIONS = "array<struct<id:string,type:string,question:string,answer:string,knowledge_points:array<string>>>"
+QUESTIONS = "array<struct<id:string,knowledge_point_ids:array<string>,level:int,type:string,prompt:string,options:array<string>,answer:string,explanation:string,source_refs:array<string>>>"
 
 
 def questions(raw: Column) -> Column:
-    """Questions from JSON text that may stand in a code fence; null if it is no JSON."""
-    plain = F.trim(F.regexp_replace(raw, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    return F.from_json(plain, QUESTIONS)
+    """Questions from JSON text that may stand in a code fence, absent fields by their defaults; null if it is no list."""
+    text = F.trim(raw)
+    inside = F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n?", ""), r"\n?[ \t]*```[ \t]*$", "")
+    none = F.array().cast("array<string>")
+    plain = {"id": F.lit("q_unknown"), "knowledge_point_ids": none, "level": F.lit(1), "type": F.lit("single_choice"), "prompt": F.lit(""), "options": none, "answer": None, "explanation": F.lit(""), "source_refs": none}
+    whole = lambda q: F.struct(*[(q[k] if d is None else F.coalesce(q[k], d)).alias(k) for k, d in plain.items()])
+    return F.transform(F.from_json(F.when(F.startswith(text, F.lit("```")), inside).otherwise(text), QUESTIONS), whole)
+
+
+#: Words that are no skills.
+NO_SKILLS = (
+    "公司 我们 你将 团队 需要 能够 具备 熟悉 了解 良好 优秀 经验 能力 岗位 职责 要求 以上 相关 进行 完成 负责 推动 实现 提升 并且 包括 以下 工作 项目 业务 及其 或者 或 与 及 的 了 "
+    "并 对 在 等 以 等等 通过 将 其 之 至 至上 本科 硕士 博士 者优先 根据 进行 支持 参与 主导 提供 建立 搭建 设计 驱动 决策 分析 推动 迭代 规划 运营 协作 跨部门 跨团队 高级 资深 若干 多种 多元 多类 "
+    "and the with for of or to be as an is are in on at by all you we us our your a an this that these those it its"
+).split()
+_EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+
+
+def skills(rows: DataFrame, key: str, text: str, most: int = 60) -> DataFrame:
+    """(key, no, skill): the first ``most`` candidate words of each text, Latin ones first, once in any case."""
+    latin = F.regexp_extract_all(F.col(text), F.lit(rf"{_EDGE}[A-Za-z][A-Za-z0-9+/.\-_#]{{1,20}}{_EDGE}"), F.lit(0))
+    chinese = F.regexp_extract_all(F.col(text), F.lit("[一-龥]{2,5}"), F.lit(0))
+    one = rows.select(key, F.posexplode(F.concat(latin, chinese)).alias("pos", "skill")).where(~F.col("skill").isin(NO_SKILLS) & (F.length("skill") > 1))
+    first = one.groupBy(key, F.lower("skill").alias("_low")).agg(F.min_by("skill", "pos").alias("skill"), F.min("pos").alias("pos"))
+    order = Window.partitionBy(key).orderBy("pos")
+    return first.withColumn("no", F.row_number().over(order)).where(F.col("no") <= most).select(key, "no", "skill")
+
+
+def gaps(texts: DataFrame, key: str, text: str, keywords: list[str]) -> DataFrame:
+    """(key, keyword, kind, detail): perfect with the text around, implicit with the part found, or missing."""
+    each = []
+    for word in dict.fromkeys(k.strip() for k in keywords):
+        near, part = evidence(F.col(text), word), fuzzy_part(F.col(text), word)
+        each.append(F.struct(F.lit(word).alias("keyword"), F.when(near.isNotNull(), "perfect").when(part.isNotNull(), "implicit").otherwise("missing").alias("kind"), F.coalesce(near, part).alias("detail")))
+    return texts.select(key, F.inline(F.array(*each)))
 
 
 def fuzzy_part(text: Column, keyword: str) -> Column:
@@ -280,3 +322,44 @@ def story_kinds(text: Column) -> Column:
     }
     found = F.array_compact(F.array(*[F.when(any_of(F.lower(text), words), kind) for kind, words in kinds.items()]))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("ownership")))
+
+
+def undefined(rows: DataFrame, defined: DataFrame, name: str) -> DataFrame:
+    """Names that rows mention and ``defined`` lacks, each once; null is no name."""
+    return rows.select(name).where(F.col(name).isNotNull()).distinct().join(defined.select(name).distinct(), name, "left_anti")
+
+
+def lookup_recs(rows: DataFrame, maps: dict[str, tuple[list[str], DataFrame]]) -> DataFrame:
+    """rows with a column for each map, from (keys, table of keys and ``rec``); rows that a map lacks get null."""
+    for name, (keys, table) in maps.items():
+        rows = rows.join(table.select(*keys, F.col("rec").alias(name)), keys, "left")
+    return rows
+
+
+def match_rules(rows: DataFrame, key: str, exact: str, more: str, known: DataFrame, most: int = 1000) -> DataFrame:
+    """(key, rule, stage): the first stage in which a rule fits, and of its rules the first in order of text.
+
+    Stage 1: equal to ``exact``; 2: contained in it; 3: its first three letters are in ``more``. Rules (rule) go into the
+    expression, so more than ``most`` are an error.
+    """
+    names = sorted(r["rule"] for r in known.select("rule").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} rules")
+    found = []
+    for no, rule in enumerate(names):
+        stage = F.when(F.col(exact) == rule, 1).when(F.contains(F.col(exact), F.lit(rule)), 2).when(F.contains(F.col(more), F.lit(rule[:3])), 3)
+        found.append(F.when(stage.isNotNull(), F.struct(stage.alias("stage"), F.lit(no).alias("no"), F.lit(rule).alias("rule"))))
+    best = rows.select(key, F.array_min(F.array_compact(F.array(*found))).alias("b")).where("b is not null")
+    return best.select(key, "b.rule", "b.stage")
+
+
+def group_schools(schools: DataFrame, majors: DataFrame, group: str, key: str, share: str, rec: str) -> DataFrame:
+    """(group, n_groups, low, high, display, rank, sort_index) by rank and index: the range of the shares of a group's
+    schools and of their majors; rank 0 with a recommended school and major, 1 with a school alone, else 2."""
+    below = majors.join(schools.select(group, key), key).groupBy(group).agg(F.min(share).alias("l"), F.max(share).alias("h"), F.bool_or(rec).alias("m"))
+    own = schools.groupBy(group).agg(F.count("*").alias("n_groups"), F.min(key).alias("sort_index"), F.min(share).alias("low"), F.max(share).alias("high"), F.bool_or(rec).alias("s"))
+    both = own.join(below, group, "left").withColumns({"low": F.least("low", "l"), "high": F.greatest("high", "h")})
+    text = lambda c: F.concat(F.col(c).cast("string"), F.lit("%"))
+    rank = F.when(F.col("s") & F.coalesce("m", F.lit(False)), 0).when(F.col("s"), 1).otherwise(2)
+    out = both.select(group, "n_groups", "low", "high", F.when(F.col("low") == F.col("high"), text("low")).otherwise(F.concat(text("low"), F.lit("–"), text("high"))).alias("display"), rank.alias("rank"), "sort_index")
+    return out.orderBy("rank", "sort_index")

@@ -13,9 +13,12 @@ KEPT = ["size", "modified_date", "hash", "filename", "extension"]
 def upsert(files: DataFrame, new: DataFrame, columns: list[str] = KEPT) -> DataFrame:
     """files after new records by path: a stored row changes only if the new one is later or of another size.
 
-    New paths get ids after the largest; the count of ids is a sum over partitions, so no task orders all rows.
+    Of new records with one path the latest counts, of equals the one greatest in its other columns. Inserted rows have
+    no id yet; ``number_new`` gives them one.
     """
-    fresh = new.select("path", *[F.col(c).alias(f"_n_{c}") for c in columns])
+    order = [F.col("modified_date"), *[F.col(c) for c in columns if c != "modified_date"]]
+    last = new.groupBy("path").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_new"))
+    fresh = last.select("path", *[F.col(f"_new.{c}").alias(f"_n_{c}") for c in columns])
     both = files.join(fresh, "path", "full_outer")
     stored = F.col("id").isNotNull()
     changed = stored & ((F.col("modified_date") < F.col("_n_modified_date")) | (F.col("size") != F.col("_n_size")))
@@ -23,13 +26,19 @@ def upsert(files: DataFrame, new: DataFrame, columns: list[str] = KEPT) -> DataF
     return out.drop(*[f"_n_{c}" for c in columns])
 
 
+BUCKETS = 4096
+
+
 def number_new(upserted: DataFrame) -> DataFrame:
-    """Ids for inserted rows: after the largest, by rank of path in range partitions."""
+    """Ids for inserted rows: after the largest, by hash bucket of the path and the path in it.
+
+    A row's bucket depends on its path alone, so a task that is run again numbers alike; each bucket is ordered for itself.
+    """
     top = upserted.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = upserted.where("id is null").repartitionByRange("path").withColumn("_p", F.spark_partition_id()).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("path")))
-    sizes = fresh.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    numbered = fresh.join(F.broadcast(before), "_p").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_b") + F.col("_r")).drop("_p", "_r", "_b", "_top")
+    fresh = upserted.where("id is null").withColumn("_p", F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int"))
+    before = fresh.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")  # at most BUCKETS rows
+    ranked = fresh.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("path")))
+    numbered = ranked.join(F.broadcast(before), "_p").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_b") + F.col("_r")).drop("_p", "_r", "_b", "_top")
     return upserted.where("id is not null").unionByName(numbered)
 
 
@@ -80,6 +89,22 @@ def record(files: DataFrame, tags: DataFrame, notes: DataFrame) -> DataFrame:
     return files.join(tags_by_file(tags), files["id"] == F.col("file_id"), "left").drop("file_id").join(notes.select(F.col("file_id").alias("id"), "note"), "id", "left").withColumns({"tags": F.coalesce("tags", F.array().cast("array<string>")), "note": F.coalesce("note", F.lit(""))})
 
 
+def set_favorite(files: DataFrame, ids: DataFrame, favorite: bool = True) -> DataFrame:
+    """files with the flag of the given ids (id) set or taken away."""
+    marked = files.join(ids.select("id", F.lit(True).alias("_m")).distinct(), "id", "left")
+    return marked.withColumn("is_favorite", F.when(F.col("_m"), F.lit(favorite)).otherwise(F.col("is_favorite"))).drop("_m")
+
+
+def set_content(files: DataFrame, text: DataFrame, new: DataFrame, indexing: str = "", ocr: str = "", index=None, names: str = "filename") -> tuple[DataFrame, DataFrame]:
+    """(files, text) with new texts (file_id, extracted_text) and the statuses given; an index gets the rows anew."""
+    ids = new.select(F.col("file_id").alias("id"))
+    done = set_status(files, ids, indexing, ocr) if indexing or ocr else files
+    if index is not None:
+        rows = files.select("id", names).join(new.select(F.col("file_id").alias("id"), "extracted_text"), "id")
+        index.update(rows.select("id", *index.columns), "id")
+    return done, replace_text(text, new)
+
+
 def open_counts(opens: DataFrame) -> DataFrame:
     """(id, open_count, last_opened) from open events (id, ts)."""
     return opens.groupBy("id").agg(F.count("*").alias("open_count"), F.max("ts").alias("last_opened"))
@@ -112,6 +137,7 @@ def recent_searches(log: DataFrame, most: int = 50, shown: int = 20) -> DataFram
 
 
 def todo(files: DataFrame) -> DataFrame:
+    """Files to extract; read them in order of id (``orderBy``) where the order matters."""
     return files.where((F.col("indexing_status") != "content_done") & F.col("extension").isin(*DOCUMENTS, "log"))
 
 
@@ -133,14 +159,20 @@ def progress(files: DataFrame) -> DataFrame:
 
 
 def duplicates(files: DataFrame) -> DataFrame:
-    """(hash, n, ids) of contents that several files have."""
-    return files.where("hash <> ''").groupBy("hash").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids")).where("n > 1")
+    """(hash, n, first) of contents that several files have; first is the smallest id. No group is held in a list."""
+    return files.where("hash <> ''").groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
 
 
 def duplicates_expanded(files: DataFrame) -> DataFrame:
-    """Every file of a duplicate group; groups are counted before files join, so that no group is held in one list."""
-    groups = files.where("hash <> ''").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    return files.join(groups, "hash")
+    """Every file of a duplicate group with the group's size and smallest id; groups are counted before files join."""
+    return files.join(duplicates(files), "hash")
+
+
+def duplicate_ids(files: DataFrame, most: int = 10_000) -> DataFrame:
+    """(hash, n, ids) with ids in order, for groups of at most ``most`` files, whose lists fit in a row; larger groups
+    have null ids and are listed by ``duplicates_expanded``."""
+    small = duplicates_expanded(files).where(F.col("n") <= most).groupBy("hash").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return duplicates(files).select("hash", "n").join(small, "hash", "left")
 
 
 def pair_renames(records: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Full-text matching and BM25 as column expressions over token arrays or over a written index.
+"""Full-text matching and BM25 as column expressions over token arrays.
 
-A row's match and score are expressions of its per-leaf term counts, so a query is one scan (or a read of the query's
-terms from the index), one one-row aggregate for the corpus statistics, and no shuffle of texts.
+A row's match and score are expressions of its per-leaf term counts. ``match`` scans the texts; ``plans.index`` reads the
+query's terms from a written index.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.plans.parser import Leaf, Node, leaves
@@ -101,68 +101,8 @@ def evaluate(tree, bm25: Bm25 = Bm25()) -> tuple[Column, Column]:
 
 
 def match(rows: DataFrame, tree: Leaf | Node, columns: list[str], bm25: Bm25 = Bm25()) -> DataFrame:
-    """Matching rows with their score, by one scan for the statistics and one for the rows."""
+    """Matching rows with their score, by one scan for the statistics and one for the rows; the way without an index."""
     found = counted(rows, tree, columns)
     stats = statistics(counted(rows.select(*columns), tree, columns), len(leaves(tree)))
     matches, score = evaluate(tree, bm25)
     return found.crossJoin(F.broadcast(stats)).where(matches).withColumn("score", score).select(*rows.columns, "score")  # one row is broadcast
-
-
-def _shift(k: int):
-    """Where a phrase begins whose k-th word stands at a position; columns lie far apart."""
-    return lambda p: p - k + F.col("col") * (1 << 30)
-
-
-class Index:
-    """A written inverted index: postings in folders by hash of the term, lengths of rows, and corpus statistics."""
-
-    BUCKETS = 64
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.postings = spark.read.parquet(f"{path}/postings")
-        self.lengths = spark.read.parquet(f"{path}/lengths")
-        self.stats = spark.read.parquet(f"{path}/stats")
-
-    @classmethod
-    def build(cls, rows: DataFrame, path: str, key: str, columns: list[str], mode: str = "overwrite") -> Index:
-        """Writes postings (term, id, col, tf, positions) sorted by term within buckets, so that reads skip other terms."""
-        words = F.array(*[F.struct(F.lit(k).alias("col"), tokens(F.col(c)).alias("words")) for k, c in enumerate(columns)])
-        one = rows.select(F.col(key).alias("id"), F.explode(words).alias("w")).select("id", "w.col", "w.words")
-        places = one.select("id", "col", F.posexplode("words").alias("pos", "term"))
-        postings = places.groupBy("term", "id", "col").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")).repartition(cls.BUCKETS, "bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("term", "id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-        one.groupBy("id").agg(F.sum(F.size("words")).cast("long").alias("dl")).write.mode(mode).parquet(f"{path}/lengths")
-        rows.sparkSession.read.parquet(f"{path}/lengths").agg(F.count("*").alias("_n"), F.avg("dl").alias("_avgdl")).write.mode(mode).parquet(f"{path}/stats")
-        return cls(rows.sparkSession, path)
-
-    def _bucket(self, term: str) -> int:
-        return self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(term)), F.lit(self.BUCKETS)).cast("int")).first()[0]
-
-    def counts(self, tree) -> DataFrame:
-        """(id, dl, tf0..) of the rows that have some leaf."""
-        exact = sorted({t for x in leaves(tree) for k, t in enumerate(x.terms) if not (x.prefix and k == len(x.terms) - 1)})
-        starts = sorted({x.terms[-1] for x in leaves(tree) if x.prefix})
-        wanted = reduce(lambda a, b: a | b, [F.col("term") == t for t in exact] + [F.col("term").startswith(s) for s in starts])
-        read = self.postings.where(wanted)
-        if not starts:
-            read = read.where(F.col("bucket").isin(sorted({self._bucket(t) for t in exact})))
-        out = []
-        for x in leaves(tree):
-            if len(x.terms) == 1:
-                own = F.col("term").startswith(x.terms[0]) if x.prefix else F.col("term") == x.terms[0]
-                out.append(F.sum(F.when(own, F.col("tf")).otherwise(F.lit(0))))
-            else:  # a phrase: positions of each word shifted to its beginning, and those that all words share
-                shifted = []
-                for k, t in enumerate(x.terms):
-                    own = F.col("term").startswith(t) if x.prefix and k == len(x.terms) - 1 else F.col("term") == t
-                    shifted.append(F.flatten(F.collect_list(F.when(own, F.transform("positions", _shift(k))))))
-                out.append(F.size(reduce(F.array_intersect, shifted)).cast("long"))
-        return read.groupBy("id").agg(*[c.cast("long").alias(f"tf{k}") for k, c in enumerate(out)]).join(self.lengths, "id")
-
-    def match(self, tree, bm25: Bm25 = Bm25()) -> DataFrame:
-        """(id, score) of matching rows."""
-        found = self.counts(tree)
-        n = found.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"_n{k}") for k in range(len(leaves(tree)))])
-        matches, score = evaluate(tree, bm25)
-        return found.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(self.stats)).where(matches).select("id", score.alias("score"))

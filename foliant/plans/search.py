@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import ascii_lower
 from foliant.plans import fts
+from foliant.plans.index import Index
 from foliant.plans.parser import ParsedQuery, QuerySyntaxError, bytes_of, filename_words, parse
 
 COLUMNS = ["id", "path", "filename", "extension", "size", "modified_date", "is_favorite"]
@@ -18,9 +19,9 @@ SNIPPET_TOKENS = 16
 def filters(q: ParsedQuery, documented: bool = True) -> Column:
     """Filters on files. Not documented: date, size and OCR are read but don't filter."""
     out = [F.lit(True)]
-    if q.extension is not None:
+    if q.extension:
         out.append(F.col("extension") == q.extension)
-    if q.folder is not None:
+    if q.folder:
         out.append(F.contains(ascii_lower(F.col("path")), ascii_lower(F.lit(q.folder))))
     if q.favorite:
         out.append(F.col("is_favorite"))
@@ -72,7 +73,15 @@ def snippet(content: Column, terms: list[str], around: int = SNIPPET_TOKENS) ->
     return F.concat(F.when(first > 1, F.lit("...")).otherwise(F.lit("")), body, F.when(first + around - 1 < F.size(words), F.lit("...")).otherwise(F.lit("")))
 
 
-def search(files: DataFrame, text: DataFrame, raw: str, limit: int = 200, tags: DataFrame | None = None, documented: bool = True, index: fts.Index | None = None) -> DataFrame:
+def run_saved(searches: DataFrame, name: str, files: DataFrame, text: DataFrame, limit: int = 200, **more) -> DataFrame:
+    """The hits of a saved search (search_name, search_query) by its name; an unknown name is an error."""
+    row = searches.where(F.col("search_name") == name).select("search_query").first()
+    if row is None:
+        raise KeyError(f"no saved search named {name!r}")
+    return search(files, text, row["search_query"], limit, **more)
+
+
+def search(files: DataFrame, text: DataFrame, raw: str, limit: int = 200, tags: DataFrame | None = None, documented: bool = True, index: Index | None = None) -> DataFrame:
     """Hits with rank, source (0 content, 1 name) and score: content by score, then names by time; each file once.
 
     files: COLUMNS and ocr_status; text: file_id, extracted_text. A malformed expression leaves the name hits alone.

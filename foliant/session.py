@@ -38,3 +38,20 @@ def ship(spark: SparkSession) -> None:
         f.write(data.getvalue())
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session without one gets its own under /tmp."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
+        os.makedirs("/tmp/checkpoints", exist_ok=True)
+    return base.rstrip("/")
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes this application's working tables; what is lazily read from them is lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/foliant/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

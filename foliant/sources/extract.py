@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -115,6 +116,51 @@ def _xlsx(data: bytes) -> str:
     return "".join(out)
 
 
+def docx_paragraphs(data: bytes) -> str:
+    """The non-blank paragraphs of a document, with a blank line between them."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if "word/document.xml" not in z.namelist():
+            raise ValueError("no word/document.xml")
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    lines = ("".join(t.text or "" for t in p.iter() if _local(t.tag) == "t").strip() for p in root.iter() if _local(p.tag) == "p")
+    return "\n\n".join(x for x in lines if x)
+
+
+def pptx_slides(data: bytes) -> str:
+    """Slides with text, each under its number; they are numbered in the order of their names as text."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = sorted(n for n in z.namelist() if n.startswith("ppt/slides/slide") and n.endswith(".xml"))
+        if not names:
+            raise ValueError("no slides")
+        for k, name in enumerate(names, 1):
+            root = ElementTree.fromstring(z.read(name))
+            lines = [x for p in root.iter() if _local(p.tag) == "p" if (x := "".join(t.text or "" for t in p.iter() if _local(t.tag) == "t").strip())]
+            if lines:
+                out.append(f"[Slide {k}]\n" + "\n".join(lines))
+    return "\n\n".join(out)
+
+
+#: Another rule for the same formats, for ``extract(found, known=PARAGRAPHS)``.
+PARAGRAPHS: dict[str, Callable[[bytes], str | tuple[str, bool]]] = {"docx": docx_paragraphs, "pptx": pptx_slides}
+
+
+def page_records(pages: list[str | None]) -> list[tuple[int, int, str]]:
+    """(page, characters, text) of a document's pages, counted from 1."""
+    return [(k, len(p or ""), p or "") for k, p in enumerate(pages, 1)]
+
+
+def table_records(pages: list[list[list[list[str | None]]]]) -> list[tuple[int, int, int, int, list[list[str]]]]:
+    """(page, table, rows, columns, cells) of the tables on each page; empty tables are left out, cells are trimmed."""
+    out = []
+    for page, tables in enumerate(pages, 1):
+        for k, rows in enumerate(tables):
+            if rows:
+                cells = [[(c or "").strip() for c in r] for r in rows]
+                out.append((page, k, len(cells), len(cells[0]), cells))
+    return out
+
+
 def pages_text(pages: list[str]) -> tuple[str, bool]:
     """Text of a document's pages, up to PAGES pages and about CHARS characters, and whether most pages are blank."""
     out, size, blank, seen = [], 0, 0, 0
@@ -160,10 +206,22 @@ def extract_one(extension: str, data: bytes, known: dict | None = None) -> tuple
     return text, "native", ocr, ""
 
 
-def extract(found: DataFrame) -> DataFrame:
-    """Texts of binary files (path, content); extractors registered on the driver go along."""
+def records(found: DataFrame, parse: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
+    """Rows (path and ``schema``) that ``parse`` gives for each binary file (path, content), such as a PDF's pages or tables."""
+    ship(found.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", *[x.split()[0] for x in re.split(r",\s*(?![^<]*>)", schema)]]
+        for b in batches:
+            yield pd.DataFrame([(p, *r) for p, c in zip(b["path"], b["content"]) for r in parse(bytes(c))], columns=names)
+
+    return found.select("path", "content").mapInPandas(run, f"path string, {schema}")
+
+
+def extract(found: DataFrame, known: dict[str, Callable[[bytes], str | tuple[str, bool]]] | None = None) -> DataFrame:
+    """Texts of binary files (path, content); extractors registered on the driver go along, ``known`` ones come first."""
     ship(found.sparkSession)
-    known = dict(EXTRACTORS)
+    known = {**EXTRACTORS, **(known or {})}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -173,20 +231,149 @@ def extract(found: DataFrame) -> DataFrame:
     return found.select("path", extension_of(F.col("path")).alias("extension"), "content").mapInPandas(run, SCHEMA)
 
 
-def scan(spark: SparkSession, roots: list[str], excludes: list[str] = ()) -> DataFrame:
-    """Files below roots, not hidden and not below an excluded folder, with their metadata; contents aren't read."""
+def _walk(spark: SparkSession, roots: list[str], excludes: list[str], follow: bool) -> list[str]:
+    """Folders below roots that are neither hidden nor excluded, each once; links to folders are followed or left."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out, todo, seen = [], [normal(r) for r in roots], set()
+    skip = [normal(e).lower().rstrip("/") + "/" for e in excludes]
+    while todo:
+        folder = todo.pop()
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(conf)
+        own = normal(path.toString())
+        local = os.path.realpath(own) if own.startswith("/") and fs.getScheme() == "file" else own
+        if local in seen or any((own.lower() + "/").startswith(s) for s in skip) or not fs.exists(path):
+            continue
+        seen.add(local)
+        out.append(own)
+        for s in fs.listStatus(path):
+            name = s.getPath().getName()
+            link = own.startswith("/") and os.path.islink(os.path.join(own, name))
+            if s.isDirectory() and not name.startswith(".") and (follow or not link):
+                todo.append(s.getPath().toString())
+    return out
+
+
+def normal(path: str) -> str:
+    """A path without the scheme of local files."""
+    return re.sub("^file:/*", "/", path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def listing(spark: SparkSession, roots: list[str], excludes: list[str] = (), follow_links: bool = True) -> DataFrame:
+    """(path, size, modified_date, error) of the files below roots, whatever their names but for hidden ones.
+
+    The driver walks the folders; files of local or mounted folders are listed by tasks, those of other file systems by
+    the driver through Hadoop. A folder that can't be listed and a file that can't be read give a row with an error.
+    """
+    ship(spark)
+    folders = _walk(spark, list(roots), list(excludes), follow_links)
+    schema = "path string, size long, modified_date long, error string"
+    remote = [f for f in folders if not f.startswith("/")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for folder in b["folder"]:
+                try:
+                    entries = list(os.scandir(folder))
+                except OSError as e:
+                    rows.append((folder, None, None, str(e)))
+                    continue
+                for e in entries:
+                    if e.name.startswith(".") or not e.is_file(follow_symlinks=follow_links):
+                        continue
+                    try:
+                        st = e.stat()
+                        error = "" if os.access(e.path, os.R_OK) else "not readable"
+                        rows.append((e.path, st.st_size, int(st.st_mtime), error))
+                    except OSError as x:
+                        rows.append((e.path, None, None, str(x)))
+            yield pd.DataFrame(rows, columns=["path", "size", "modified_date", "error"])
+
+    local = [(f,) for f in folders if f.startswith("/")]
+    out = spark.createDataFrame(local, "folder string").repartition(max(1, min(len(local), 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, schema)
+    if remote:
+        jvm, conf, rows = spark._jvm, spark._jsc.hadoopConfiguration(), []
+        for folder in remote:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            rows += [(s.getPath().toString(), s.getLen(), s.getModificationTime() // 1000, "") for s in path.getFileSystem(conf).listStatus(path) if s.isFile() and not s.getPath().getName().startswith(".")]
+        out = out.unionByName(spark.createDataFrame(rows, schema))
+    return out
+
+
+def scan(spark: SparkSession, roots: list[str], excludes: list[str] = (), follow_links: bool = True, limit: int | None = None) -> DataFrame:
+    """Files below roots, not hidden and not below an excluded folder, with their metadata; contents aren't read.
+
+    ``limit`` stops after so many files. Unreadable files are left out; ``scan_counts`` counts them.
+    """
     from foliant.functions.paths import initial_ocr_status, is_under_any
 
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots)).select("path", "length", "modificationTime")
-    plain = F.regexp_replace(F.col("path"), "^file:/*", "/")
+    found = listing(spark, roots, excludes, follow_links).where("error = ''")
     name = F.element_at(F.split("path", "/"), -1)
-    rows = found.select(plain.alias("path"), name.alias("filename"), extension_of(plain).alias("extension"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_date"))
-    kept = rows.where(~F.startswith("filename", F.lit(".")) & ~is_under_any(F.col("path"), list(excludes)))
-    return kept.withColumns({"indexing_status": F.lit("metadata_only"), "ocr_status": initial_ocr_status(F.col("extension"))})
+    kept = found.where(~F.startswith(name, F.lit(".")) & ~is_under_any(F.col("path"), list(excludes)))
+    rows = kept.select("path", name.alias("filename"), extension_of(F.col("path")).alias("extension"), "size", "modified_date")
+    rows = rows if limit is None else rows.limit(limit)
+    return rows.withColumns({"indexing_status": F.lit("metadata_only"), "ocr_status": initial_ocr_status(F.col("extension"))})
+
+
+def scan_counts(spark: SparkSession, roots: list[str], excludes: list[str] = ()) -> DataFrame:
+    """One row: files scanned and errors."""
+    return listing(spark, roots, excludes).agg(F.count_if(F.col("error") == "").alias("scanned"), F.count_if(F.col("error") != "").alias("errors"))
+
+
+def contents(spark: SparkSession, roots: list[str], excludes: list[str] = ()) -> DataFrame:
+    """(path, content) of the files that ``scan`` finds; on other than local or mounted file systems without those whose
+    names begin with an underscore, which Spark's reader leaves out."""
+    near = [r for r in roots if normal(r).startswith("/")]
+    far = [r for r in roots if not normal(r).startswith("/")]
+    out = read(scan(spark, near, excludes).select("path"))
+    return out.unionByName(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(far).select("path", "content")) if far else out
+
+
+def read(found: DataFrame) -> DataFrame:
+    """(path, content) of local files (path), read where the task runs; a file that is gone by then is left out."""
+    ship(found.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:  # one file at a time
+                try:
+                    with open(p, "rb") as f:
+                        yield pd.DataFrame({"path": [p], "content": [f.read()]})
+                except OSError:
+                    continue
+
+    return found.select("path").mapInPandas(run, "path string, content binary")
+
 
+def hashed(spark: SparkSession, found: DataFrame, cap: int | None = None) -> DataFrame:
+    """(path, hash): SHA-256 of files, or of their first ``cap`` bytes rounded up to 64 KiB, read piece by piece."""
+    import hashlib
+
+    most = None if cap is None else -(-cap // 65536) * 65536
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                h, left = hashlib.sha256(), most
+                try:
+                    with open(p, "rb") as f:
+                        while data := f.read(1 << 20 if left is None else min(1 << 20, left)):
+                            h.update(data)
+                            left = None if left is None else left - len(data)
+                except OSError:
+                    rows.append((p, ""))
+                    continue
+                rows.append((p, h.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "hash"])
 
-def contents(spark: SparkSession, roots: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots)).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    return found.select("path").mapInPandas(run, "path string, hash string")
 
 
 def head(found: DataFrame, n: int) -> DataFrame:

@@ -3,7 +3,7 @@ import sqlite3
 
 import pytest
 
-from foliant.plans.parser import Leaf, Node, QuerySyntaxError, bytes_of, filename_words, leaves, parse, tokenize
+from foliant.plans.parser import Leaf, Node, QuerySyntaxError, bytes_of, filename_words, leaves, parse, split_fields, tokenize
 
 
 @pytest.mark.parametrize(
@@ -12,6 +12,7 @@ from foliant.plans.parser import Leaf, Node, QuerySyntaxError, bytes_of, filenam
         ("", ""), ("   ", ""), ("NOC", '"NOC"'), ("NOC examination", '"NOC" "examination"'), ('"Station Development"', '"Station Development"'),
         ('"a""b"', '"a" "b"'), ("NOC AND examination", '"NOC" AND "examination"'), ("NOC OR x", '"NOC" OR "x"'), ("NOC NOT x", '"NOC" NOT "x"'),
         ("NOC -draft", '"NOC" NOT "draft"'), ("rail*", "rail*"), ("type:pdf folder:Railway NOC examination", '"NOC" "examination"'), ("colour:red blue", '"blue" "red"'),
+        ('foo"bar baz"', '"foo""bar" "baz"""'), ("a -", '"a" NOT ""'), ("colour:", '""'), ("a colour: b", '"a" "b" ""'), ("C:\\x http://a", '"\\x" "//a"'), ('"open end', '"open end"'), ("and or", '"and" "or"'), ('x""', '"x"""""'),
     ],
 )
 def test_expression(raw, fts):
@@ -43,6 +44,21 @@ def test_errors(raw):
 def test_filename_words():
     assert filename_words('type:pdf a+b "c d" AND -draft rail*') == ["a", "b", "c d", "-draft", "rail*"]
     assert filename_words("type:pdf") == []
+    assert filename_words('"a""b" foo"bar baz" colour:') == ["a", "b", 'foo"bar', 'baz"', "colour:"]
+
+
+def test_split_fields():
+    assert split_fields('one type:PDF two three tag:"For Review" ') == ([("type", "PDF"), ("tag", "For Review")], ["one", "two three"])
+    assert split_fields("plain words") == ([], ["plain words"]) and split_fields("Size:>1 ") == ([("size", ">1")], [])
+
+
+def test_empty_expression_matches_nothing(spark):
+    from foliant.plans.search import search
+
+    files = spark.createDataFrame([(1, "/a", "a.txt", "txt", 1, 1, False, "")], "id long, path string, filename string, extension string, size long, modified_date long, is_favorite boolean, ocr_status string")
+    text = spark.createDataFrame([(1, "words")], "file_id long, extracted_text string")
+    assert search(files, text, "colour:").count() == 0 and search(files, text, "type: txt").count() == 1
+    assert [r["source"] for r in search(files, text, "words -").collect()] == [0]
 
 
 def test_tokenize():
@@ -73,12 +89,55 @@ def test_ranks_like_fts5(spark):
 
 def test_index_equals_scan(spark, tmp_path):
     from foliant.plans import fts
+    from foliant.plans.index import Index
 
     r = random.Random(6)
     rows = [(i, f"f{i % 3} w1", " ".join(r.choices(["w0", "w1", "w2", "wx"], k=r.randint(0, 9)))) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, filename string, content string")
-    index = fts.Index.build(df, str(tmp_path / "i"), "id", ["filename", "content"])
+    index = Index.build(df, str(tmp_path / "i"), "id", ["filename", "content"])
     for raw in ("w0 w2", '"w1 w2"', "w* NOT w0", '"w0 w1" OR wx'):
         tree = parse(raw).tree()
         scan = {x["id"]: round(x["score"], 9) for x in fts.match(df, tree, ["filename", "content"]).collect()}
         assert {x["id"]: round(x["score"], 9) for x in index.match(tree).collect()} == scan, raw
+
+
+def test_index_changes(spark, tmp_path):
+    """After updates, removals and compaction the index answers as a scan of the rows that are left."""
+    from foliant.plans import fts
+    from foliant.plans.index import Index, words_of
+
+    r = random.Random(7)
+    text = lambda: " ".join(r.choices(["w0", "w1", "w2", "ete"], k=r.randint(0, 9)))
+    rows = {i: (i, f"f{i % 3}", text()) for i in range(50)}
+    table = lambda x: spark.createDataFrame(list(x), "id long, filename string, content string")
+    index = Index.build(table(rows.values()), str(tmp_path / "i"), "id", ["filename", "content"])
+
+    def same():
+        assert (index.n, index.tokens) == (len(rows), sum(len(words_of(f)) + len(words_of(c)) for _, f, c in rows.values()))
+        for raw in ("w0 w2", '"w1 w2"', "w* NOT w0", "f1 OR ete"):
+            tree = parse(raw).tree()
+            scan = {x["id"]: round(x["score"], 9) for x in fts.match(table(rows.values()), tree, ["filename", "content"]).collect()}
+            assert {x["id"]: round(x["score"], 9) for x in index.match(tree).collect()} == scan, raw
+
+    same()
+    new = {i: (i, "f9 w0", text()) for i in (3, 4, 60)}
+    rows |= new
+    index.update(table(new.values()), "id", spark.createDataFrame([(7,), (8,), (3,), (99,)], "id long"))
+    rows = {k: v for k, v in rows.items() if k not in (7, 8)}
+    same()
+    index.delete(spark.createDataFrame([(60,), (0,)], "id long"))
+    del rows[60], rows[0]
+    same()
+    other = Index(spark, str(tmp_path / "i"))
+    index.compact()
+    same()
+    other.refresh()
+    assert len(other.segments) == 1 and other.n == len(rows)
+    assert index.match(parse('""').tree() or Leaf(())).count() == 0
+
+
+def test_words_like_the_tokenizer():
+    from foliant.plans.index import words_of
+
+    for t in ("Café-Résumé x_1 ½", "ÉTÉ İstanbul ﬁ ²", "plain Text_with under_scores 42", "", "日本語 テスト", "a\u0301b \ue000x"):
+        assert words_of(t) == tokenize(t)
