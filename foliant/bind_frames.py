@@ -118,7 +118,7 @@ def budget_variance(spark, sf_dir):
     return actual.withColumns({"budget": budget, "variance": F.col("actual") - budget, "share": (F.col("actual") - budget) / budget, "status": F.when(F.col("actual") > 1100000, "over").when(F.col("actual") < 900000, "under").otherwise("on track")})
 
 
-@query()
+@query("SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '-42'), doc_id) <= greatest(1, floor(count(*) OVER (PARTITION BY lang) * 0.4)) AS held FROM documents")
 def stratified_split(spark, sf_dir):
     return frames.split_holdout(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.4)
 

@@ -99,7 +99,9 @@ def search_malformed_falls_back(spark, sf_dir):
     return search(files(spark, sf_dir), document_text(spark, sf_dir), "a.b*", 25).select("id", "source", "score")
 
 
-@query()
+@query(f"""WITH h AS ({fts_sql([("term", ["idiot"])], "m0", "s0")}), w AS (SELECT id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM h JOIN documents ON doc_id = id),
+p AS (SELECT id, w, greatest(1, coalesce(list_position(list_transform(w, lambda x: list_contains(regexp_extract_all(lower(strip_accents(x)), {RX}), 'idiot')), true), 0) - 8) AS f FROM w)
+SELECT id, CASE WHEN f > 1 THEN '...' ELSE '' END || array_to_string(w[f:f + 15], ' ') || CASE WHEN f + 15 < len(w) THEN '...' ELSE '' END AS snippet FROM p""")
 def snippet_fts(spark, sf_dir):
     hits = ranked(spark, sf_dir, "idiot")
     return hits.join(document_text(spark, sf_dir).withColumnRenamed("file_id", "id"), "id").select("id", snippet(F.col("extracted_text"), ["idiot"]).alias("snippet"))

@@ -141,7 +141,7 @@ def diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def split_holdout(df: DataFrame, stratum: str, key: str, share: float, seed: int = 42) -> DataFrame:
-    """A column ``held``: an exact share of each stratum, one row at least, by hash order."""
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """A column ``held``: an exact share of each stratum, one row at least, in order of the MD5 of key and seed."""
+    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key)
     size = F.count("*").over(Window.partitionBy(stratum))
     return df.withColumn("held", F.row_number().over(order) <= F.greatest(F.lit(1), F.floor(size * share)))

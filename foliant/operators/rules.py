@@ -181,22 +181,21 @@ def mastery(attempts: DataFrame, key: str, order: str, accuracy: str) -> DataFra
     Levels walk within 1..3 from 1, so two equal outcomes in a row fix the level (3 or 1), and after the last such pair
     outcomes alternate; the stage is the run of right answers at the end, at most 4. Windows need no list of a key's attempts.
     """
-    a, w = F.col(accuracy).cast("double"), Window.partitionBy(key).orderBy(order)
-    before = F.lag(accuracy).over(w)
-    seen = attempts.select(key, order, a.alias("a"), before.cast("double").alias("p"), F.row_number().over(w).alias("i"))
+    own = attempts.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(accuracy).cast("double").alias("a"))
+    w = Window.partitionBy("key").orderBy("order")
+    seen = own.withColumns({"p": F.lag("a").over(w), "i": F.row_number().over(w), "back": F.row_number().over(Window.partitionBy("key").orderBy(F.desc("order")))})
     right, same = F.col("a") >= 0.6, (F.col("a") >= 0.6) == (F.col("p") >= 0.6)
     turn = F.when((F.col("p") < 0.6) & (F.col("a") < 0.6), True).when(F.col("a") < 0.5, True).when((F.col("p") >= 0.8) & (F.col("a") >= 0.8), False)
     marked = seen.withColumns({"r": right, "turn": turn, "pair": F.when(same, right)})
-    last = lambda c, where: F.max_by(c, F.when(where, F.col("i")))
-    one = marked.groupBy(key).agg(
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("i")))
+    tail = F.collect_list(F.when(F.col("back") <= HISTORY, F.struct("i", "a")))  # at most HISTORY of a key
+    one = marked.groupBy("key").agg(
         F.count("*").cast("int").alias("attempts"), F.max("a").alias("best"), F.max_by("a", "i").alias("last"), F.max_by("r", "i").alias("ok"), F.coalesce(F.max(F.when(~F.col("r"), F.col("i"))), F.lit(0)).alias("wrong"),
-        last("turn", F.col("turn").isNotNull()).alias("weak"), last("pair", F.col("pair").isNotNull()).alias("high"), F.max("i").alias("n"),
+        last("turn").alias("weak"), last("pair").alias("high"), F.max("i").alias("n"), F.transform(F.sort_array(tail), lambda x: x["a"]).alias("history"),
     )
     level = F.when(F.col("high").isNull() | ~F.col("high"), F.when(F.col("ok"), 2).otherwise(1)).otherwise(F.when(F.col("ok"), 3).otherwise(2))
-    # a pair at the very end, of either kind, is the level itself
-    tail = marked.withColumn("back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("back") <= HISTORY)
-    history = tail.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "a"))), lambda x: x["a"]).alias("history"))
-    return one.join(history, key).select(key, "attempts", level.alias("level"), F.least(F.col("n") - F.col("wrong"), F.lit(len(INTERVALS) - 1)).alias("stage"), F.coalesce("weak", F.lit(False)).alias("weak"), "best", "last", "history")
+    stage = F.least(F.col("n") - F.col("wrong"), F.lit(len(INTERVALS) - 1))
+    return one.select(F.col("key").alias(key), "attempts", level.alias("level"), stage.alias("stage"), F.coalesce("weak", F.lit(False)).alias("weak"), "best", "last", "history")
 
 
 def accuracy_by_point(answers: DataFrame, points: str, score: str) -> DataFrame:

@@ -31,6 +31,17 @@ def test_text(spark):
         assert one(spark, text.jaccard(L(a), L(b))) == j
 
 
+def test_snippet(spark):
+    from foliant.plans.search import snippet
+
+    words = [f"w{k}" for k in range(40)]
+    show = lambda t, terms: one(spark, snippet(L(t), terms))
+    assert show(" ".join(words), ["w20"]) == "..." + " ".join(words[12:28]) + "..."
+    assert show(" ".join(words), ["none"]) == " ".join(words[:16]) + "..."
+    assert show("a  b\n(Été), c", ["ete"]) == "a b (Été), c" and show("", ["x"]) == ""
+    assert show(" ".join(words), ["w39", "w38"]) == "..." + " ".join(words[30:])
+
+
 def test_paths(spark):
     for p, e in (("foo.pdf", "pdf"), ("foo.TXT", "txt"), ("foo.tar.gz", "gz"), ("README", ""), ("foo.", ""), ("C:/my.folder/file.txt", "txt"), ("foo.bar/baz", "")):
         assert one(spark, paths.extension_of(L(p))) == e
