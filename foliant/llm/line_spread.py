@@ -4,9 +4,10 @@ Every line's sites are gathered in a HyperLogLog sketch per line hash; sketches
 estimate is clearly above the threshold are boilerplate, lines clearly below are not, and lines near it get an exact
 distinct count. A boilerplate line stays in the document with the smallest doc_id that has it and goes from all others.
 
-Defined cases: null text counts as empty; a null site is no site; lines shorter than MIN_CHARS after trimming are never
-boilerplate; a row without doc_id never counts as the first; if no row with a line has a doc_id the line stays; repeated
-rows are treated alike; columns besides id, site and text pass through whatever their names; no rows give no rows.
+Defined cases: null text counts as empty; a null site is no site; lines are told apart without the white space at their
+ends; lines shorter than MIN_CHARS after that are never boilerplate; a row without doc_id never counts as the first; if
+no row with a line has a doc_id the line stays; repeated rows are treated alike; columns besides id, site and text pass
+through whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, lookup
+from foliant.llm.common import cut, lookup, numbered
 
 MIN_SITES = 3
 MIN_CHARS = 20
 LG_K = 12
+WHITE = " \t\r\f\v"
+BROADCAST_BYTES = 32 << 20  # of the places of removed lines, below which texts aren't shuffled
 BAND = 3 * 1.04 / 2 ** (LG_K / 2)  # three standard errors of a sketch
 
 
@@ -30,7 +33,7 @@ def _row_key(id_col: str, text_col: str):
 def lines_of(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
     """(row, doc, site, pos, key) of the lines long enough to be boilerplate; key is a 96-bit hash of the line."""
     flat = docs.select(_row_key(id_col, text_col).alias("row"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("pos", "line"))
-    line = F.trim("line")
+    line = F.trim("line", F.lit(WHITE))
     return flat.where(F.length(line) >= MIN_CHARS).select("row", F.col("row.d").alias("doc"), "site", "pos", F.struct(F.xxhash64(line).alias("x"), F.crc32(line).alias("c")).alias("key"))
 
 
@@ -48,16 +51,24 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame
     return cut(found, "line-boilerplate"), total
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with boilerplate lines removed from text_col, and two columns more: __lines and __removed."""
-    lines = lines_of(docs, id_col, site_col, text_col)
+def clean(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs with boilerplate lines removed from text_col. counts: names of two more columns, the lines that a text had
+    and those removed; docs must not have columns of these names."""
+    if counts and {c.lower() for c in counts} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {counts}")
+    flat, (i, site, text) = numbered(docs, id_col, site_col, text_col)  # c0, c1, ..; names of this function's own can't clash
+    lines = lines_of(flat, i, site, text)
     found, total = boilerplate(lines, min_sites)
     hits = lookup(lines.select("key", "row", "doc", "pos"), found, "key", ["first"], "n", total).where(F.col("first").isNotNull() & ~F.col("doc").eqNullSafe(F.col("first")))
-    gone = hits.groupBy("row").agg(F.collect_set("pos").alias("__gone")).select(F.coalesce(F.col("row.d"), F.lit(-(1 << 63))).alias("__d"), F.col("row.t").alias("__t"), "__gone")
-    key = _row_key(id_col, text_col)
-    marked = docs.withColumns({"__d": F.coalesce(key["d"], F.lit(-(1 << 63))), "__t": key["t"]})
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone")), lambda i: F.get(F.col("__parts"), i))
-    joined = marked.join(gone, ["__d", "__t"], "left").withColumn("__parts", parts)
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.size("__parts").alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed"))
+    none = F.lit(-(1 << 63))
+    gone = cut(hits.groupBy("row").agg(F.collect_set("pos").alias("gone")).select(F.coalesce(F.col("row.d"), none).alias("row_d"), F.col("row.t").alias("row_t"), "gone"), "line-gone")
+    size = gone.agg(F.coalesce(F.sum(64 + 8 * F.size("gone")), F.lit(0))).first()[0]
+    key = _row_key(i, text)
+    marked = flat.withColumns({"row_d": F.coalesce(key["d"], none), "row_t": key["t"]})
+    joined = marked.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone.hint("merge"), ["row_d", "row_t"], "left")
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    left = joined.withColumn("parts", F.when(F.col("gone").isNotNull(), parts))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone")), lambda k: F.get(F.col("parts"), k))
+    new = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    more = [F.size(parts).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_gone")] if counts else []
+    return left.select(*[new.alias(c) if c == text else F.col(c) for c in flat.columns], *more).toDF(*docs.columns, *(counts or ()))

@@ -44,16 +44,16 @@ def op5_native_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_spread.clean(documents(spark, sf_dir, "doc_id", "source", "text"))
+    out = line_spread.clean(documents(spark, sf_dir, "doc_id", "source", "text"), counts=("n_lines", "n_removed"))
     text = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = toxicity.score(docs, model)
-    return out.select("doc_id", toxicity.held_out().alias("held_out"), F.col("__toxicity").alias("score"), (F.col("__toxicity") >= 0.5).cast("int").alias("predicted"))
+    out = toxicity.score(docs, model, "score")
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_context_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +78,9 @@ FROM d LEFT JOIN g ON g.payload_digest = d.payload_digest AND d.payload_bytes >=
 OP7_SQL = """
 WITH l AS (SELECT doc_id, source, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
                   unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-b AS (SELECT trim(line, ' ') AS k, min(doc_id) AS first FROM l WHERE length(trim(line, ' ')) >= 20
-      GROUP BY 1 HAVING count(DISTINCT source) >= 3),
-m AS (SELECT l.*, b.first IS NOT NULL AND l.doc_id <> b.first AS gone FROM l LEFT JOIN b ON trim(l.line, ' ') = b.k),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM l),
+b AS (SELECT k, min(doc_id) AS first FROM t WHERE length(k) >= 20 GROUP BY 1 HAVING count(DISTINCT source) >= 3),
+m AS (SELECT t.*, b.first IS NOT NULL AND t.doc_id <> b.first AS gone FROM t LEFT JOIN b ON t.k = b.k),
 d AS (SELECT doc_id, count(*)::INTEGER AS n_lines, (count(*) FILTER (gone))::INTEGER AS n_removed,
              coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, length(text)::INTEGER AS n_chars, sha256(text) AS text_sha256 FROM d

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import held
+from foliant.llm.common import held, numbered, pick, slices
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 CHAR_ROWS = 1 << 13
-SAMPLE, SAMPLE_CHARS, VOCABULARY = 1500, 200_000, 20_000
+SAMPLE, SAMPLE_CHARS, VOCABULARY = 1500, 40_000, 20_000
 EPOCHS, STEPS, BATCH, RATE, SEED = 8, 350, 128, 0.01, 7  # STEPS: at least about so many when rows are few
 MAX_WORDS = 250_000  # of a scorer's cache
 _EDGES = ".,;:!?\"'()[]{}<>|#*%&$@~^_=+-/\\`"
@@ -174,22 +174,28 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.index: dict[str, int] = {}
-        self.table = np.zeros((0, 6 * HIDDEN), np.float32)
+        self.table = np.zeros((1, 6 * HIDDEN), np.float32)
 
     def _ids(self, texts: list[list[str]]) -> list[np.ndarray]:
         new = list(set().union(*texts).difference(self.index)) if texts else []
         if len(self.index) + len(new) > MAX_WORDS:
-            self.index, self.table, new = {}, self.table[:0], list(set().union(*texts))
-        if new:
-            self.index.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.concatenate([self.table, *[self.model.project(new[k : k + 20_000]) for k in range(0, len(new), 20_000)]])
+            self.index, new = {}, list(set().union(*texts))
+        at = len(self.index)
+        if at + len(new) > len(self.table):
+            grown = np.empty((max(at + len(new), min(MAX_WORDS, 2 * len(self.table))), 6 * HIDDEN), np.float32)
+            grown[:at] = self.table[:at]
+            self.table = grown
+        self.index.update(zip(new, range(at, at + len(new))))
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            self.table[at + k : at + k + len(part)] = self.model.project(part)
         get = self.index.__getitem__
         return [np.fromiter(map(get, t), dtype=np.int64, count=len(t)) for t in texts]
 
     def logits(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The logits of all windows of each text."""
         cuts = [_cut(i) for i in self._ids(texts)]
-        table = self.table if len(self.table) else np.zeros((1, 6 * HIDDEN), np.float32)
+        table = self.table
         ids, mask = np.concatenate([c[0] for c in cuts]), np.concatenate([c[1] for c in cuts])
         flat = np.concatenate([self.model.forward(table[ids[k : k + 1024]], mask[k : k + 1024]) for k in range(0, len(ids), 1024)])
         return np.split(flat, np.cumsum([len(c[0]) for c in cuts])[:-1])
@@ -264,6 +270,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Trains on a bounded sample of docs (doc_id, text) with labels (doc_id, toxic)."""
+    docs, labels = pick(docs, "doc_id", "text"), pick(labels, "doc_id", "toxic")
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     some = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
@@ -272,20 +279,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train(rows["text"].tolist(), rows["toxic"].tolist(), (float(counts.get(0, 0)), float(counts.get(1, 0))))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column __toxicity, the score of its text."""
+def score(docs: DataFrame, model: Model, column: str = "__toxicity") -> DataFrame:
+    """docs with one more column, the score of its text; docs must not have a column of that name."""
     import uuid
 
     key, names = uuid.uuid4().hex, docs.columns
-    at = names.index("text")
+    if column.lower() in (n.lower() for n in names):
+        raise ValueError(f"there is a column {column}")
+    inside, found = numbered(docs, "text")
+    at = int(found[0][1:])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by VOCABULARY and CHAR_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held(key, lambda: Scorer(sent.value))
-        for b in batches:
+        for b in slices(batches, at):
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer.scores(b.column(at).to_pylist()))], names=[*[f"c{k}" for k in range(len(names))], "s"])
 
-    inside = docs.toDF(*[f"c{k}" for k in range(len(names))])
     schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)) + ", s double"
-    return inside.mapInArrow(run, schema).toDF(*names, "__toxicity")
+    return inside.mapInArrow(run, schema).toDF(*names, column)
