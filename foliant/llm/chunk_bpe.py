@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import held, open_fs
+from foliant.llm.common import held, open_fs, pick, slices
 
 CHUNK = 32_768
 OVERLAP = 256
@@ -112,7 +112,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for b in batches:
+        for b in slices(batches, 1):
             rows = [_digest(c, c.pieces(t or "")) for t in b.column(1).to_pylist()]
             n, ids, raw = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -136,7 +136,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
         pieces = stitch(rows["part"].tolist(), [np.asarray(x) for x in rows["cuts"]], c, chunk)
         return pd.DataFrame([(rows["doc_id"].iloc[0], *_digest(c, pieces))], columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
     parts = rows.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(cut_up, "row long, doc_id long, k int, part string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, pick
 
 WIDTH = 64
 FRAME_ROWS = 512
@@ -277,7 +277,7 @@ def store(docs: DataFrame) -> DataFrame:
     def _batch(ids, sizes, media):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary"), "gif-media")
+    return cut(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary"), "gif-media")
 
 
 def frames(stored: DataFrame) -> DataFrame:
@@ -298,27 +298,35 @@ def frames(stored: DataFrame) -> DataFrame:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """What is read back from stored media: sizes, digests, and the histogram of the grey shown, in BINS steps."""
+    """What is read back from stored media: sizes, digests, the histogram of the grey shown, in BINS steps, and ``frames``.
+
+    frames: an array of the timed frames, each with its time and delay in ms, its rows, and a histogram of BINS counts for
+    each of red, green and blue.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc, n, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 media = media.as_py()
-                sha, tail, total, count, time, shots = hashlib.sha256(), b"", 0, np.zeros(BINS, dtype=np.int64), 0, 0
+                sha, tail, total, count, time, shots = hashlib.sha256(), b"", 0, np.zeros(BINS, dtype=np.int64), 0, []
                 for f in decode(media):
                     h, w = f.indices.shape
                     shown = f.canvas[f.top : f.top + h, f.left : f.left + w, 0]
                     data = shown.tobytes()  # the grey palette shows a sample as itself
                     sha.update(data)
                     tail, total = (tail + data)[-WIDTH:], total + len(data)
-                    count += np.bincount(shown.reshape(-1) >> 4, minlength=BINS)
-                    time, shots = time + 10 * f.delay, shots + 1
-                feature = f"{shots}f{time}ms:" + ",".join(f"{c / total:.4f}" for c in count)
-                rows.append((doc, n, total, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature))
+                    own = np.bincount(shown.reshape(-1) >> 4, minlength=BINS)
+                    count += own
+                    place = f.canvas[f.top : f.top + h, f.left : f.left + w]
+                    red, green, blue = (own if k == 0 or np.array_equal(place[:, :, k], shown) else np.bincount(place[:, :, k].reshape(-1) >> 4, minlength=BINS) for k in range(3))
+                    shots.append({"at_ms": time, "delay_ms": 10 * f.delay, "rows": h, "red": red, "green": green, "blue": blue})
+                    time += 10 * f.delay
+                feature = f"{len(shots)}f{time}ms:" + ",".join(f"{c / total:.4f}" for c in count)
+                rows.append((doc, n, total, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, shots))
             if rows:
                 cols = list(zip(*rows))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([*[(n, pa.int32()) for n in ("at_ms", "delay_ms", "rows")], *[(n, pa.list_(pa.int32())) for n in ("red", "green", "blue")]])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<at_ms:int,delay_ms:int,rows:int,red:array<int>,green:array<int>,blue:array<int>>>")

@@ -4,8 +4,9 @@ Everything is DataFrame functions. A text's terms are its pairs of neighbouring
 with its 64-bit hash, so a term weighs as much as it occurs. Votes for two bits share one long counter (32 bits each), and
 32 sums over the exploded hashes give all 64 counts with map-side combining.
 
-The tables: 64 bits are cut into radius+1 blocks; each table brings another block to the front as its key, so
-fingerprints within the radius meet under some key. A pair is reported by the first table that it shares.
+The tables: 64 bits are cut into blocks, radius+1 of them or more as fingerprints are many; each table brings another
+choice of all but radius blocks to the front as its key, so fingerprints within the radius meet under some key. A pair is
+reported by the first table that it shares.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero; null ids sort first, as the least
 long; rows that repeat id and text follow one another; after the last document comes the first; one document alone is
@@ -14,10 +15,13 @@ its own next; extra columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, pick
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RADIUS = 3
@@ -58,7 +62,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs, text = pick(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
@@ -96,36 +100,55 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = cut(led.drop("copies").unionByName(again).withColumn("rid", F.monotonically_increasing_id()), "native-rows")
     texts = _base(docs, id_col, text_col).dropDuplicates(["d", "t"])
     tail = F.floor(F.col("n") / 4).cast("int")
-    heads = rows.select("rid", F.col("d").alias("own_d"), F.col("t").alias("own_t"), "n", F.col("next_d").alias("d"), F.col("next_t").alias("t")).join(texts, ["d", "t"]).select("rid", F.col("own_d").alias("d"), F.col("own_t").alias("t"), "n", F.substring("text", F.lit(1), tail).alias("head"))
-    made = heads.join(texts, ["d", "t"]).select("rid", F.concat(F.substring("text", F.lit(1), (F.col("n") - tail).cast("int")), F.col("head")).alias("text"))
+    heads = rows.select("rid", F.col("d").alias("own_d"), F.col("t").alias("own_t"), "n", F.col("next_d").alias("d"), F.col("next_t").alias("t")).join(texts.hint("merge"), ["d", "t"]).select("rid", F.col("own_d").alias("d"), F.col("own_t").alias("t"), "n", F.substring("text", F.lit(1), tail).alias("head"))
+    made = heads.hint("merge").join(texts, ["d", "t"]).select("rid", F.concat(F.substring("text", F.lit(1), (F.col("n") - tail).cast("int")), F.col("head")).alias("text"))
     sha = F.sha2("text", 256)
     quarters = [F.conv(F.substring("sha", 16 * k + 1, 16), 16, -10).cast("long").alias(f"q{k}") for k in range(4)]
     terms = made.select("rid", sha.alias("sha"), _words("text").alias("words")).select("rid", *quarters, F.explode_outer(_terms("words")).alias("h"))
     votes = terms.groupBy("rid").agg(*[F.max(f"q{k}").alias(f"q{k}") for k in range(4)], F.count("h").alias("w"), *_votes("h"))
     done = votes.select("rid", F.concat(*[to_hex(F.col(f"q{k}")) for k in range(4)]).alias("edited_sha256"), F.coalesce(_majority(F.col("w")), F.lit(0)).alias("edited_fp"))
     asked = rows.where(F.pmod("d", F.lit(20)) == 0).select("fp").distinct()
-    near = within(prints.select("fp").distinct(), asked).groupBy(F.col("query").alias("fp")).agg(F.count("*").alias("near_texts"))
-    out = rows.join(done, "rid")
-    out = out.where(F.pmod("d", F.lit(20)) == 0).join(near, "fp", "left").unionByName(out.where(F.pmod("d", F.lit(20)) != 0).withColumn("near_texts", F.lit(None).cast("long")), allowMissingColumns=True)
+    every = prints.select("fp").distinct()
+    near = within(every, asked, n=every.count()).groupBy(F.col("query").alias("fp")).agg(F.count("*").alias("near_texts"))
+    out = rows.hint("merge").join(done, "rid")
+    out = out.where(F.pmod("d", F.lit(20)) == 0).join(near.hint("merge"), "fp", "left").unionByName(out.where(F.pmod("d", F.lit(20)) != 0).withColumn("near_texts", F.lit(None).cast("long")), allowMissingColumns=True)
     return out.select(
         F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", to_hex(F.col("fp")).alias("fingerprint"), to_hex(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "near_texts",
     )
 
 
-def within(index: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+KEY_ROWS = 16  # fingerprints that a table's key is meant to have
+
+
+def _blocks(n: int, radius: int) -> int:
+    """Blocks to cut 64 bits into so that keys of the agreeing ones split n fingerprints finely enough."""
+    for b in range(radius + 1, 2 * radius + 2):
+        if n <= KEY_ROWS << (64 * (b - radius) // b):
+            return b
+    return 2 * radius + 1
+
+
+def within(index: DataFrame, queries: DataFrame, radius: int = RADIUS, n: int = 0, blocks: int | None = None) -> DataFrame:
     """(query, fp, bits): all index fingerprints (fp, distinct) within radius of the query fingerprints (fp, distinct).
 
-    Rows under one key are dealt to SALT parts; each query asks them all.
+    n: about how many fingerprints the index has. The more there are, the more blocks, and the longer are the keys: a
+    table for every choice of the blocks that agree, so that what meets under a key grows with n and not its square. Rows
+    under one key are dealt to SALT parts; each query asks them all.
     """
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    b = blocks or _blocks(n, radius)
+    edges = [64 * i // b for i in range(b + 1)]
     block = lambda c, k: F.shiftrightunsigned(c, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
-    tables = lambda c: F.explode(F.array(*[F.struct(F.lit(k).alias("no"), block(c, k).alias("front")) for k in range(radius + 1)]))
+    kept = list(itertools.combinations(range(b), b - radius))
+    # the kept blocks moved to the front, as one number
+    front = lambda c, ks: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(block(c, k), sum(edges[j + 1] - edges[j] for j in ks[:i])) for i, k in enumerate(ks)])
+    tables = lambda c: F.explode(F.array(*[F.struct(F.lit(no).alias("no"), front(c, ks).alias("front")) for no, ks in enumerate(kept)]))
     left = queries.select(F.col("fp").alias("query"), tables(F.col("fp")).alias("at")).select("query", "at.no", "at.front", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     right = index.select("fp", tables(F.col("fp")).alias("at")).select("fp", "at.no", "at.front", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int").alias("salt"))
     differ = F.col("query").bitwiseXOR(F.col("fp"))
-    first = F.lit(radius)
-    for k in reversed(range(radius)):
-        first = F.when(block(differ, k) == 0, F.lit(k)).otherwise(first)
+    first = F.lit(len(kept))
+    for no in reversed(range(len(kept))):  # the first table that a pair shares reports it
+        first = F.when(front(differ, kept[no]) == 0, F.lit(no)).otherwise(first)
     same = (F.col("l.no") == F.col("r.no")) & (F.col("l.front") == F.col("r.front")) & (F.col("l.salt") == F.col("r.salt"))
-    return left.alias("l").join(right.alias("r"), same & (F.bit_count(differ) <= radius) & (first == F.col("l.no"))).select("query", "fp", F.bit_count(differ).alias("bits"))
+    met = left.alias("l").join(right.alias("r").hint("merge"), same).where(F.bit_count(differ) <= radius)
+    return met.where(first == F.col("l.no")).select("query", "fp", F.bit_count(differ).alias("bits"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, fresh_path, open_fs
+from foliant.llm.common import cut, fresh_path, open_fs, pick, slices
 from foliant.llm.token_cache import ByteLevel, cached
 
 HEADER = struct.Struct("<4sBBHQQQ")  # magic, version, bytes an id, -, documents, ids, displacements
@@ -176,7 +176,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int = SHARD_I
     """Writes docs (doc_id, text) as shards in ascending doc_id; gives their manifest (part, seq, path, docs, ids)."""
     folder = fresh_path(docs.sparkSession, "token-shards")
     parts = max(1, docs.rdd.getNumPartitions())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie"))
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie"))
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int = SHARD_I
             total = write_shard(path, ids, encoded, width)
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "docs": [len(ids)], "ids": [total]}, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-        for b in batches:
+        for b in slices(batches, 1):
             ids += b.column(0).to_pylist()
             new = [e + end for e in tok.encode_many([t or "" for t in b.column(1).to_pylist()])]
             encoded += new

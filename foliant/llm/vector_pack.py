@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, pick, slices
 from foliant.llm.token_cache import SpaceFree, cached
 
 
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, tokens: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, seen = cached(SpaceFree, tokenizer), TaskContext.get().partitionId(), np.zeros(tokens + 1, dtype=np.int64)
         end = tok.pack([end_id])
-        for b in batches:
+        for b in slices(batches, 1):
             out: list[tuple] = []
             for doc, e in zip(b.column(0).to_pylist(), tok.encode_many([t or "" for t in b.column(1).to_pylist()])):
                 ids = np.frombuffer(e + end, dtype=tok.dtype).astype("<u4")
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, tokens: int) -> DataFra
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long")
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long")
 
 
 def assign(table: DataFrame, cap: Capacity) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, fresh_path, lookup, open_fs
+from foliant.llm.common import cut, fresh_path, lookup, open_fs, pick
 
 LEAST = 1000
 FILE_BYTES = 256 << 20
@@ -73,7 +73,7 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Archives pages (page_id, url, html); gives the index."""
     folder = fresh_path(pages.sparkSession, "warc")
     body = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), F.sha1(body.cast("binary")).alias("digest"))
+    rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), F.sha1(body.cast("binary")).alias("digest"))
     big = F.octet_length("html") >= least
     groups = cut(rows.where(big).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "warc-groups")
     copies = groups.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]

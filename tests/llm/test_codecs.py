@@ -29,6 +29,41 @@ def test_cached_ids(kind, name):
     assert c.encode_many(texts) == [c.whole(t) for t in texts]
 
 
+@pytest.mark.parametrize("kind, name", [(ByteLevel, "byte_bpe_50k.json"), (SpaceFree, "word_bpe_49k.json")])
+def test_ids_of_the_library(kind, name):
+    """The library's own encoding, set as its vocabulary's description says: special tokens' strings are ordinary text."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path(name))
+    own.encode_special_tokens = True
+    c = cached(kind, public_tokenizers.path(name))
+    texts = [t or "" for t in ODD] + ["<|startoftext|>x <|endoftext|>", "Äpfel, naïve-café's 3.14!!  x\r\ny"]
+    assert [np.frombuffer(x, c.dtype).tolist() for x in c.encode_many(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_slices_change_no_ids(monkeypatch):
+    from foliant.llm import token_cache
+
+    texts = [t or "" for t in ODD] * 3
+    c = ByteLevel(public_tokenizers.path("byte_bpe_50k.json"))
+    want = c.encode_many(texts)
+    monkeypatch.setattr(token_cache, "SLICE_CHARS", 20)
+    monkeypatch.setattr(token_cache, "MAX_SEGMENTS", 5)
+    assert ByteLevel(public_tokenizers.path("byte_bpe_50k.json")).encode_many(texts) == want
+
+
+def test_token_starts(spark):
+    """In ascending order of id, with ids apart, starts are the lengths of all before."""
+    rows = [(i * 7 % 101, f"text {i} " * (i % 13), "c", 1) for i in range(101)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = sorted(tuple(r) for r in token_store.read(token_store.write(df, public_tokenizers.path("byte_bpe_50k.json"), 2, shard_ids=300)).collect())
+    c, at = cached(ByteLevel, public_tokenizers.path("byte_bpe_50k.json")), 0
+    for (i, t, _, _), g in zip(sorted(rows), got):
+        n = len(c.whole(t)) // 2 + 1
+        assert g[:3] == (i, at, n)
+        at += n
+
+
 def test_token_store(spark):
     df = docs(spark, ODD)
     manifest = token_store.write(df, public_tokenizers.path("byte_bpe_50k.json"), 2, shard_ids=5000)
@@ -63,6 +98,91 @@ def test_stitched_bpe(spark):
     assert chunk_bpe.encode(df.limit(0), path, pattern).count() == 0
 
 
+def test_bpe_like_tiktoken(spark):
+    import base64
+
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    parts = ["a", "Word", " ", "  ", "\n", "'s", "é", "É", ".", "!!", "\t", "\xa0", "日", "İ", "12", "_", "<|endoftext|>"]
+    texts = ODD + ["".join(r.choices(parts, k=r.randint(0, 300))) for _ in range(60)]
+    got = {x["doc_id"]: x for x in chunk_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, pattern, chunk=128, overlap=32).collect()}
+    for i, t in enumerate(texts):
+        ids = own.encode_ordinary(t or "")
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), t
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def slow_gif(data):
+    """(samples, delay) of each image, by the format's plain rules: one code after another, no vectors."""
+    assert data[:6] == b"GIF89a"
+    width, height, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
+    at, out, delay = 13 + (3 << (flags & 7) + 1 if flags & 128 else 0), [], 0
+
+    def blocks(at):
+        body = b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += data[at] + 1
+        return body, at + 1
+
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            kind = data[at + 1]
+            body, at = blocks(at + 2)
+            if kind == 0xF9:
+                delay = int.from_bytes(body[1:3], "little")
+            continue
+        w, h, own = int.from_bytes(data[at + 5 : at + 7], "little"), int.from_bytes(data[at + 7 : at + 9], "little"), data[at + 9]
+        at += 10 + (3 << (own & 7) + 1 if own & 128 else 0)
+        first = data[at]
+        body, at = blocks(at + 1)
+        bits, have, size, table, last, samples, k = 0, 0, first + 1, None, None, bytearray(), 0
+        while True:
+            while have < size:
+                bits |= body[k] << have
+                have, k = have + 8, k + 1
+            code, bits, have = bits & (1 << size) - 1, bits >> size, have - size
+            if code == 1 << first:
+                table, size, last = [bytes([x]) for x in range(1 << first)] + [b"", b""], first + 1, None
+                continue
+            if code == (1 << first) + 1:
+                break
+            word = table[code] if code < len(table) else last + last[:1]
+            samples += word
+            if last is not None and len(table) < 4096:
+                table.append(last + word[:1])
+                if len(table) == 1 << size and size < 12:
+                    size += 1
+            last = word
+        assert len(samples) == w * h and w <= width and h <= height
+        out.append((bytes(samples), delay))
+    return out
+
+
+def test_gif_by_another_decoder(spark):
+    r = random.Random(9)
+    texts = ODD + ["".join(r.choices("abcdefgh ÄÖ日", k=r.randint(0, 9000))) for _ in range(10)] + ["x" * 100_000]
+    stored = gif_media.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    out = {x["doc_id"]: x for x in gif_media.digests(stored).collect()}
+    for x in stored.collect():
+        frames, got = slow_gif(bytes(x["media"])), out[x["doc_id"]]
+        payload = b"".join(f for f, _ in frames)
+        assert payload == gif_media.payload(texts[x["doc_id"]])
+        assert (got["media_bytes"], got["media_sha256"], got["payload_bytes"]) == (len(x["media"]), hashlib.sha256(x["media"]).hexdigest(), len(payload))
+        at = 0
+        assert len(got["frames"]) == len(frames)
+        for (samples, delay), f in zip(frames, got["frames"]):
+            counts = [sum(1 for b in samples if b >> 4 == k) for k in range(16)]
+            assert (f["at_ms"], f["delay_ms"], f["rows"] * 64) == (at, 10 * delay, len(samples)) and f["red"] == f["green"] == f["blue"] == counts
+            at += 10 * delay
+        shares = [sum(1 for b in payload if b >> 4 == k) / len(payload) for k in range(16)]
+        assert got["feature"] == f"{len(frames)}f{at}ms:" + ",".join(f"{s:.4f}" for s in shares)
+
+
 def test_gif(spark):
     df = docs(spark, ODD)
     stored = gif_media.store(df)
