@@ -5,33 +5,32 @@ Working tables go to the folder named by ``spark.checkpoint.dir`` so that they o
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import os
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.session import ship
+from foliant.session import ship, work_dir
 
 #: A key is hot when it holds more than 1/HOT_PARTS of all rows; there can be at most HOT_PARTS such keys.
 HOT_PARTS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; only a local session without one gets its own under /tmp."""
+    """The shared folder of this session."""
     ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file:///tmp/checkpoints"
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-    return base.rstrip("/")
+    return work_dir(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
+    """A path that nothing has used, in the folder of this application, which ``session.forget`` removes."""
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -73,6 +72,26 @@ def tasks_for(spark: SparkSession, rows: int, rows_a_task: int) -> int:
     return max(1, min(max(spark.sparkContext.defaultParallelism, -(-rows // rows_a_task)), -(-rows // 64) or 1))
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named c0, c1, .. so that no name of a user can clash, and the new names of some columns.
+
+    A column is found by its exact name, else by its name in any case.
+    """
+    found = []
+    for n in names:
+        at = [k for k, c in enumerate(docs.columns) if c == n] or [k for k, c in enumerate(docs.columns) if c.lower() == n.lower()]
+        if len(at) != 1:
+            raise ValueError(f"{len(at)} columns are named {n}")
+        found.append(f"c{at[0]}")
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), found
+
+
+def pick(docs: DataFrame, *names: str) -> DataFrame:
+    """These columns of docs, whatever the others are called."""
+    flat, found = numbered(docs, *names)
+    return flat.select(*[F.col(c).alias(n) for c, n in zip(found, names)])
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("*",)))
@@ -84,7 +103,45 @@ _held: dict = {}
 def held(key, make):
     """make() for key, kept in this worker process until another key is asked for: one operator's cache at a time."""
     if key not in _held:
-        _held.clear()
-        gc.collect()
+        drop_held()
         _held[key] = make()
     return _held[key]
+
+
+def drop_held() -> None:
+    """Ends the cache of the operator before."""
+    if _held:
+        _held.clear()
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system, which the worker's next operator and the executor's other worker need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def keep_memory() -> None:
+    """Lets this worker keep what it frees until ``release``: arrays made anew for every chunk then cost no page faults."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-1, 1 << 30)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+    except OSError:  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices in which a column of texts holds about ``most`` bytes, a longer text alone; then memory is given back."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, upto - at)
+            at = upto
+    release()
