@@ -6,7 +6,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import xxhash
 from pyspark.sql import functions as F
 
 from foliant.llm import context_mix, toxicity
@@ -65,6 +64,18 @@ def test_fit_leaves_held_out_rows(spark):
     assert toxicity.fit(docs, labels, 50) is not None
 
 
+def test_query_on_held_out_rows(spark):
+    """The registered query tells held-out toxic rows from others, and is never shown their labels."""
+    from foliant.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    out = queries.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null"), "doc_id").where("held_out").select("predicted", "toxic", "score").collect()
+    right = [r["predicted"] == r["toxic"] for r in out]
+    toxic = [r["predicted"] for r in out if r["toxic"] == 1]
+    assert len(out) > 20 and len(toxic) > 3 and np.mean(right) >= 0.9 and np.mean(toxic) >= 0.7
+    assert all((r["score"] >= 0.5) == (r["predicted"] == 1) for r in out)
+
+
 def test_windows():
     assert toxicity.windows(0).tolist() == [0] and toxicity.windows(32).tolist() == [0]
     assert all(set(range(n)) <= {k for a in toxicity.windows(n) for k in range(a, a + toxicity.WINDOW)} for n in range(1, 150))
@@ -83,18 +94,31 @@ def _trains(i):
     return i is None or zlib.crc32(str(i).encode()) % 5 != 1
 
 
+def mix(x):
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64
+    return x ^ x >> 32
+
+
+def word_hash(w):
+    if not w:
+        return mix(1)
+    places = (mix(((p & 63) << 8 | b) + 0x9E3779B97F4A7C15) * (2 * (p >> 6) + 1) for p, b in enumerate(w))
+    return mix((sum(places) + len(w)) % 2**64)
+
+
 class Slow:
     """Scores one bit at a time, from counts of its own and a learned mixer."""
 
     def __init__(self, rows, model):
         self.model, self.train = model, [context_mix.tokens(t) for i, t in rows if _trains(i)]
-        self.counts = [Counter() for _ in range(4)]
+        self.counts = [Counter() for _ in range(3)]
         for toks in self.train:
             for i, w in enumerate(toks):
-                for k in range(4):
+                for k in range(3):
                     self.counts[k][self.context(toks, i, k) + (w,)] += 1
-        self.seen = [Counter() for _ in range(4)]
-        for k in range(4):
+        self.seen = [Counter() for _ in range(3)]
+        for k in range(3):
             for key, n in self.counts[k].items():
                 self.seen[k][key[:-1]] += n
         letters = [0] * 256
@@ -112,8 +136,8 @@ class Slow:
         return tuple(toks[j] if j >= 0 else None for j in range(i - k, i))
 
     @staticmethod
-    def probability(m, slots, extra, gate, levels=True):
-        x = [math.log((m.counts[k][s][1] + context_mix.DELTA) / (m.counts[k][s][0] + context_mix.DELTA)) for k, s in enumerate(slots)] + extra
+    def probability(m, slots, extra, gate):
+        x = [math.log((m.total[k][s][1] + context_mix.DELTA) / (m.total[k][s][0] + context_mix.DELTA)) for k, s in enumerate(slots)] + extra
         logit = min(12.0, max(-12.0, sum(a * b for a, b in zip(x, m.weights[gate]))))
         cell = round((logit + 12) * (context_mix.MAP_STEPS - 1) / 24)
         centre = 1 / (1 + math.exp(-(-12 + 24 * cell / (context_mix.MAP_STEPS - 1))))
@@ -140,21 +164,21 @@ class Slow:
 
     def cost(self, text):
         toks, levels, cost = context_mix.tokens(text), [], 0.0
-        told, bins, mine = [[0, 0] for _ in range(5)], Counter(), Counter()
+        told, bins, mine = [[0, 0] for _ in range(4)], Counter(), Counter()
         log2 = lambda n: min(15, (n + 1).bit_length() - 1)
         for i, w in enumerate(toks):
-            seen = [self.seen[k][self.context(toks, i, k)] for k in (1, 2, 3)]
-            have = [self.counts[k][self.context(toks, i, k) + (w,)] for k in (1, 2, 3)]
+            seen = [self.seen[k][self.context(toks, i, k)] for k in (1, 2)]
+            have = [self.counts[k][self.context(toks, i, k) + (w,)] for k in (1, 2)]
             c0, total = self.counts[0][(w,)], self.seen[0][()]
-            level = next((3 - k for k in (3, 2, 1) if have[k - 1]), 3 if mine[w] else 4 if c0 else 5)
-            past = [levels[-k] if len(levels) >= k else 6 for k in (1, 2, 3, 4)]
+            level = next((2 - k for k in (2, 1) if have[k - 1]), 2 if mine[w] else 3 if c0 else 4)
+            past = [levels[-k] if len(levels) >= k else 5 for k in (1, 2, 3, 4)]
             sizes, at = [log2(s) for s in seen], log2(i)
-            before = int(context_mix.mix64(np.array([xxhash.xxh64_intdigest(toks[i - 1], 9) if i else 0], np.uint64))[0]) >> 64 - context_mix.SLOTS_BITS
-            for lev in range(min(level, 4) + 1):
-                if (lev < 3 and not seen[2 - lev]) or (lev == 3 and not i):
+            before = (mix(word_hash(toks[i - 1])) if i else 0) >> 64 - context_mix.SLOTS_BITS
+            for lev in range(min(level, 3) + 1):
+                if (lev < 2 and not seen[1 - lev]) or (lev == 2 and not i):
                     continue
-                gate = sizes[2 - lev] if lev < 3 else at
-                slots = [gate * 49 + past[0] * 7 + past[1], before, (sizes[2] * 16 + sizes[1]) * 16 + sizes[0], ((past[0] * 7 + past[1]) * 7 + past[2]) * 7 + past[3]]
+                gate = sizes[1 - lev] if lev < 2 else at
+                slots = [gate * 49 + past[0] * 7 + past[1], before, (sizes[1] * 16 + sizes[0]) * 16 + at, ((past[0] * 7 + past[1]) * 7 + past[2]) * 7 + past[3]]
                 n, yes = told[lev]
                 z = self.probability(self.model.levels[lev], slots, [math.log((yes + 1) / (n - yes + 1)) * min(1, n / 16), 0.5], gate)
                 place = (lev, min(7, max(0, int(z + 4))))
@@ -163,8 +187,8 @@ class Slow:
                 cost -= math.log(p if bit else 1 - p)
                 told[lev] = [n + 1, yes + bit]
                 bins[place, bit] += 1
-            if level < 5:
-                cost -= math.log([have[2] / max(1, seen[2]), have[1] / max(1, seen[1]), have[0] / max(1, seen[0]), mine[w] / max(1, i), c0 / max(1, total)][level])
+            if level < 4:
+                cost -= math.log([have[1] / max(1, seen[1]), have[0] / max(1, seen[0]), mine[w] / max(1, i), c0 / max(1, total)][level])
             else:
                 cost += self.spelling(w)
             levels.append(level)
@@ -179,7 +203,7 @@ def test_score_against_single_bits(spark):
     got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in context_mix.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
-        assert math.isclose(got[i, len(context_mix.tokens(t))], -slow.cost(t) / math.log(10), rel_tol=1e-6, abs_tol=1e-6), (i, t)
+        assert math.isclose(got[i, len(context_mix.tokens(t))], -slow.cost(t) / math.log(10), rel_tol=1e-5, abs_tol=1e-5), (i, t)
 
 
 def test_next_tokens_add_up_to_at_most_one(spark):
@@ -211,19 +235,35 @@ def test_held_out_texts_beat_the_base(spark, sf):
 
 
 def test_counts_do_not_depend_on_partitions(spark, monkeypatch):
-    """More chunks and shards, and chunks that several tasks read, change no count."""
+    """More chunks and more shards change no count."""
     df = spark.createDataFrame([(i, t) for i, t, _ in made(60)], "doc_id long, text string")
     told = []
     for parts, size in ((1, 8 << 20), (5, 2000)):
         monkeypatch.setattr(context_mix, "CHUNK_BYTES", size)
-        one = _learned(spark, [(i, t) for i, t, _ in made(60)]) if parts == 1 else context_mix.learn(df.repartition(parts))
-        told.append(one.corpus)
+        monkeypatch.setattr(context_mix, "SHARD_BYTES", size)
+        learned = context_mix.learn(df.repartition(parts))
+        chunks, counts = learned.chunks.collect(), []
+        for row in chunks:
+            t = context_mix.tokens_of(row.asDict())
+            words, contexts = context_mix.known_counts(t, context_mix.answers_of(learned.folder, row["chunk"]), learned.shards)
+            for k, i in enumerate(row["doc_ids"]):
+                own = slice(t.starts[k], t.starts[k] + row["lengths"][k])
+                counts.append((i, words[t.ids[own]].tolist(), *(c[own].tolist() for c in contexts)))
+        told.append((learned.corpus, sorted(counts)))
+        assert len(chunks) >= parts and learned.shards >= parts
     assert told[0] == told[1]
-    chunk = context_mix.chunked(df.coalesce(1))
-    asked = context_mix.questions(chunk.drop("n"), 3)
-    split = context_mix.questions(chunk.drop("n").where("doc_id < 30"), 3).unionByName(context_mix.questions(chunk.drop("n").where("doc_id >= 30"), 3))
-    kept = lambda x: sorted((r["shard"], r["counts"]) for r in context_mix.answers(x, 3).where("chunk is not null").collect())
-    assert kept(asked) == kept(split)
+
+
+def test_tokens_are_kept():
+    texts = ["The cat\x0bsat\ton  THE mat", "", None, "é É " + "x" * 200 + " " + "x" * 201, " a", "the cat " * 90_000, "y" * (3 << 20) + " z"]
+    t = context_mix.Tokens.of(texts)
+    again = context_mix.Tokens.unpack(*t.pack())
+    for own in (t, again):
+        told = [own.words[k] for k in own.ids.tolist()]
+        assert told == [w for x in texts for w in context_mix.tokens(x)]
+        assert own.starts.tolist() == np.cumsum([0] + [len(context_mix.tokens(x)) for x in texts])[:-1].tolist()
+        assert own.hashes[:50].tolist() == [word_hash(w) for w in own.words[:50]] and len(set(own.hashes.tolist())) == len(own.words)
+    assert t.bytes.tolist() == [len((x or "").encode()) for x in texts]
 
 
 def test_counts_beyond_32_bits():
@@ -246,7 +286,7 @@ def test_base_score(spark):
 
 def test_small_table_trains_the_mixer(spark):
     m = _learned(spark, [(i, t) for i, t, _ in made(60)]).model
-    assert all(np.abs(x.weights - context_mix.START_WEIGHT).max() > 1e-3 for x in (m.levels[2], m.levels[4], m.bytes))
+    assert all(np.abs(x.weights - context_mix.START_WEIGHT).max() > 1e-3 for x in (m.levels[1], m.levels[3], m.bytes))
 
 
 def test_every_training_bit_is_learned(spark):
@@ -254,6 +294,6 @@ def test_every_training_bit_is_learned(spark):
     m = _learned(spark, rows).model
     n = sum(len(context_mix.tokens(t)) for i, t in rows if _trains(i))
     firsts = sum(1 for i, _ in rows if _trains(i))
-    assert m.levels[3].seen == n - firsts and 0 < m.levels[2].seen <= n  # here no word of a pair is told by the words before
+    assert m.levels[2].seen == n - firsts and 0 < m.levels[1].seen <= n  # here no word of a pair is told by the words before
     for x in m.learners():
-        assert all(abs(x.counts[k].sum() - x.seen) < 1e-6 for k in range(len(x.counts))) and abs(x.map.sum() - x.seen) < 1e-6
+        assert all(abs(x.total[k].sum() - x.seen) < 1e-6 for k in range(len(x.total))) and abs(x.map.sum() - x.seen) < 1e-6
