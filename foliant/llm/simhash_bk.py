@@ -4,8 +4,8 @@ Fingerprints are 64-bit SimHashes. Fingerprints within the radius agree exactly
 (pigeonhole), so each distinct fingerprint goes to one shard for every such choice and all links inside the radius are
 met in a shard. A shard is a BK-tree: children hang below their parent under their integer Hamming distance to it, and
 a search at distance d follows only the edges d-radius..d+radius. Large shards are cut into pieces of bounded size;
-each piece's tree is joined to the other pieces as queries (broadcast when its checked size allows, shuffled
-otherwise). A shard task returns a spanning forest of its links, never all pairs, and connected components of the
+each piece's tree is built once and the built trees meet the other pieces as queries (broadcast when their checked size
+allows, shuffled otherwise). A shard task returns a spanning forest of its links, never all pairs, and connected components of the
 forest are found with star contractions on DataFrames.
 
 ``keep_one``, the pipeline's stage, needs a similarity of 0.8 that SimHash distances of this size can't tell: it finds
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, lookup, tasks_for
+from foliant.llm.common import cut, drop_held, lookup, numbered, pick, release, slices, tasks_for
 
 RADIUS = 3
 SHARD_ROWS = 256  # fingerprints a shard is meant to have
@@ -36,7 +36,8 @@ PIECE_ROWS = 2048  # most that one tree is meant to have
 BROADCAST_BYTES = 32 << 20
 SHINGLE, SIMILAR = 5, (4, 5)  # near copies share 4 of 5 shingles of SHINGLE words
 BANDS, BAND_ROWS = 24, 5  # a pair of similarity 0.8 shares no band with probability 7e-5, whatever its length or edit
-DEAL_ROWS = 1024  # of a bucket that meet others in one task
+SET_BITS = 40  # of a shingle's hash, as sets are kept
+PIECE_UNITS, UNIT_BYTES = 1024, 5120  # of sets of a bucket in one piece, and in a unit; a set has one unit at least
 _STEP = 1 << 15  # shingles voted on at once
 
 
@@ -89,6 +90,18 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((h(s, 42) for s in shingles(words_of(text), size)), dtype=np.uint64))
 
 
+def pack_set(hashes: np.ndarray) -> bytes:
+    """The distinct high SET_BITS bits of sorted hashes. Two different shingles of a pair of sets a and b are taken for one
+    with probability |a| |b| / 2**SET_BITS."""
+    high = np.unique(hashes >> np.uint64(64 - SET_BITS))
+    return high.astype("<u4").tobytes() + (high >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def unpack_set(data) -> np.ndarray:
+    n = len(data) // 5
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 def bands_of(hashes: np.ndarray) -> np.ndarray:
     """A key for each band: two sets share one with probability 1 - (1 - J**BAND_ROWS)**BANDS, J being their Jaccard."""
     if not len(hashes):
@@ -117,13 +130,14 @@ def fingerprints(docs: DataFrame, make=simhash, n: int = 1, id_col: str = "doc_i
     """(doc_id, key0..): signed longs with the bits that make(text) gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        drop_held()
+        for b in slices(batches, 1):
             rows = [make(t) for t in b.column(1).to_pylist()]
             rows = [r if isinstance(r, tuple) else (r,) for r in rows]
             keys = [pa.array(np.array([r[k] for r in rows], dtype=np.uint64).view(np.int64)) for k in range(n)]
             yield pa.RecordBatch.from_arrays([b.column(0), *keys], names=["doc_id", *[f"key{k}" for k in range(n)]])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    cols = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return cols.mapInArrow(run, "doc_id long, " + ", ".join(f"key{k} long" for k in range(n)))
 
 
@@ -145,6 +159,21 @@ class BKTree:
             stay[first] = False
             at, rest = self.child.reshape(-1)[slot[stay]].astype(np.int64), rest[stay]
 
+    def edges(self) -> tuple[bytes, bytes]:
+        """The tree without its points: where children hang (parent * 65 + distance), and the children."""
+        flat = self.child.reshape(-1)
+        slots = np.flatnonzero(flat >= 0).astype(np.int32)
+        return slots.tobytes(), flat[slots].tobytes()
+
+    @classmethod
+    def built(cls, points: np.ndarray, slots: bytes, children: bytes) -> BKTree:
+        """The tree of these edges; no distance is worked out anew."""
+        out = cls.__new__(cls)
+        out.points = np.asarray(points, dtype=np.uint64)
+        out.child = np.full((len(out.points), 65), -1, dtype=np.int32)
+        out.child.reshape(-1)[np.frombuffer(slots, np.int32)] = np.frombuffer(children, np.int32)
+        return out
+
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query index, point index) of all pairs within the radius."""
         if not len(self.points) or not len(queries):
@@ -236,26 +265,44 @@ def find_links(nodes: DataFrame, keys: list[str], check: str | None = None, radi
         rows = rows.withColumn("piece", F.when(F.col("rows").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / PIECE_ROWS))).cast("int"))
         many = tasks_for(spark, n * 4, 100_000)
         pieces = cut(rows.repartition(many, "shard", "piece").groupBy("shard", "piece").agg(F.sort_array(F.collect_list(F.struct("fp", "node", "ck"))).alias("items"), F.max("rows").alias("rows")).where((F.size("items") > 1) | F.col("rows").isNotNull()), "bk-pieces")
-        found = pieces.select("items", F.col("items").alias("queries")).mapInArrow(_probe(radius, check_radius), "a long, b long")
+        none = F.lit(None).cast("binary")
+        found = pieces.select("items", F.col("items").alias("queries"), none.alias("slots"), none.alias("children")).mapInArrow(_probe(radius, check_radius), "a long, b long")
         big = pieces.where(F.col("rows").isNotNull())
         volume = big.agg(F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("n")).first()["n"] * 24
         if volume:
-            trees = big.select("shard", F.col("piece").alias("tree"), "items")
+            items = "items array<struct<fp:long,node:long,ck:long>>"
+            trees = big.select("shard", F.col("piece").alias("tree"), "items").mapInArrow(_plant, f"shard long, tree int, {items}, slots binary, children binary")
             trees = F.broadcast(trees) if volume <= BROADCAST_BYTES else trees
             met = big.select("shard", "piece", F.col("items").alias("queries")).join(trees, "shard").where(F.col("tree") < F.col("piece"))
-            found = found.unionByName(met.select("items", "queries").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(_probe(radius, check_radius), "a long, b long"))
+            found = found.unionByName(met.select("items", "queries", "slots", "children").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(_probe(radius, check_radius), "a long, b long"))
         out = found if out is None else out.unionByName(found)
     return cut(out.distinct(), "bk-links")
 
 
+def _column(x, name: str) -> np.ndarray:
+    return x.field(name).to_numpy(zero_copy_only=False)
+
+
+def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of shards with the edges of their trees."""
+    for b in batches:
+        edges = [BKTree(_column(items.values, "fp").view(np.uint64)).edges() for items in b.column(2)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], names=["shard", "tree", "items", "slots", "children"])
+
+
 def _probe(radius: int, check_radius: int | None):
+    """Links between a tree, built where it comes without edges, and queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for b in batches:
-            for items, queries in zip(b.column(0), b.column(1)):
+            for items, queries, slots, children in zip(b.column(0), b.column(1), b.column(2), b.column(3)):
                 t, q = items.values, queries.values
-                col = lambda x, name: x.field(name).to_numpy(zero_copy_only=False)
-                far, near = _links(BKTree(col(t, "fp").view(np.uint64)), col(t, "node"), col(t, "ck").view(np.uint64), col(q, "fp").view(np.uint64), col(q, "node"), col(q, "ck").view(np.uint64), radius, check_radius)
+                points = _column(t, "fp").view(np.uint64)
+                tree = BKTree.built(points, slots.as_py(), children.as_py()) if slots.is_valid else BKTree(points)
+                far, near = _links(tree, _column(t, "node"), _column(t, "ck").view(np.uint64), _column(q, "fp").view(np.uint64), _column(q, "node"), _column(q, "ck").view(np.uint64), radius, check_radius)
                 yield pa.RecordBatch.from_arrays([pa.array(far, pa.int64()), pa.array(near, pa.int64())], names=["a", "b"])
+        release()
 
     return run
 
@@ -284,7 +331,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id): every row with its SimHash and its group's smallest id."""
-    size_, prints = size, None
     prints = cut(fingerprints(docs, lambda t: simhash(t, size), 1, id_col, text_col), "simhash")
     total = prints.count()
     distinct = cut(prints.groupBy(F.col("key0").alias("node")).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "simhash-distinct")
@@ -305,9 +351,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of (a, b) the pairs whose sets are similar. sets: (node, set), one row a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         for b in batches:
-            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
+            ok = [similar(unpack_set(x.as_buffer()), unpack_set(y.as_buffer())) for x, y in zip(b.column(2), b.column(3))]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     pairs = cut(pairs, "near-pairs")
     total = pairs.count()
@@ -322,8 +370,8 @@ def near_links(prints: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): links that join all nodes whose sets are similar, each confirmed on the sets themselves.
 
     prints: (row, node, bands, set); classes: (node, row), one row a node. Nodes that share a band are candidates. First all nodes of a bucket are
-    held against one of them, drawn anew for each band; then every two of a bucket that this has not joined are held
-    against each other, so that no unconfirmed pair hides a true one.
+    held against one of them, drawn anew for each band; then all of a bucket that this has not joined meet all others of
+    it, piece by piece inside tasks, so that no unconfirmed pair hides a true one and no pairs are written.
     """
     heads = classes.select("row")
     flat = prints.select("row", "node", "bands").join(heads, "row", "left_semi").select("node", F.explode("bands").alias("band"))
@@ -337,14 +385,56 @@ def near_links(prints: DataFrame, classes: DataFrame) -> DataFrame:
     labels = components(first).join(members.where("n > 2").groupBy("node").agg(F.count("*").alias("rows")), "node")
     named = lookup(members.where("n > 2"), labels, "node", ["label"], "rows", members.count())
     named = cut(named.withColumn("label", F.coalesce("label", "node")), "near-labels")
-    sizes = named.groupBy("band", "label").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.sum("c").alias("n"), F.max(F.struct("c", "label"))["label"].alias("main")).where("labels > 1")
-    left = cut(lookup(named.select("band", "node", "label", "lead"), mixed, "band", ["main", "n"], "n", members.count()).where("main is not null"), "near-mixed")
-    deals = F.ceil(F.col("n") / DEAL_ROWS).cast("int")
-    one = left.where("label != main").select("band", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.col("node").alias("a"), F.col("label").alias("la"))
-    other = left.select("band", F.pmod(F.xxhash64("node"), deals).cast("int").alias("deal"), F.col("node").alias("b"), F.col("label").alias("lb"), "main", "lead")
-    met = one.join(other, ["band", "deal"]).where("la != lb and (lb = main or a < b) and a != lead and b != lead")
-    return first.unionByName(_confirmed(met.select(*pair).distinct(), sets))
+    weight = sets.select("node", F.greatest(F.lit(1), F.ceil(F.octet_length("set") / UNIT_BYTES)).alias("w"))
+    sizes = named.join(weight, "node").groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("w").alias("w"))
+    mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.sum("c").alias("n"), F.ceil(F.sum("w") / PIECE_UNITS).cast("int").alias("pieces"), F.max(F.struct("c", "label"))["label"].alias("main")).where("labels > 1")
+    left = cut(lookup(named.select("band", "node", "label"), mixed, "band", ["main", "pieces"], "n", members.count()).where("main is not null"), "near-mixed")
+    # each piece of a bucket meets each other piece, and itself, in one cell
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    cells = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    cells = cells.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "main")
+    met = cells.join(sets, "node").groupBy("band", "low", "high").applyInArrow(_met, "a long, b long")
+    return first.unionByName(cut(met.distinct(), "near-met"))
+
+
+def _met(cell: pa.Table) -> pa.Table:
+    """A forest of the links between nodes of a cell that have different labels.
+
+    Every node outside the bucket's largest label is held against all others, exactly: one pass over the cell's shingles
+    counts those that it shares with each. No pairs are written, only links.
+    """
+    t = cell.combine_chunks()
+    node, label, own = (t[c].to_numpy() for c in ("node", "label", "own"))
+    main, cross = t["main"][0].as_py(), t["low"][0].as_py() != t["high"][0].as_py()
+    sets = [unpack_set(x.as_buffer()) for x in t["set"]]
+    size = np.array([len(x) for x in sets])
+    starts = np.cumsum(size) - size
+    known, number = np.unique(np.concatenate(sets), return_inverse=True)
+    names, group = np.unique(label, return_inverse=True)
+    root = np.arange(len(names))
+    out: list[tuple[int, int]] = []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    has = np.zeros(len(known), dtype=bool)
+    for k in np.flatnonzero(label != main).tolist():
+        mine = number[starts[k] : starts[k] + size[k]]
+        has[mine] = True
+        shared = np.add.reduceat(has[number], starts, dtype=np.int64)
+        has[mine] = False
+        near = shared * SIMILAR[1] >= (size + size[k] - shared) * SIMILAR[0]
+        if cross:
+            near &= own != own[k]
+        for j in np.flatnonzero(near).tolist():
+            x, y = top(group[k]), top(group[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((max(node[k], node[j]), min(node[k], node[j])))
+    return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -352,26 +442,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Texts link if the Jaccard of their sets of five-word shingles is at least 0.8; candidates are found by MinHash
     bands. Of rows with the same id and text one stays; rows with the same id and other texts are judged apart. Rows
-    without doc_id can't be named, so all of them stay.
+    without doc_id are told apart by their texts and come last: one stays only where its group has no row with an id.
     """
-    known = docs.where("doc_id is not null")
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = known.select(F.col("doc_id").cast("long").alias("d"), text.alias("t"), "text")
+    flat, (i, text) = numbered(docs, "doc_id", "text")  # c0, c1, ..; names of this function's own can't clash
+    name = {"d0": F.col(i).isNull(), "d": F.coalesce(F.col(i).cast("long"), F.lit(0)), "t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
+    marked = flat.withColumns(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
         row = TaskContext.get().partitionId() << 40
-        for b in (part.slice(at, 256) for part in batches for at in range(0, part.num_rows, 256)):
-            sets = [shingle_set(t) for t in b.column(2).to_pylist()]
+        for b in slices(batches, 3, 1 << 19):
+            sets = [shingle_set(t) for t in b.column(3).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64)
             bands = pa.array([bands_of(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
             rows = pa.array(np.arange(row, row + b.num_rows))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows, pa.array(node), bands, pa.array([s.tobytes() for s in sets], pa.binary())], names=["d", "t", "row", "node", "bands", "set"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], rows, pa.array(node), bands, pa.array([pack_set(s) for s in sets], pa.binary())], names=["d0", "d", "t", "row", "node", "bands", "set"])
             row += b.num_rows
 
-    prints = cut(keyed.mapInArrow(run, "d long, t long, row long, node long, bands array<long>, set binary"), "near")
-    classes = cut(prints.groupBy("node").agg(F.min(F.struct("d", "t")).alias("first"), F.min("row").alias("row"), F.count("*").alias("rows")), "near-distinct")
+    keyed = marked.select("d0", "d", "t", F.col(text).alias("text"))
+    prints = cut(keyed.mapInArrow(run, "d0 boolean, d long, t long, row long, node long, bands array<long>, set binary"), "near")
+    classes = cut(prints.groupBy("node").agg(F.min(F.struct("d0", "d", "t")).alias("first"), F.min("row").alias("row"), F.count("*").alias("rows")), "near-distinct")
     links = near_links(prints, classes.select("node", "row"))
-    kept = _named(classes.select("node", "first", "rows"), components(links)).groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id.d").alias("__d"), F.col("component_id.t").alias("__t"))
-    marked = known.withColumns({"__d": F.col("doc_id").cast("long"), "__t": text})
-    one = marked.join(kept, ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"])
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    kept = _named(classes.select("node", "first", "rows"), components(links)).groupBy("component_id").agg(F.count("*").alias("n")).select("component_id.*")
+    one = marked.join(kept, ["d0", "d", "t"], "left_semi").dropDuplicates(["d0", "d", "t"])
+    return one.select(*flat.columns).toDF(*docs.columns)

@@ -52,11 +52,17 @@ def test_tree_and_links():
     q, p = tree.within(points, 3)
     want = {(a, b) for a in range(len(points)) for b in range(len(points)) if int(points[a] ^ points[b]).bit_count() <= 3}
     assert set(zip(q.tolist(), p.tolist())) == want
+    again = simhash_bk.BKTree.built(tree.points, *tree.edges())
+    assert np.array_equal(again.child, tree.child)
+    for parent, slot in zip(*np.nonzero(tree.child >= 0)):  # an edge is the distance to the parent
+        assert int(points[parent] ^ points[tree.child[parent, slot]]).bit_count() == slot
 
 
-def test_large_shards(spark, monkeypatch):
-    """Pieces of one shard meet each other: a chain of one-bit steps stays one component."""
+@pytest.mark.parametrize("room", [32 << 20, 1])
+def test_large_shards(spark, monkeypatch, room):
+    """Pieces of one shard meet each other, as broadcast trees or shuffled: a chain of one-bit steps stays one component."""
     monkeypatch.setattr(simhash_bk, "PIECE_ROWS", 8)
+    monkeypatch.setattr(simhash_bk, "BROADCAST_BYTES", room)
     chain, fp = [], 0
     for k in range(60):
         chain.append(fp)
@@ -72,7 +78,7 @@ def test_keep_one(spark):
     near = [t.split() for t in base]
     for w in near:
         w[50] = "zzz"
-    rows = [(i, t, "s") for i, t in enumerate(base)] + [(100 + i, " ".join(w), "s") for i, w in enumerate(near)] + [(50, base[0], "s"), (50, base[0], "s"), (60, None, "s"), (61, "", "s"), (2, "another text of the id " * 9, "s"), (None, base[0], "s")]
+    rows = [(i, t, "s") for i, t in enumerate(base)] + [(100 + i, " ".join(w), "s") for i, w in enumerate(near)] + [(50, base[0], "s"), (50, base[0], "s"), (60, None, "s"), (61, "", "s"), (2, "another text of the id " * 9, "s"), (None, base[0], "s"), (None, "only rows without an id have this text", "s"), (None, "only rows without an id have this text", "s")]
     kept = simhash_bk.keep_one(docs(spark, rows))
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == [-1, 0, 1, 2, 2, 3, 4, 60]
     assert sorted(kept.columns) == sorted(docs(spark, rows).columns)
@@ -97,12 +103,40 @@ def test_native(spark):
     assert native_simhash.edited(docs(spark, [])).count() == 0
 
 
-def test_native_tables(spark):
+@pytest.mark.parametrize("blocks", [4, 5, 6, 7])
+def test_native_tables(spark, blocks):
     r = random.Random(4)
-    fps = list({r.getrandbits(63) for _ in range(40)} | {0, 1, 3, 7, 15, 1 << 62, (1 << 62) | 5})
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    got = {(x["query"], x["fp"]) for x in native_simhash.within(df, df).collect()}
-    assert got == {(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 3}
+    base = [r.getrandbits(64) for _ in range(40)]
+    fps = list({*base, 0, 1, 3, 7, 15, 1 << 62, (1 << 62) | 5, 1 << 63, *[f ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) ^ (1 << r.randrange(64)) * r.randrange(2) for f in base]})
+    signed = lambda f: f - (f >> 63 << 64)
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    got = sorted((x["query"], x["fp"], x["bits"]) for x in native_simhash.within(df, df, blocks=blocks).collect())
+    assert got == sorted((signed(a), signed(b), (a ^ b).bit_count()) for a in fps for b in fps if (a ^ b).bit_count() <= 3)
+    assert [native_simhash._blocks(n, 3) for n in (100, 1 << 20, 1 << 21, 1 << 30, 1 << 40)] == [4, 4, 5, 6, 7]
+
+
+def native_print(text):
+    """The fingerprint by Spark's XXH64 of neighbouring words, one by one: the hash of one is the seed of the next."""
+    words = (text or "").translate({k: k + 32 for k in range(65, 91)}).encode().split()
+    two = lambda a, b: xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) if b is not None else xxhash.xxh64_intdigest(a, 42)
+    hashes = [two(a, b) for a, b in zip(words, [*words[1:], None])]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_native_fingerprints(spark):
+    r = random.Random(8)
+    base = [" ".join(r.choices(["Alpha", "beta", "Zoë", "delta", "eta", "x"], k=r.randint(0, 60))) for _ in range(25)]
+    rows = [(i * 5, t, "s") for i, t in enumerate(base)] + [(i * 5 + 1, t + " x", "s") for i, t in enumerate(base)]
+    out = {x["doc_id"]: x for x in native_simhash.edited(docs(spark, rows)).collect()}
+    order = sorted(rows)
+    prints = {native_print(t) for _, t, _ in rows}
+    for k, (i, t, _) in enumerate(order):
+        after, c = order[(k + 1) % len(order)][1], len(t) // 4
+        own, new = native_print(t), native_print(t[: len(t) - c] + after[:c])
+        same = lambda a, b: 1 - (a ^ b).bit_count() / 64
+        assert (out[i]["fingerprint"], out[i]["edited_fingerprint"]) == (f"{own:016x}", f"{new:016x}"), t
+        assert out[i]["near_edited"] == same(own, new) and out[i]["near_next"] == same(own, native_print(after))
+        assert out[i]["near_texts"] == (sum((own ^ p).bit_count() <= 3 for p in prints) if i % 20 == 0 else None)
 
 
 @pytest.mark.parametrize("sites", [3, 40])
