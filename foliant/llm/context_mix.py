@@ -49,7 +49,7 @@ from foliant.llm.common import cut, drop_held, fresh_path, keep_memory, open_fs,
 
 CHUNK_BYTES = 8 << 20  # of text that ask together
 GROUP = 16  # chunks whose answers are in one file
-SHARD_BYTES = 24 << 20  # of text whose contexts one shard counts
+SHARD_BYTES = 12 << 20  # of text whose contexts one shard counts
 PLACE = 36  # bits that tell contexts of a shard apart
 ORDERS = 2  # words before, of the longest context
 LEVELS = ORDERS + 2  # after 2 words, 1 word; in this text; in the corpus
@@ -534,8 +534,10 @@ def chain(t: Tokens, word_counts: np.ndarray, context_counts: list[np.ndarray],
         shifted = np.concatenate(([NONE], shifted[:-1]))
         shifted[t.starts] = NONE
         last.append(shifted)
+    some = [s > 0 for s in (*seen, at)]
     sizes = [_log2(s) for s in seen]
     size_text = _log2(at)
+    del seen, counts, c0, before, at  # before the bits are made
     word = (mix64(t.before()[0]) >> _U(64 - SLOTS_BITS)).astype(np.int64)
     pair = last[0] * 7 + last[1]
     past = (pair * 7 + last[2]) * 7 + last[3]
@@ -545,9 +547,9 @@ def chain(t: Tokens, word_counts: np.ndarray, context_counts: list[np.ndarray],
         have = sizes[ORDERS - 1 - lev] if lev < ORDERS else size_text
         passes = level >= lev
         if lev < ORDERS:
-            passes &= seen[ORDERS - 1 - lev] > 0
+            passes &= some[ORDERS - 1 - lev]
         elif lev == TEXT:
-            passes &= at > 0
+            passes &= some[ORDERS]
         sel = np.flatnonzero(passes)
         bit = (level[sel] == lev).astype(np.int64)
         doc = t.doc[sel]
