@@ -110,7 +110,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     asked = rows.where(F.pmod("d", F.lit(20)) == 0).select("fp").distinct()
     every = prints.select("fp").distinct()
     near = within(every, asked, n=every.count()).groupBy(F.col("query").alias("fp")).agg(F.count("*").alias("near_texts"))
-    out = rows.hint("merge").join(done, "rid")
+    out = cut(rows.hint("merge").join(done, "rid"), "native-done")  # two readers: texts are hashed once
     out = out.where(F.pmod("d", F.lit(20)) == 0).join(near.hint("merge"), "fp", "left").unionByName(out.where(F.pmod("d", F.lit(20)) != 0).withColumn("near_texts", F.lit(None).cast("long")), allowMissingColumns=True)
     return out.select(
         F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", to_hex(F.col("fp")).alias("fingerprint"), to_hex(F.col("edited_fp")).alias("edited_fingerprint"),
