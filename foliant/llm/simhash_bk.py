@@ -8,8 +8,9 @@ each piece's tree is built once and the built trees meet the other pieces as que
 allows, shuffled otherwise). A shard task returns a spanning forest of its links, never all pairs, and connected components of the
 forest are found with star contractions on DataFrames.
 
-``keep_one``, the pipeline's stage, needs a similarity of 0.8 that SimHash distances of this size can't tell: it finds
-candidates by MinHash bands and confirms each on the exact shingle sets.
+``keep_one``, the pipeline's stage, joins texts of a similarity of 0.8, whose SimHashes differ in about 10 bits. No choice of
+agreeing blocks covers that radius, so a fingerprint's shards are the MinHash bands of its text; in each, BK-trees over the
+SimHashes find the fingerprints within NEAR_RADIUS, and a link is confirmed on the exact shingle sets.
 
 Defined cases: null text counts as empty; an empty text has fingerprint 0 and is linked like any other; null ids are
 kept and take their component's id; repeated rows are kept; extra columns are ignored; no rows give no rows.
@@ -36,6 +37,9 @@ PIECE_ROWS = 2048  # most that one tree is meant to have
 BROADCAST_BYTES = 32 << 20
 SHINGLE, SIMILAR = 5, (4, 5)  # near copies share 4 of 5 shingles of SHINGLE words
 BANDS, BAND_ROWS = 24, 5  # a pair of similarity 0.8 shares no band with probability 7e-5, whatever its length or edit
+NEAR_RADIUS = 24  # of 64 bits: fingerprints of a pair of similarity 0.8 differ in more with probability 3e-6, of 4 and 5 shingles 1e-4
+TREE_ROWS = 128  # of a bucket that one tree holds at first
+LOCAL_LINKS = 1 << 20  # of which one task finds the components
 SET_BITS = 40  # of a shingle's hash, as sets are kept
 PIECE_UNITS, UNIT_BYTES = 1024, 5120  # of sets of a bucket in one piece, and in a unit; a set has one unit at least
 _STEP = 1 << 15  # shingles voted on at once
@@ -142,14 +146,18 @@ def fingerprints(docs: DataFrame, make=simhash, n: int = 1, id_col: str = "doc_i
 
 
 class BKTree:
-    """Built level by level, with the shape that inserting the points in their order gives."""
+    """Built level by level, with the shape that inserting the points in their order gives.
 
-    def __init__(self, points: np.ndarray):
+    With ``roots``, the place of each point's root, the trees of many shards are built at once in one array.
+    """
+
+    def __init__(self, points: np.ndarray, roots: np.ndarray | None = None):
         self.points = np.asarray(points, dtype=np.uint64)
         n = len(self.points)
         self.child = np.full((n, 65), -1, dtype=np.int32)
-        rest = np.arange(1, n)
-        at = np.zeros(len(rest), dtype=np.int64)
+        roots = np.zeros(n, dtype=np.int64) if roots is None else roots
+        rest = np.flatnonzero(roots != np.arange(n))
+        at = roots[rest]
         while len(rest):
             d = np.bitwise_count(self.points[rest] ^ self.points[at]).astype(np.int64)
             slot = at * 65 + d
@@ -197,6 +205,22 @@ class BKTree:
         return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
 
 
+    def near(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query index, point index, distance) of all pairs within a radius that spans many edges, each below the query's root."""
+        q, node = np.arange(len(queries)), roots
+        flat = self.child.reshape(-1)
+        slots = np.flatnonzero(flat >= 0)
+        kids, hits = flat[slots].astype(np.int64), []
+        while len(q):
+            d = np.bitwise_count(queries[q] ^ self.points[node]).astype(np.int64)
+            close = d <= radius
+            hits.append((q[close], node[close], d[close]))
+            low = np.searchsorted(slots, node * 65 + np.maximum(d - radius, 0))
+            n = np.searchsorted(slots, node * 65 + np.minimum(d + radius, 64), side="right") - low
+            q, node = np.repeat(q, n), kids[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return tuple(np.concatenate([h[k] for h in hits]) if hits else np.empty(0, np.int64) for k in range(3))
+
+
 def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """labels after joining a[i] with b[i]: each points at its group's smallest index."""
     while len(a):
@@ -307,13 +331,28 @@ def _probe(radius: int, check_radius: int | None):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of all links."""
+    drop_held()
+    links = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if links:
+        a, b = (np.concatenate(x) for x in zip(*links))
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        labels = nodes[_forest(np.arange(len(nodes)), at[: len(a)], at[len(a) :])]
+        for k in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + (1 << 16)]), pa.array(labels[k : k + (1 << 16)])], names=["node", "label"])
+    release()
+
+
+def components(links: DataFrame, local: int = 0) -> DataFrame:
     """(node, label): for every node with a link the smallest node that it reaches.
 
     Alternates large-star and small-star steps until nothing changes; each step is an aggregation with map-side
-    combining and a lookup that broadcasts the few hot nodes.
+    combining and a lookup that broadcasts the few hot nodes. Up to ``local`` links are joined in one task instead.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "cc")
+    if local and edges.count() <= local:
+        return cut(edges.coalesce(1).mapInArrow(_labels, "node long, label long"), "cc")
     state = None
     while True:
         n, mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -366,82 +405,132 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(found.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "near-links")
 
 
-def near_links(prints: DataFrame, classes: DataFrame) -> DataFrame:
+def near_links(prints: DataFrame, classes: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
     """(a, b): links that join all nodes whose sets are similar, each confirmed on the sets themselves.
 
-    prints: (row, node, bands, set); classes: (node, row), one row a node. Nodes that share a band are candidates. First all nodes of a bucket are
-    held against one of them, drawn anew for each band; then all of a bucket that this has not joined meet all others of
-    it, piece by piece inside tasks, so that no unconfirmed pair hides a true one and no pairs are written.
+    prints: (row, node, fp, bands, set); classes: (node, row), one row a node. Nodes that share a band meet in its BK-trees, and
+    those whose SimHashes are within the radius are candidates. First a node is held against the nearest of those before it
+    in its tree; then all of a bucket that this has not joined search the whole bucket, piece by piece inside tasks, so that
+    no unconfirmed pair hides a true one and no pairs are written.
     """
-    heads = classes.select("row")
-    flat = prints.select("row", "node", "bands").join(heads, "row", "left_semi").select("node", F.explode("bands").alias("band"))
-    lead = F.min(F.struct(F.xxhash64("node", "band").alias("x"), F.col("node").alias("lead")))
-    buckets = flat.groupBy("band").agg(F.count("*").alias("n"), lead["lead"].alias("lead")).where("n > 1")
-    members = cut(lookup(flat, buckets, "band", ["n", "lead"], "n", classes.count() * BANDS).where("n is not null"), "near-buckets")
+    heads, spark = classes.select("row"), prints.sparkSession
+    flat = prints.select("row", "node", "fp", "bands").join(heads, "row", "left_semi").select("node", "fp", F.explode("bands").alias("band"))
+    buckets = flat.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(lookup(flat, buckets, "band", ["n"], "n", classes.count() * BANDS).where("n is not null"), "near-buckets")
+    total = members.count()
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("row")
-    sets = cut(prints.select("row", "node", "set").join(wanted, "row", "left_semi").select("node", "set"), "near-sets")
-    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = _confirmed(members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).select(*pair).distinct(), sets)
-    labels = components(first).join(members.where("n > 2").groupBy("node").agg(F.count("*").alias("rows")), "node")
-    named = lookup(members.where("n > 2"), labels, "node", ["label"], "rows", members.count())
+    sets = cut(prints.select("row", "node", "fp", "set").join(wanted, "row", "left_semi").select("node", "fp", "set"), "near-sets")
+    piece = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / TREE_ROWS)).cast("int")
+    pieces = members.withColumn("piece", piece).repartition(tasks_for(spark, total, 50_000), "band", "piece").groupBy("band", "piece").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("items"))
+    first = _confirmed(pieces.where(F.size("items") > 1).select("items").mapInArrow(_nearest(radius), "a long, b long").distinct(), sets.select("node", "set"))
+    crowd = members.where("n > 2").select("node", "band")
+    labels = components(first, LOCAL_LINKS).join(crowd.groupBy("node").agg(F.count("*").alias("rows")), "node")
+    named = lookup(crowd, labels, "node", ["label"], "rows", total)
     named = cut(named.withColumn("label", F.coalesce("label", "node")), "near-labels")
     weight = sets.select("node", F.greatest(F.lit(1), F.ceil(F.octet_length("set") / UNIT_BYTES)).alias("w"))
     sizes = named.join(weight, "node").groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("w").alias("w"))
     mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.sum("c").alias("n"), F.ceil(F.sum("w") / PIECE_UNITS).cast("int").alias("pieces"), F.max(F.struct("c", "label"))["label"].alias("main")).where("labels > 1")
-    left = cut(lookup(named.select("band", "node", "label"), mixed, "band", ["main", "pieces"], "n", members.count()).where("main is not null"), "near-mixed")
+    left = cut(lookup(named.select("band", "node", "label"), mixed, "band", ["main", "pieces"], "n", total).where("main is not null"), "near-mixed")
     # each piece of a bucket meets each other piece, and itself, in one cell
     own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     cells = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cells = cells.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "main")
-    met = cells.join(sets, "node").groupBy("band", "low", "high").applyInArrow(_met, "a long, b long")
+    met = cells.join(sets, "node").groupBy("band", "low", "high").applyInArrow(_met(radius), "a long, b long")
     return first.unionByName(cut(met.distinct(), "near-met"))
 
 
-def _met(cell: pa.Table) -> pa.Table:
+def _nearest(radius: int):
+    """For each point of a tree the nearest within the radius of those before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held()
+        for batch in batches:
+            rows = np.diff(batch.column(0).offsets.to_numpy())
+            ends = np.cumsum(rows)
+            at = 0
+            while at < len(rows):  # the trees of about as many points as one slice of queries or more
+                upto = max(at + 1, int(np.searchsorted(ends, ends[at] + _STEP)))
+                points = batch.column(0).slice(at, upto - at).flatten()
+                node, fp = _column(points, "node"), _column(points, "fp").view(np.uint64)
+                size = rows[at:upto]
+                roots = np.repeat(np.cumsum(size) - size, size).astype(np.int64)
+                tree = BKTree(fp, roots)
+                for k in range(0, len(fp), 4096):
+                    q, p, d = tree.near(fp[k : k + 4096], roots[k : k + 4096], radius)
+                    q = q + k
+                    before = p < q
+                    q, p, d = q[before], p[before], d[before]
+                    order = np.lexsort((p, d, q))
+                    q, p = q[order], p[order]
+                    lead = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
+                    a, b = node[q[lead]], node[p[lead]]
+                    yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(a)], names=["a", "b"])
+                at = upto
+        release()
+
+    return run
+
+
+def _met(radius: int):
     """A forest of the links between nodes of a cell that have different labels.
 
-    Every node outside the bucket's largest label is held against all others, exactly: one pass over the cell's shingles
-    counts those that it shares with each. No pairs are written, only links.
+    Every node outside the bucket's largest label searches the cell's BK-tree; those found are judged exactly: one pass over
+    their shingles counts what it shares with each. No pairs are written, only links.
     """
-    t = cell.combine_chunks()
-    node, label, own = (t[c].to_numpy() for c in ("node", "label", "own"))
-    main, cross = t["main"][0].as_py(), t["low"][0].as_py() != t["high"][0].as_py()
-    sets = [unpack_set(x.as_buffer()) for x in t["set"]]
-    size = np.array([len(x) for x in sets])
-    starts = np.cumsum(size) - size
-    known, number = np.unique(np.concatenate(sets), return_inverse=True)
-    names, group = np.unique(label, return_inverse=True)
-    root = np.arange(len(names))
-    out: list[tuple[int, int]] = []
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    has = np.zeros(len(known), dtype=bool)
-    for k in np.flatnonzero(label != main).tolist():
-        mine = number[starts[k] : starts[k] + size[k]]
-        has[mine] = True
-        shared = np.add.reduceat(has[number], starts, dtype=np.int64)
-        has[mine] = False
-        near = shared * SIMILAR[1] >= (size + size[k] - shared) * SIMILAR[0]
-        if cross:
-            near &= own != own[k]
-        for j in np.flatnonzero(near).tolist():
-            x, y = top(group[k]), top(group[j])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((max(node[k], node[j]), min(node[k], node[j])))
-    return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
+
+    def run(cell: pa.Table) -> pa.Table:
+        t = cell.combine_chunks()
+        node, label, own = (t[c].to_numpy() for c in ("node", "label", "own"))
+        fp = t["fp"].to_numpy().view(np.uint64)
+        main, cross = t["main"][0].as_py(), t["low"][0].as_py() != t["high"][0].as_py()
+        sets = [unpack_set(x.as_buffer()) for x in t["set"]]
+        size = np.array([len(x) for x in sets])
+        starts = np.cumsum(size) - size
+        known, number = np.unique(np.concatenate(sets), return_inverse=True)
+        names, group = np.unique(label, return_inverse=True)
+        root = np.arange(len(names))
+        out: list[tuple[int, int]] = []
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        has = np.zeros(len(known), dtype=bool)
+        tree, asked = BKTree(fp), np.flatnonzero(label != main)
+        for at in range(0, len(asked), 128):
+            part = asked[at : at + 128]
+            q, p, _ = tree.near(fp[part], np.zeros(len(part), dtype=np.int64), radius)
+            apart = label[part[q]] != label[p]
+            if cross:
+                apart &= own[part[q]] != own[p]
+            q, p = q[apart], p[apart]
+            order = np.argsort(q, kind="stable")
+            found = np.split(p[order], np.cumsum(np.bincount(q, minlength=len(part)))[:-1])
+            for k, others in zip(part.tolist(), found):
+                if not len(others):
+                    continue
+                mine, length = number[starts[k] : starts[k] + size[k]], size[others]
+                begin = np.cumsum(length) - length
+                has[mine] = True
+                shared = np.add.reduceat(has[number[np.repeat(starts[others] - begin, length) + np.arange(length.sum())]], begin, dtype=np.int64)
+                has[mine] = False
+                for j in others[shared * SIMILAR[1] >= (length + size[k] - shared) * SIMILAR[0]].tolist():
+                    x, y = top(group[k]), top(group[j])
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        out.append((max(node[k], node[j]), min(node[k], node[j])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
+
+
+def keep_one(docs: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
     """docs without near-copies: of each group the row with the smallest doc_id stays, with its columns.
 
-    Texts link if the Jaccard of their sets of five-word shingles is at least 0.8; candidates are found by MinHash
-    bands. Of rows with the same id and text one stays; rows with the same id and other texts are judged apart. Rows
+    Texts link if the SimHashes of their sets of five-word shingles are within the radius and the Jaccard of the sets is at
+    least 0.8; BK-trees in shards by MinHash bands find them. Of rows with the same id and text one stays; rows with the same id and other texts are judged apart. Rows
     without doc_id are told apart by their texts and come last: one stays only where its group has no row with an id.
     """
     flat, (i, text) = numbered(docs, "doc_id", "text")  # c0, c1, ..; names of this function's own can't clash
@@ -454,15 +543,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
         for b in slices(batches, 3, 1 << 19):
             sets = [shingle_set(t) for t in b.column(3).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64)
+            prints = np.array([vote(s) for s in sets], dtype=np.uint64).view(np.int64)
             bands = pa.array([bands_of(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
             rows = pa.array(np.arange(row, row + b.num_rows))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], rows, pa.array(node), bands, pa.array([pack_set(s) for s in sets], pa.binary())], names=["d0", "d", "t", "row", "node", "bands", "set"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], rows, pa.array(node), pa.array(prints), bands, pa.array([pack_set(s) for s in sets], pa.binary())], names=["d0", "d", "t", "row", "node", "fp", "bands", "set"])
             row += b.num_rows
 
     keyed = marked.select("d0", "d", "t", F.col(text).alias("text"))
-    prints = cut(keyed.mapInArrow(run, "d0 boolean, d long, t long, row long, node long, bands array<long>, set binary"), "near")
+    prints = cut(keyed.mapInArrow(run, "d0 boolean, d long, t long, row long, node long, fp long, bands array<long>, set binary"), "near")
     classes = cut(prints.groupBy("node").agg(F.min(F.struct("d0", "d", "t")).alias("first"), F.min("row").alias("row"), F.count("*").alias("rows")), "near-distinct")
-    links = near_links(prints, classes.select("node", "row"))
-    kept = _named(classes.select("node", "first", "rows"), components(links)).groupBy("component_id").agg(F.count("*").alias("n")).select("component_id.*")
+    links = near_links(prints, classes.select("node", "row"), radius)
+    kept = _named(classes.select("node", "first", "rows"), components(links, LOCAL_LINKS)).groupBy("component_id").agg(F.count("*").alias("n")).select("component_id.*")
     one = marked.join(kept, ["d0", "d", "t"], "left_semi").dropDuplicates(["d0", "d", "t"])
     return one.select(*flat.columns).toDF(*docs.columns)

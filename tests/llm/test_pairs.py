@@ -207,3 +207,49 @@ def test_keep_one_judges_by_jaccard(spark):
     assert 4 < len(first) < len(texts) - 4
     kept = simhash_bk.keep_one(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(first.values())
+
+
+def test_keep_one_searches_by_simhash(spark):
+    """Near copies are found within the radius of their SimHashes, and by no other path: at radius 0 edited texts stay."""
+    r = random.Random(9)
+    base = [["".join(r.choices("abcdefghij", k=4)) for _ in range(150)] for _ in range(4)]
+    rows = [(i, " ".join(w), "s") for i, w in enumerate(base)] + [(10 + 4 * k + i, " ".join([*w[: 40 * k], "zzz", *w[40 * k + 1 :]]), "s") for i, w in enumerate(base) for k in (1, 2, 3)]
+    prints = {simhash_bk.vote(simhash_bk.shingle_set(t)) for _, t, _ in rows}
+    assert len(prints) > 12
+    assert simhash_bk.keep_one(docs(spark, rows), radius=0).count() == len(prints)
+    assert sorted(x["doc_id"] for x in simhash_bk.keep_one(docs(spark, rows)).collect()) == [0, 1, 2, 3]
+
+
+def test_near_radius_covers_the_similarity():
+    """Pairs of similarity 0.8 to 0.85, with shingles added, taken away or replaced, are within the radius."""
+    r, far = np.random.default_rng(10), 0
+    for n in (4, 5, 8, 9, 16, 50, 300):
+        for k in range(600):
+            less, more = (n // 5, 0) if k % 2 else (n // 9, n // 9)
+            h = r.integers(0, 1 << 64, n + max(more, n == 4), dtype=np.uint64)
+            a, b = h[:n], (h[less:] if n > 4 else h)
+            shared = len(np.intersect1d(a, b))
+            assert 5 * shared >= 4 * (len(a) + len(b) - shared)
+            far += (simhash_bk.vote(a) ^ simhash_bk.vote(b)).bit_count() > simhash_bk.NEAR_RADIUS
+    assert far <= 2
+
+
+def test_trees_of_many_shards():
+    r = np.random.default_rng(11)
+    sizes = [1, 2, 7, 60, 1, 300]
+    points = np.concatenate([r.integers(0, 1 << 64, 4, dtype=np.uint64)[r.integers(0, 4, n)] ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)) for n in sizes])
+    shard = np.repeat(np.arange(len(sizes)), sizes)
+    roots = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    for radius in (0, 3, 24, 64):
+        q, p, d = simhash_bk.BKTree(points, roots).near(points, roots, radius)
+        far = np.bitwise_count(points[:, None] ^ points[None, :])
+        want = np.argwhere((far <= radius) & (shard[:, None] == shard[None, :]))
+        assert sorted(zip(q.tolist(), p.tolist())) == [tuple(x) for x in want.tolist()] and np.array_equal(d, far[q, p])
+
+
+def test_components_in_one_task(spark):
+    r = random.Random(12)
+    links = spark.createDataFrame([(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(250)], "a long, b long")
+    far, near = (sorted(map(tuple, simhash_bk.components(links, n).collect())) for n in (0, 1 << 20))
+    assert far == near and len(far) > 100
+    assert simhash_bk.components(links.limit(0), 1 << 20).count() == 0
