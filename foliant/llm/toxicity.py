@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import held, numbered, pick, slices
+from foliant.llm.common import held, numbered, pick, release, slices
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
@@ -216,7 +216,8 @@ def train(texts: list[str | None], labels: list[int], shares: tuple[float, float
     """A model from labelled texts. shares: how many rows of each class stand behind the sample."""
     batch = int(np.clip(len(texts) // 20, 8, BATCH))
     epochs = int(np.clip(STEPS * batch // max(1, len(texts)), EPOCHS, 10 * EPOCHS))
-    split = [words_of(t) for t in texts]
+    one: dict[str, str] = {}  # a word is held once, however often it occurs
+    split = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]
     y = np.array(labels, dtype=int)
     seen = {c: Counter(w for t, k in zip(split, y) if k == c for w in set(t)) for c in (0, 1)}
     both = seen[0] + seen[1]
@@ -228,6 +229,8 @@ def train(texts: list[str | None], labels: list[int], shares: tuple[float, float
         model.shift = float(np.clip(np.log(max(share, 1e-13) / max(1 - share, 1e-13)), -30, 30))
         return model
     odds = {w: float(np.log((seen[1][w] + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1))) for w in vocabulary}
+    del one, seen, both
+    release()  # the driver keeps what is not given back, beside its JVM
     r = np.random.default_rng(SEED)
     adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step = 0
@@ -276,7 +279,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     some = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     picked = some[0].unionByName(some[1])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")  # at most 2 * sample rows
-    return train(rows["text"].tolist(), rows["toxic"].tolist(), (float(counts.get(0, 0)), float(counts.get(1, 0))))
+    try:
+        return train(rows["text"].tolist(), rows["toxic"].tolist(), (float(counts.get(0, 0)), float(counts.get(1, 0))))
+    finally:
+        release()
 
 
 def score(docs: DataFrame, model: Model, column: str = "__toxicity") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -297,3 +298,17 @@ def test_every_training_bit_is_learned(spark):
     assert m.levels[2].seen == n - firsts and 0 < m.levels[1].seen <= n  # here no word of a pair is told by the words before
     for x in m.learners():
         assert all(abs(x.total[k].sum() - x.seen) < 1e-6 for k in range(len(x.total))) and abs(x.map.sum() - x.seen) < 1e-6
+
+
+def test_training_holds_a_word_once(monkeypatch):
+    """The driver trains beside its JVM: a million occurrences of 50 words must not be a million strings."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 0)
+    monkeypatch.setattr(toxicity, "STEPS", 0)
+    r = random.Random(20)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(50)]
+    texts = [" ".join(r.choices(words, k=4000)) for _ in range(250)]
+    tracemalloc.start()
+    toxicity.train(texts, [k % 2 for k in range(len(texts))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6, peak
